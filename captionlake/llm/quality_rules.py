@@ -26,11 +26,11 @@ MAX_REPEAT_PERCENT = 50
 CORE = 0.75
 STEPS = 4
 #: A document is an outlier when its squared distance, over the group's own median distance, is beyond this.
-CUT = 60.0
+CUT = 40.0
 #: Groups with fewer rows than this are judged within their language only.
 MIN_GROUP = 60
 #: Least standard deviation of each transformed statistic: statistics that never vary must not reject by rounding.
-FLOOR = {"x_len": 0.25, "x_word": 0.08, "x_sym": 0.05, "x_dup": 0.10, "x_rep": 0.10}
+FLOOR = {"x_len": 0.25, "x_word": 0.08, "x_sym": 0.035, "x_dup": 0.10, "x_rep": 0.10}
 DIMS = list(FLOOR)
 BIN = 1 / 16
 
