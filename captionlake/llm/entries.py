@@ -2,8 +2,10 @@
 
 from captionlake.llm.quality_rules import op8_quality_rules
 from captionlake.llm.sharding import op5_sharding
+from captionlake.llm.substrings import op1_substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op5_sharding": op5_sharding,
     "op8_quality_rules": op8_quality_rules,
 }
