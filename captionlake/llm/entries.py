@@ -1,5 +1,6 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
+from captionlake.llm.jaccard import op10_jaccard_join
 from captionlake.llm.quality_rules import op8_quality_rules
 from captionlake.llm.sharding import op5_sharding
 from captionlake.llm.substrings import op1_substring_dedup
@@ -8,5 +9,6 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_sharding": op5_sharding,
     "op8_quality_rules": op8_quality_rules,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
