@@ -26,8 +26,8 @@ from captionlake.llm.tables import discard, materialize
 WINDOW = 50
 GRAM = 10
 #: Segments in one tree group, and distinct segments below one anchor from which its prefix is lengthened.
-GROUP_SEGMENTS = 20_000
-HOT_SEGMENTS = 4_000
+GROUP_SEGMENTS = 4_000
+HOT_SEGMENTS = 2_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -139,16 +139,19 @@ def _tree(window: int):
         h = table.column("h").to_numpy()
         owner = table.column("first_doc").to_numpy()
         column = table.column("seg").combine_chunks().cast(pa.large_binary()).cast(pa.large_string())
-        (c,) = chunks(column, size=1 << 62)
-        start, end, first = c.words()
-        count = np.diff(first)
+        hashed, counts = [], []
+        for c in chunks(column):
+            start, end, first = c.words()
+            hashed.append(c.hashes(start, end))
+            counts.append(np.diff(first))
+        words, count = np.concatenate(hashed), np.concatenate(counts)
+        first = np.append(0, np.cumsum(count))
         _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
         alone = times[inverse] == 1  # the only segment below its anchor: every window is its own node
         rows = [np.flatnonzero(alone)]
         offs, lens, owners = [np.zeros(len(rows[0]), np.int64)], [count[rows[0]] - window + 1], [owner[rows[0]]]
         if not alone.all():
             row = row_of(first)
-            words = c.hashes(start, end)
             keep = ~alone[row]
             begins = np.flatnonzero(keep)  # word indices that take part
             rank = depth_ranks(words[begins], window)
@@ -192,29 +195,30 @@ def _long_prefixes(window: int):
     return job
 
 
-def _strip(window: int):
+def _strip(window: int, with_text: bool):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, digests, kept = [], [], [], []
-            for text, cuts in zip(batch.column("text"), batch.column("cuts"), strict=True):
-                words = (text.as_py() or "").encode().split()
-                n = len(words)
-                cuts = cuts.as_py()
-                if cuts:
-                    edge = np.zeros(n + 1, np.int64)
-                    pairs = np.array([(x["start"], x["start"] + x["len"] + window - 1) for x in cuts])
-                    np.add.at(edge, pairs[:, 0], 1)
-                    np.add.at(edge, np.minimum(pairs[:, 1], n), -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0).tolist()]
-                body = b" ".join(words)
-                n_words.append(n)
-                n_removed.append(n - len(words))
-                digests.append(hashlib.sha256(body).hexdigest())
-                kept.append(body.decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
-            )
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
+                for text, cuts in zip(part.column("text"), part.column("cuts"), strict=True):
+                    words = (text.as_py() or "").encode().split()
+                    n = len(words)
+                    if cuts := cuts.as_py():
+                        edge = np.zeros(n + 1, np.int64)
+                        pairs = np.array([(x["start"], x["start"] + x["len"] + window - 1) for x in cuts])
+                        np.add.at(edge, pairs[:, 0], 1)
+                        np.add.at(edge, np.minimum(pairs[:, 1], n), -1)
+                        words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0).tolist()]
+                    body = b" ".join(words)
+                    out["n_words"].append(n)
+                    out["n_removed"].append(n - len(words))
+                    out["kept_sha256"].append(hashlib.sha256(body).hexdigest())
+                    if with_text:
+                        out["kept"].append(body.decode())
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()][: 3 + with_text]
+                arrays = [pa.array(x, t) for x, t in zip(out.values(), kinds, strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=["doc_id", *list(out)[: 3 + with_text]])
 
     return job
 
@@ -250,22 +254,24 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_windows(
+    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True
+) -> DataFrame:
     """Each document without the words covered by windows that a document of smaller id also has.
 
     Cases: a null or empty text has no words; texts shorter than a window lose nothing; rows without an id are kept
     whole and own nothing; rows that share an id count as parts of one document and never take words from each
     other; equal rows are equal copies; an empty table gives no rows; other columns are ignored.
 
-    Returns doc_id, n_words, n_removed, kept_sha256 and kept (the kept words joined by one space).
+    Returns doc_id, n_words, n_removed, kept_sha256 and, unless with_text is false, kept (the kept words joined by one space).
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cuts = repeated_windows(slim, window).groupBy("doc_id").agg(F.collect_set(F.struct("start", "len")).alias("cuts"))
     return slim.join(cuts, "doc_id", "left").mapInArrow(
-        _strip(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+        _strip(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     )
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents after substring dedup."""
-    return drop_repeated_windows(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return drop_repeated_windows(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
