@@ -6,13 +6,14 @@ Distance: 1 - |x & y| / |x | y| between sets of word shingles; documents link wi
 2. Points that cannot have a neighbour leave: a neighbour shares three quarters of a set, so a set of which more
    than a quarter of the shingles occur in no other set is alone. Counting a fixed third of all hashes is enough
    to see that for most, and the others just stay.
-3. The first pivots are the shingles that come first in hash order: two sets within the radius share one of the
-   first quarter (plus one) of their shingles, so the sets around such a shingle form a region. The distance of a
+   The same is then counted exactly among the sets that stay.
+3. The first pivots are shingles, those that the fewest sets hold coming first: two sets within the radius share
+   one of the first quarter (plus one) of their shingles, so the sets around such a shingle form a region. The distance of a
    set to the whole universe of shingles follows from its size alone; regions are cut into rings of that distance
    a radius wide, and by the triangle inequality it is enough that each set is also put into the next ring.
-4. In each region the least point is the pivot and is compared with every other point of it: as many distances as
-   points. The region is then cut into rings by that distance, with a window of one radius at each border, and each ring is
-   a region of the next round, without the pivot. A region ends when its points are in one component or nobody is left.
+4. In each region a few points are pivots and are compared with every other point of it. The region is then cut
+   into rings by the distance to its first pivot, with a window of one radius at each border, and each ring is a region of
+   the next round, without the pivots. A region ends when its points are in one component or nobody is left.
 
 Only distances to pivots are computed, no pairs within a region are listed, and nothing is dropped: each round
 settles all pairs of its pivots.
@@ -35,6 +36,8 @@ from captionlake.llm.tables import discard, materialize
 SHINGLE = 5
 #: Sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Pivots of a region in one round: 1, then four times as many each round, up to this.
+MOST_PIVOTS = 64
 _THIRD = np.uint64(3)
 
 
@@ -115,6 +118,27 @@ def _most_alone(n: str, percent: int) -> F.Column:
     return F.expr(f"{n} - (({percent} * {n} + 99) div 100)")
 
 
+def _peeled(sets: DataFrame, percent: int) -> DataFrame:
+    """The sets of which enough shingles occur in another of these sets too; again until few leave."""
+    while True:
+        before = sets.count()
+        only = sets.select("sid", F.explode("set").alias("g")).groupBy("g").agg(F.min("sid").alias("sid"), F.max("sid").alias("hi"))
+        only = only.where("sid = hi").groupBy("sid").agg(F.count("*").alias("alone"))
+        kept = materialize(sets.join(only, "sid", "left").where(F.coalesce("alone", F.lit(0)) <= _most_alone("n", percent)).drop("alone"))
+        discard(sets)
+        sets = kept
+        if sets.count() * 10 >= before * 9:
+            return sets
+
+
+def _rare_first(sets: DataFrame) -> DataFrame:
+    """The same sets, each in the order of how many sets hold a shingle (then by hash): one order for all."""
+    rows = sets.select("sid", F.explode("set").alias("g"))
+    held = materialize(rows.groupBy("g").agg(F.count("*").alias("df")))
+    order = rows.join(held, "g").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    return materialize(sets.select("sid", "n").join(order, "sid").select("sid", "n", F.col("o.g").alias("set")))
+
+
 def _regions(sets: DataFrame, percent: int) -> DataFrame:
     """(key, sid, home) rows: prefix shingle and size ring; home is false in the ring that a set only borders."""
     width = math.log(100 / percent)
@@ -127,42 +151,49 @@ def _regions(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """Rows of the regions that can still hold an unsettled pair: two components, and someone at home."""
-    alive = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any"), F.min("sid").alias("pivot"))
-    return materialize(alive.where("lo < hi AND any").select("key", "pivot"))
+    """The regions that can still hold an unsettled pair (two components, and someone at home), with their least point."""
+    alive = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any"), F.min("sid").alias("first"))
+    return materialize(alive.where("lo < hi AND any").select("key", "first"))
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (sid, pivot) with their intersection and union sizes."""
-    a = sets.select("sid", F.col("n").alias("na"), F.col("set").alias("sa"))
-    b = sets.select(F.col("sid").alias("pivot"), F.col("n").alias("nb"), F.col("set").alias("sb"))
+    """pairs (u, v) with their intersection and union sizes."""
+    a = sets.select(F.col("sid").alias("u"), F.col("n").alias("na"), F.col("set").alias("sa"))
+    b = sets.select(F.col("sid").alias("v"), F.col("n").alias("nb"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "sid").join(b, "pivot").select("sid", "pivot", both.alias("both"), (F.col("na") + F.col("nb") - both).alias("either"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("both"), (F.col("na") + F.col("nb") - both).alias("either"))
 
 
 def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) for all sets (sid, n, set) that link with another, by rounds of pivots."""
     radius = 1 - percent / 100
     rows = _regions(sets, percent).withColumn("comp", F.col("sid"))
-    links = comps = None
+    comps, many = None, 1
     while True:
         rows = materialize(rows)
         alive = _open(rows)
         if alive.isEmpty():
-            break
+            return comps
         rows = materialize(rows.join(alive, "key"))
-        pairs = rows.where("sid <> pivot").select("sid", "pivot").distinct()
+        # the least point of each of ``many`` hash classes, the region's least point among them
+        part = F.when(F.col("sid") == F.col("first"), -1).otherwise(F.pmod(F.xxhash64(F.lit(many), "sid"), F.lit(many)))
+        pivots = rows.where("sid = first") if many == 1 else rows
+        pivots = materialize(pivots.groupBy("key", part.alias("part")).agg(F.min("sid").alias("pivot")).select("key", "pivot").distinct())
+        pairs = rows.join(pivots, "key").where("sid <> pivot").select(F.greatest("sid", "pivot").alias("u"), F.least("sid", "pivot").alias("v")).distinct()
         known = materialize(_distances(pairs, sets))
-        new = known.where(f"100 * both >= {percent} * either").select(F.col("sid").alias("u"), F.col("pivot").alias("v"))
-        old = comps.select(F.col("node").alias("u"), F.col("component").alias("v")) if comps is not None else None
-        comps = materialize(components(new.unionByName(old) if old is not None else new))
+        new = known.where(f"100 * both >= {percent} * either").select("u", "v")
+        if comps is not None:
+            new = new.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        comps = materialize(components(new))
         ring = F.floor((1 - F.col("both") / F.col("either")) / radius + 1e-9)
-        rest = rows.where("sid <> pivot").drop("comp").join(known, ["sid", "pivot"]).withColumn("ring", ring)
+        rest = rows.drop("comp").join(pivots.withColumnRenamed("pivot", "sid"), ["key", "sid"], "left_anti")
+        rest = rest.withColumn("u", F.greatest("sid", "first")).withColumn("v", F.least("sid", "first")).join(known, ["u", "v"]).withColumn("ring", ring)
         rest = rest.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
         both = F.array(F.struct("ring", F.col("home").alias("home")), F.struct((F.col("ring") + 1).alias("ring"), F.lit(False).alias("home")))
         rest = rest.select("key", "sid", "comp", F.explode(both).alias("r"))
-        rows = rest.select(F.xxhash64("key", "r.ring").alias("key"), "sid", F.col("r.home").alias("home"), "comp").distinct()
-    return comps
+        rest = rest.select(F.xxhash64("key", "r.ring").alias("key"), "sid", F.col("r.home").alias("home"), "comp")
+        rows = rest.groupBy("key", "sid", "comp").agg(F.max("home").alias("home"))
+        many = min(4 * many, MOST_PIVOTS)
 
 
 def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,6 +213,7 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_c
     left = materialize(left.select("sid", "n", "k1", "k2"))
     sets = slim.join(left.select(F.col("sid").alias("doc_id"), "k1", "k2"), "doc_id")
     sets = materialize(sets.mapInArrow(_set_job(k), "sid long, n long, set array<long>"))
+    sets = _rare_first(_peeled(sets, percent))
     comps = link_components(sets, percent)
     if comps is not None:
         points = points.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("sid", F.coalesce("component", "sid")).drop("component")
