@@ -1,14 +1,18 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
+from captionlake.llm.fingerprints import op3_document_fingerprints
 from captionlake.llm.jaccard import op10_jaccard_join
 from captionlake.llm.quality_rules import op8_quality_rules
+from captionlake.llm.secrets import op9_secret_scans
 from captionlake.llm.sharding import op5_sharding
 from captionlake.llm.substrings import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op5_sharding": op5_sharding,
     "op8_quality_rules": op8_quality_rules,
+    "op9_secret_scans": op9_secret_scans,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
