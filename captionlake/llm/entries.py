@@ -2,6 +2,7 @@
 
 from captionlake.llm.fingerprints import op3_document_fingerprints
 from captionlake.llm.jaccard import op10_jaccard_join
+from captionlake.llm.packing import op2_packing
 from captionlake.llm.quality_rules import op8_quality_rules
 from captionlake.llm.secrets import op9_secret_scans
 from captionlake.llm.sharding import op5_sharding
@@ -9,6 +10,7 @@ from captionlake.llm.substrings import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_packing": op2_packing,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op5_sharding": op5_sharding,
     "op8_quality_rules": op8_quality_rules,
