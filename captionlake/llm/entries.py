@@ -1,7 +1,10 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
+from captionlake.llm.bpe import op6_bpe
+from captionlake.llm.classifier import op7_quality_classifier
 from captionlake.llm.fingerprints import op3_document_fingerprints
 from captionlake.llm.jaccard import op10_jaccard_join
+from captionlake.llm.lines import op4_line_dedup
 from captionlake.llm.packing import op2_packing
 from captionlake.llm.quality_rules import op8_quality_rules
 from captionlake.llm.secrets import op9_secret_scans
@@ -12,7 +15,10 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
+    "op6_bpe": op6_bpe,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scans": op9_secret_scans,
     "op10_jaccard_join": op10_jaccard_join,

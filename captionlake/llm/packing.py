@@ -9,6 +9,8 @@ dealt to the patterns' places. Only the histogram and the patterns pass through
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -79,12 +81,16 @@ class WordEncoder:
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    """A worker's encoder: its words stay known from one task to the next."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordEncoder(path)
+
+
 def _pieces_job(path: str, capacity: int, with_ids: bool):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(path)
+        encoder = _encoder(path)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             sizes = batch.column("text").cast(pa.large_string()).to_pandas().str.len().fillna(0).to_numpy()
