@@ -36,8 +36,8 @@ from captionlake.llm.tables import discard, materialize
 SHINGLE = 5
 #: Sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Pivots of a region in one round: 1, then four times as many each round, up to this.
-MOST_PIVOTS = 64
+#: Pivots of a region in one round: 1, then sixteen times as many each round, up to this.
+MOST_PIVOTS = 256
 _THIRD = np.uint64(3)
 
 
@@ -178,22 +178,26 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         # the least point of each of ``many`` hash classes, the region's least point among them
         part = F.when(F.col("sid") == F.col("first"), -1).otherwise(F.pmod(F.xxhash64(F.lit(many), "sid"), F.lit(many)))
         pivots = rows.where("sid = first") if many == 1 else rows
-        pivots = materialize(pivots.groupBy("key", part.alias("part")).agg(F.min("sid").alias("pivot")).select("key", "pivot").distinct())
-        pairs = rows.join(pivots, "key").where("sid <> pivot").select(F.greatest("sid", "pivot").alias("u"), F.least("sid", "pivot").alias("v")).distinct()
+        pivots = pivots.groupBy("key", part.alias("part")).agg(F.min(F.struct("sid", "home")).alias("p"))
+        pivots = materialize(pivots.select("key", F.col("p.sid").alias("pivot"), F.col("p.home").alias("pivot_home")))
+        # two points that only border a ring are settled in the ring where both are at home
+        needed = "sid <> pivot AND (home OR pivot_home OR pivot = first)"
+        pairs = rows.join(pivots, "key").where(needed).select(F.greatest("sid", "pivot").alias("u"), F.least("sid", "pivot").alias("v")).distinct()
         known = materialize(_distances(pairs, sets))
         new = known.where(f"100 * both >= {percent} * either").select("u", "v")
-        if comps is not None:
-            new = new.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        comps = materialize(components(new))
+        if comps is None:
+            comps = materialize(components(new))
+        elif not new.isEmpty():
+            comps = materialize(components(new.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v")))))
         ring = F.floor((1 - F.col("both") / F.col("either")) / radius + 1e-9)
-        rest = rows.drop("comp").join(pivots.withColumnRenamed("pivot", "sid"), ["key", "sid"], "left_anti")
+        rest = rows.drop("comp").join(pivots.select("key", F.col("pivot").alias("sid")), ["key", "sid"], "left_anti")
         rest = rest.withColumn("u", F.greatest("sid", "first")).withColumn("v", F.least("sid", "first")).join(known, ["u", "v"]).withColumn("ring", ring)
         rest = rest.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
         both = F.array(F.struct("ring", F.col("home").alias("home")), F.struct((F.col("ring") + 1).alias("ring"), F.lit(False).alias("home")))
         rest = rest.select("key", "sid", "comp", F.explode(both).alias("r"))
         rest = rest.select(F.xxhash64("key", "r.ring").alias("key"), "sid", F.col("r.home").alias("home"), "comp")
         rows = rest.groupBy("key", "sid", "comp").agg(F.max("home").alias("home"))
-        many = min(4 * many, MOST_PIVOTS)
+        many = min(16 * many, MOST_PIVOTS)
 
 
 def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
