@@ -1,4 +1,6 @@
 """Every query outside the removable part, by name, with its DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from captionlake.plans import captions, records, speech
+
+QUERIES = {**captions.QUERIES, **speech.QUERIES, **records.QUERIES}
+ORACLES = {**captions.ORACLES, **speech.ORACLES, **records.ORACLES}
