@@ -52,8 +52,11 @@ def normalize_crop(style: Column) -> Column:
 
 
 def crop_geometry(width: Column, height: Column, style: Column) -> Column:
-    """struct<active, width, height, x, y> of the picture that a crop style leaves, with even sizes and places."""
-    s = normalize_crop(style)
+    """struct<active, width, height, x, y> of the picture that a crop style leaves, with even sizes and places.
+
+    style: a column that normalize_crop() has made, so that its limits are worked out once.
+    """
+    s = style
     w, h = F.greatest(F.lit(2.0), half_up(width).cast("double")), F.greatest(F.lit(2.0), half_up(height).cast("double"))
     ratio = F.lit(None).cast("double")
     for name, value in ASPECTS.items():
