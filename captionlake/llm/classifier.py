@@ -136,7 +136,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> FactorisationMachine:
     """Fit on labelled rows outside the held-out fold: those with the least hash of the id, at most ``rows``.
 
-    Without labelled rows the machine scores 0.5 for every text. Of rows that share an id, or labels that do, each counts.
+    Without labelled rows the machine scores about 0.5 for every text. Of rows that share an id, or labels that do, each counts.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
