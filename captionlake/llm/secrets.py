@@ -31,6 +31,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 TRAINING_DOCS = 20_000
 #: A token is taken for random when its log-likelihood ratio for each character is over this.
 THRESHOLD = 1.0
+#: Weight, in counts, of single characters in a transition's probability.
+BACKING = 8.0
 _MARK, _OTHER = "\x01", "\x02"
 
 
@@ -62,7 +64,7 @@ def train(docs: DataFrame, bound: int = TRAINING_DOCS) -> list[float]:
     """Log-likelihood ratios (random over ordinary) of every pair of neighbouring characters, row by row of ALPHABET.
 
     At most ``bound`` documents in expectation give tokens (all, where there are fewer); the table has a fixed size. Counts
-    are smoothed, so unseen pairs and a corpus without secrets give ratios near a uniform model of random strings.
+    are backed by single characters, and those by one count each: without secrets the model of random strings is uniform.
     """
     n = docs.count()
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, bound / max(n, 1))))
@@ -76,16 +78,23 @@ def train(docs: DataFrame, bound: int = TRAINING_DOCS) -> list[float]:
     tokens = secrets.unionByName(plain).where(F.length("token") >= 2).groupBy("token", "random").agg(F.count("*").alias("n"))
     pairs = tokens.select("random", "n", "token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i"))
     size = len(ALPHABET)
-    counts = [[1.0] * size * size, [1.0] * size * size]
+    counts = [[0.0] * size * size, [0.0] * size * size]
     pairs = pairs.select("random", "n", F.expr(f"instr('{ALPHABET}', substr(token, i, 1)) - 1").alias("a"), F.expr(f"instr('{ALPHABET}', substr(token, i + 1, 1)) - 1").alias("b"))
     for r in pairs.where("a >= 0 AND b >= 0").groupBy("random", "a", "b").agg(F.sum("n").alias("n")).collect():  # at most 2 * size * size rows
         counts[r["random"]][r["a"] * size + r["b"]] += r["n"]
-    ratios = []
+    models = [_transitions(c, size) for c in counts]
+    return [round(math.log(r) - math.log(o), 6) for o, r in zip(*models, strict=True)]
+
+
+def _transitions(counts: list[float], size: int) -> list[float]:
+    """Probabilities of the next character: counts of pairs, backed by BACKING counts spread like single characters (each seen once more)."""
+    single = [1.0 + sum(counts[j::size]) for j in range(size)]
+    whole = sum(single)
+    out = []
     for i in range(size):
-        rows = [c[i * size : (i + 1) * size] for c in counts]
-        sums = [sum(x) for x in rows]
-        ratios += [round(math.log(x / sums[1]) - math.log(y / sums[0]), 6) for y, x in zip(*rows, strict=True)]
-    return ratios
+        row = counts[i * size : (i + 1) * size]
+        out += [(n + BACKING * single[j] / whole) / (sum(row) + BACKING) for j, n in enumerate(row)]
+    return out
 
 
 def _ratio(token: Column, ratios: list[float]) -> Column:
