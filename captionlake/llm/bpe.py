@@ -148,10 +148,13 @@ class BatchCoder:
             self.known.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        self._learn(list(dict.fromkeys(p for parts in split for p in parts if p not in known)))
+        missing: set[str] = set()
         for parts in split:
-            found = [x for p in parts if (x := known[p])[0]]
-            yield sum([x[0] for x in found]), b" ".join([x[1] for x in found]), b" ".join([x[2] for x in found])
+            missing.update(set(parts).difference(known))
+        self._learn(list(missing))
+        for parts in split:
+            sizes, ids, decoded = zip(*map(known.__getitem__, parts), strict=True)
+            yield sum(sizes), b" ".join(filter(None, ids)), b" ".join(filter(None, decoded))
 
 
 @functools.lru_cache(maxsize=2)

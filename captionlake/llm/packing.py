@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,9 @@ GAP = 5e-4
 #: Pieces of one class that one task ranks.
 ROWS_PER_CELL = 50_000
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
+#: A space before white space or the text's end.
+_GAP = re.compile(r" (?=\s|\Z)")
 
 
 def vocabulary_path() -> str:
@@ -62,20 +65,20 @@ class WordEncoder:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        known, split, out = self.known, [], [b""] * len(texts)
-        whole = []
+        known, split, out, whole = self.known, [], [b""] * len(texts), []
+        missing: set[str] = set()
         for i, text in enumerate(texts):
-            parts = text.split(" ")
-            if all(p and not p[0].isspace() for p in parts[1:]):
-                split.append((i, parts))
-            else:
+            if _GAP.search(text):
                 whole.append(i)
-        new = dict.fromkeys(p for _, parts in split for p in parts[1:] if p not in known)
-        heads = self._bytes([parts[0] for _, parts in split])
-        for p, ids in zip(new, self._bytes([f" {p}" for p in new]), strict=True):
-            known[p] = ids
-        for (i, parts), head in zip(split, heads, strict=True):
-            out[i] = head + b"".join([known[p] for p in parts[1:]])
+            else:
+                head, *parts = text.split(" ")
+                split.append((i, head, parts))
+                missing.update(set(parts).difference(known))
+        new = list(missing)
+        known.update(zip(new, self._bytes([f" {p}" for p in new]), strict=True))
+        heads = self._bytes([head for _, head, _ in split])
+        for (i, _, parts), ids in zip(split, heads, strict=True):
+            out[i] = ids + b"".join(map(known.__getitem__, parts))
         for i, ids in zip(whole, self._bytes([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
