@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from captionlake.llm.bytewords import chunks, mix, row_of, shingle_hashes
-from captionlake.llm.tables import discard, materialize
+from captionlake.llm.tables import materialize
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -33,6 +33,7 @@ MIN_GROUP = 60
 FLOOR = {"x_len": 0.25, "x_word": 0.08, "x_sym": 0.035, "x_dup": 0.10, "x_rep": 0.10}
 DIMS = list(FLOOR)
 BIN = 1 / 16
+SALTS = 64
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -124,10 +125,16 @@ def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"grp": pdf["grp"], "mean": list(mean.round(9)), "inverse": list(np.linalg.inv(cov).reshape(len(pdf), -1).round(9))})
 
 
+def _join_group(rows: DataFrame, by_group: DataFrame) -> DataFrame:
+    """Join one row for each group to all its rows; the rows of a group are spread over SALTS keys, so a large one isn't one task."""
+    spread = by_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(spread, ["grp", "salt"])
+
+
 def _distances(rows: DataFrame, fit: DataFrame) -> DataFrame:
     """Squared Mahalanobis distance d2 of every row to its group's estimate."""
     d = len(DIMS)
-    joined = rows.join(fit, "grp")
+    joined = _join_group(rows, fit)
     away = [F.col(x) - F.col("mean")[i] for i, x in enumerate(DIMS)]
     total = F.lit(0.0)
     for i in range(d):
@@ -156,9 +163,9 @@ def robust_outliers(stats: DataFrame) -> DataFrame:
     of a group and refits. Distances are measured against the group's median distance, which makes the cut hold
     whatever the scale that the core's covariance lost by trimming.
     """
-    rows = _transformed(stats).withColumn("grp", F.concat_ws("\x01", "lang", "source"))
+    rows = _transformed(stats).withColumn("grp", F.concat_ws("\x01", "lang", "source")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
     sizes = rows.groupBy("grp").agg(F.count("*").alias("rows_in_group"))
-    rows = rows.join(sizes, "grp").withColumn("grp", F.when(F.col("rows_in_group") < MIN_GROUP, F.col("lang")).otherwise(F.col("grp")))
+    rows = _join_group(rows, sizes).withColumn("grp", F.when(F.col("rows_in_group") < MIN_GROUP, F.col("lang")).otherwise(F.col("grp")))
     rows = materialize(rows.drop("rows_in_group"))
     floor = np.diag(1 / np.square([FLOOR[x] for x in DIMS])).reshape(-1)
     fit = rows.groupBy("grp").agg(F.array(*[F.percentile_approx(x, 0.5, 1000) for x in DIMS]).alias("mean"))
@@ -166,12 +173,12 @@ def robust_outliers(stats: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         fit = materialize(fit)
         near = _binned(_distances(rows, fit))
-        core = near.join(_cuts(near, CORE), "grp").where("bin <= cut")
+        core = _join_group(near, _cuts(near, CORE)).where("bin <= cut")
         fit = _moments(core).mapInPandas(_solve, "grp string, mean array<double>, inverse array<double>")
     fit = materialize(fit)
     near = _binned(_distances(rows, fit))
     middle = _cuts(near, 0.5).select("grp", F.greatest(F.exp((F.col("cut") + 1) * BIN), F.lit(1.0)).alias("middle"))
-    return near.join(middle, "grp").withColumn("distance", F.col("d2") / F.col("middle")).withColumn("kept_by_fit", F.col("distance") <= CUT)
+    return _join_group(near, middle).withColumn("distance", F.col("d2") / F.col("middle")).withColumn("kept_by_fit", F.col("distance") <= CUT)
 
 
 def quality_rules(docs: DataFrame, **columns: str) -> DataFrame:
