@@ -75,7 +75,7 @@ def ass_time(seconds: Column) -> Column:
 
 def ass_escape(text: Column) -> Column:
     full = F.translate(text, "\\{}\r", "／（）")
-    return F.regexp_replace(full, "\n", "\\\\\\\\N")
+    return F.replace(full, F.lit("\n"), F.lit("\\N"))
 
 
 def ass_color(value: Column, default: str = "FFFFFF") -> Column:

@@ -47,7 +47,7 @@ def hypotheses_disagree(words: DataFrame, candidates: DataFrame, regions: DataFr
 
 
 def _score(df: DataFrame) -> Column:
-    return F.coalesce(*[F.col(c) for c in ("review_score", "raw_confidence", "confidence", "score") if c in df.columns])
+    return F.coalesce(*[F.col(c) for c in ("review_score", "raw_confidence", "confidence", "score") if c in df.columns], F.lit(None).cast("double"))
 
 
 def retry_wins(words: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:

@@ -85,9 +85,9 @@ def parse_subtitles(files: DataFrame, key: str = "path", text_col: str = "text")
     rows = files.select(key, F.posexplode_outer(blocks).alias("block_idx", "block"))
     lines = F.transform(F.split("block", "\n"), lambda x: F.rtrim(x))
     rows = rows.withColumn("lines", lines).withColumn("at", F.array_position(F.transform("lines", lambda x: x.contains("-->")), True))
-    rows = rows.where((F.col("at") > 0) & ~F.element_at("lines", 1).rlike(r"^NOTE(\s|$)"))
+    rows = rows.where((F.col("at") > 0) & ~F.get("lines", F.lit(0)).rlike(r"^NOTE(\s|$)"))
     pattern = r"^\s*(\S+)\s*-->\s*(\S+)(?:\s+.*)?$"
-    timing = F.element_at("lines", F.col("at").cast("int"))
+    timing = F.get("lines", (F.col("at") - 1).cast("int"))
     rows = rows.withColumn("start", subtitle_seconds(F.regexp_extract(timing, pattern, 1))).withColumn("end", subtitle_seconds(F.regexp_extract(timing, pattern, 2)))
     body = F.array_join(F.slice("lines", F.col("at").cast("int") + 1, F.size("lines")), "\n")
     rows = rows.withColumn("text", F.trim(F.regexp_replace(body, "<[^>]+>", ""), F.lit(" \n\t\x0b\x0c\r")))
