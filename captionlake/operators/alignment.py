@@ -50,8 +50,8 @@ def _score(df: DataFrame) -> Column:
     return F.coalesce(*[F.col(c) for c in ("review_score", "raw_confidence", "confidence", "score") if c in df.columns], F.lit(None).cast("double"))
 
 
-def retry_wins(words: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:
-    """Every region with wins: whether the candidate pass should replace the words that are there."""
+def compare_passes(words: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:
+    """Every region with wins (the candidate pass should replace its words) and differ (both have text, and not the same)."""
 
     def side(rows: DataFrame, tag: str) -> DataFrame:
         cover = speech_coverage(rows, regions).select("project_id", "region_idx", F.col("n_words").alias(f"n_{tag}"), F.col("uncovered_edges").alias(f"edges_{tag}"))
@@ -68,7 +68,13 @@ def retry_wins(words: DataFrame, candidates: DataFrame, regions: DataFrame) -> D
     same = (F.col("text_a") != "") & (F.col("text_a") == F.col("text_b"))
     better = (F.col("n_a") == 0) | (same & (edge >= EDGE_GAIN)) | (gain >= TEXT_GAIN) | ((gain >= SMALL_TEXT_GAIN) & (edge >= SMALL_EDGE_GAIN)) | ((gain >= 1) & (edge >= EDGE_GAIN))
     sound = F.col("score_a").isNull() | F.col("score_b").isNull() | (F.col("score_b") >= F.col("score_a") - SCORE_DROP)
-    return both.select("project_id", "region_idx", (F.coalesce("some", F.lit(False)) & better & sound).alias("wins"))
+    differ = (F.col("text_a") != "") & (F.col("text_b") != "") & (F.col("text_a") != F.col("text_b"))
+    return both.select("project_id", "region_idx", (F.coalesce("some", F.lit(False)) & better & sound).alias("wins"), differ.alias("differ"))
+
+
+def retry_wins(words: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:
+    """Every region with wins."""
+    return compare_passes(words, candidates, regions).drop("differ")
 
 
 def common_pairs(left: list, right: list) -> list[tuple[int, int]]:
@@ -138,16 +144,33 @@ def replace_region_words(words: DataFrame, candidates: DataFrame, regions: DataF
     return kept.select(*names).unionByName(fresh.select(*names))
 
 
-def merge_passes(words: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:
-    """One decision for each (disjoint) retried region: take the candidate, mark the disagreement, or leave the words."""
-    wins = retry_wins(words, candidates, regions).where("wins").select("project_id", "region_idx")
-    won = regions.join(wins, ["project_id", "region_idx"])
-    differ = hypotheses_disagree(words, candidates, regions).join(wins, ["project_id", "region_idx"], "left_anti")
-    marked = mark_region_for_review(words, candidates, regions.join(differ, ["project_id", "region_idx"]))
-    reasons = marked.select("project_id", "word_idx", F.col("review_reason").alias("reason"))
-    merged = replace_region_words(marked.drop("review_reason"), candidates, won)
-    out = merged.join(reasons, ["project_id", "word_idx"], "left")
-    return out.withColumn("review_reason", F.coalesce("review_reason", F.when(F.col("origin") == "kept", F.col("reason")))).drop("reason")
+def merge_passes(words: DataFrame, candidates: DataFrame, regions: DataFrame, reason: str = "pass-disagreement") -> DataFrame:
+    """One decision for each (disjoint) retried region: take the candidate, mark the disagreement, or leave the words.
+
+    The passes are compared and aligned once; the decisions then go to the words and the candidates of their regions.
+    """
+    decided = regions.join(compare_passes(words, candidates, regions).where("wins OR differ"), ["project_id", "region_idx"])
+    spans = as_right(decided.select("project_id", "region_idx", "start", "end", "wins"))
+    pairs = lcs_pairs(words, candidates, decided)
+    old = words.select("project_id", "word_idx", "start", "end")
+    met = interval_join(old, spans, ["project_id"]).select("project_id", "region_idx", "word_idx", "wins")
+    met = met.join(pairs.withColumn("same", F.lit(True)), ["project_id", "region_idx", "word_idx"], "left")
+    state = met.groupBy("project_id", "word_idx").agg(F.max("wins").alias("gone"), F.max(~F.col("wins") & F.col("same").isNull()).alias("doubt"))
+    kept = words.join(state, ["project_id", "word_idx"], "left").where("NOT coalesce(gone, false)")
+    hit = F.coalesce("doubt", F.lit(False)) & (F.col("review_status") != "edited")
+    names = ["project_id", "word_idx", "text", "start", "end"]
+    kept = kept.select(
+        *names, (hit | F.col("needs_review")).alias("needs_review"), F.when(hit, "pending").otherwise(F.col("review_status")).alias("review_status"),
+        F.when(hit, reason).alias("review_reason"), F.lit("kept").alias("origin"),
+    )
+    prior = words.select("project_id", "word_idx", F.col("needs_review").alias("old_needs"), F.col("review_status").alias("old_status"))
+    prior = pairs.join(prior, ["project_id", "word_idx"]).groupBy("project_id", F.col("candidate_idx").alias("word_idx")).agg(F.min_by(F.struct("old_needs", "old_status"), "region_idx").alias("o"))
+    fresh = interval_join(candidates.select(*names), spans.where("wins"), ["project_id"]).select(*names).distinct().join(prior, ["project_id", "word_idx"], "left")
+    fresh = fresh.select(
+        *names, F.coalesce("o.old_needs", F.lit(True)).alias("needs_review"), F.coalesce("o.old_status", F.lit("pending")).alias("review_status"),
+        F.when(F.col("o").isNull(), "coverage-retry").alias("review_reason"), F.lit("retry").alias("origin"),
+    )
+    return kept.unionByName(fresh)
 
 
 # --- scans over a project's words -------------------------------------------------------------------------------------

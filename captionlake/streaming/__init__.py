@@ -1,0 +1 @@
+"""Structured Streaming jobs: none, since no operator of the survey works on streams."""
