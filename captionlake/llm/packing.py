@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,9 @@ GAP = 5e-4
 ROWS_PER_CELL = 50_000
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 600_000
+#: Letters, digits and marks that both libraries split alike: Latin ones and line feeds.
+_PLAIN = re.compile("[\\n\\x20-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*")
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 #: A space before white space or the text's end.
 _GAP = re.compile(r" (?=\s|\Z)")
 
@@ -41,25 +45,56 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def _rank_encoding(path: str):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct word of a batch once.
 
     The vocabulary's own split never joins a space to what stands before it, if the character after the space is no
     white space: cutting there leaves all ids as they are. Texts with other runs of white space after a space go to the library
-    whole.
+    whole. With ``ranks``, the same vocabulary as a rank file, plain Latin words are merged by tiktoken, which gives the same ids
+    for a quarter of the time; all others stay with tokenizers.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
+        self.plain = _rank_encoding(ranks) if ranks else None
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
 
     def _bytes(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        out: dict[str, bytes] = {}
+        rest = parts
+        if self.plain:
+            encode, rest = self.plain.encode_ordinary, []
+            for p in parts:
+                if "<|" in p or not _PLAIN.fullmatch(p):
+                    rest.append(p)
+                else:
+                    ids = encode(p)
+                    out[p] = _PACK[len(ids)](*ids) if len(ids) < 16 else np.array(ids, "<u4").tobytes()
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        out.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, found, strict=True))
+        return [out[p] for p in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -85,15 +120,15 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, ranks: str | None) -> WordEncoder:
     """A worker's encoder: its words stay known from one task to the next."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordEncoder(path)
+    return WordEncoder(path, ranks)
 
 
-def _pieces_job(path: str, capacity: int, with_ids: bool):
+def _pieces_job(path: str, ranks: str | None, capacity: int, with_ids: bool):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(path, ranks)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             sizes = batch.column("text").cast(pa.large_string()).to_pandas().str.len().fillna(0).to_numpy()
@@ -129,7 +164,8 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return slim.mapInArrow(_pieces_job(path or vocabulary_path(), capacity, with_ids), schema)
+    ranks = None if path else ranks_path()
+    return slim.mapInArrow(_pieces_job(path or vocabulary_path(), ranks, capacity, with_ids), schema)
 
 
 def knapsack(values: np.ndarray, units: int) -> np.ndarray:
