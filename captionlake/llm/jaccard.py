@@ -164,6 +164,13 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("both"), (F.col("na") + F.col("nb") - both).alias("either"))
 
 
+def _joining(links: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links (u, v) between two components."""
+    a = comps.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    b = comps.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+    return links.join(a, "u", "left").join(b, "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
+
+
 def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) for all sets (sid, n, set) that link with another, by rounds of pivots."""
     radius = 1 - percent / 100
@@ -187,7 +194,7 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         new = known.where(f"100 * both >= {percent} * either").select("u", "v")
         if comps is None:
             comps = materialize(components(new))
-        elif not new.isEmpty():
+        elif not _joining(new, comps).isEmpty():
             comps = materialize(components(new.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v")))))
         ring = F.floor((1 - F.col("both") / F.col("either")) / radius + 1e-9)
         rest = rows.drop("comp").join(pivots.select("key", F.col("pivot").alias("sid")), ["key", "sid"], "left_anti")
