@@ -15,6 +15,10 @@ Distance: 1 - |x & y| / |x | y| between sets of word shingles; documents link wi
    into rings by the distance to its first pivot, with a window of one radius at each border, and each ring is a region of
    the next round, without the pivots. A region ends when its points are in one component or nobody is left.
 
+A ring holds the points at home in it and those that only border it. Two that both border a ring are settled in the
+ring before it, where both are at home. That holds for each level of rings by itself, so a row carries one bit a level
+(bit 0 for sizes, then one a round), set where it only borders, and a pair is skipped where both have the same bit.
+
 Only distances to pivots are computed, no pairs within a region are listed, and nothing is dropped: each round
 settles all pairs of its pivots.
 """
@@ -38,6 +42,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Pivots of a region in one round: 1, then sixteen times as many each round, up to this.
 MOST_PIVOTS = 256
+#: Levels of rings that have a bit; the copies of later levels have none, so their pairs may be met twice.
+LEVELS = 62
 _THIRD = np.uint64(3)
 
 
@@ -140,20 +146,26 @@ def _rare_first(sets: DataFrame) -> DataFrame:
 
 
 def _regions(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, sid, home) rows: prefix shingle and size ring; home is false in the ring that a set only borders."""
+    """(key, sid, edges) rows: prefix shingle and size ring; edges is 1 in the ring that a set only borders."""
     width = math.log(100 / percent)
     first = sets.select(
         "sid", F.floor(F.log(F.col("n").cast("double")) / width + 1e-9).alias("ring"),
         F.explode(F.slice("set", F.lit(1), (_most_alone("n", percent) + 1).cast("int"))).alias("g"),
     )
-    rows = first.select("sid", "g", F.explode(F.array(F.struct("ring", F.lit(True).alias("home")), F.struct((F.col("ring") + 1).alias("ring"), F.lit(False).alias("home")))).alias("r"))
-    return rows.select(F.xxhash64("g", "r.ring").alias("key"), "sid", F.col("r.home").alias("home"))
+    rows = first.select("sid", "g", F.explode(_both_rings(F.lit(0).cast("long"), 0)).alias("r"))
+    return rows.select(F.xxhash64("g", "r.ring").alias("key"), "sid", "r.edges")
+
+
+def _both_rings(edges: F.Column, level: int) -> F.Column:
+    """The own ring and the next one, which the point only borders."""
+    bordering = edges.bitwiseOR(F.lit(1 << level if level < LEVELS else 0).cast("long"))
+    return F.array(F.struct("ring", edges.alias("edges")), F.struct((F.col("ring") + 1).alias("ring"), bordering.alias("edges")))
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """The regions that can still hold an unsettled pair (two components, and someone at home), with their least point."""
-    alive = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any"), F.min("sid").alias("first"))
-    return materialize(alive.where("lo < hi AND any").select("key", "first"))
+    """The regions that can still hold an unsettled pair (two components, and no level that all only border), with their least point."""
+    alive = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_and("edges").alias("all"), F.min("sid").alias("first"))
+    return materialize(alive.where("lo < hi AND all = 0").select("key", "first"))
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -175,7 +187,7 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) for all sets (sid, n, set) that link with another, by rounds of pivots."""
     radius = 1 - percent / 100
     rows = _regions(sets, percent).withColumn("comp", F.col("sid"))
-    comps, many = None, 1
+    comps, many, level = None, 1, 1
     while True:
         rows = materialize(rows)
         alive = _open(rows)
@@ -185,10 +197,10 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         # the least point of each of ``many`` hash classes, the region's least point among them
         part = F.when(F.col("sid") == F.col("first"), -1).otherwise(F.pmod(F.xxhash64(F.lit(many), "sid"), F.lit(many)))
         pivots = rows.where("sid = first") if many == 1 else rows
-        pivots = pivots.groupBy("key", part.alias("part")).agg(F.min(F.struct("sid", "home")).alias("p"))
-        pivots = materialize(pivots.select("key", F.col("p.sid").alias("pivot"), F.col("p.home").alias("pivot_home")))
-        # two points that only border a ring are settled in the ring where both are at home
-        needed = "sid <> pivot AND (home OR pivot_home OR pivot = first)"
+        pivots = pivots.groupBy("key", part.alias("part")).agg(F.min(F.struct("sid", "edges")).alias("p"))
+        pivots = materialize(pivots.select("key", F.col("p.sid").alias("pivot"), F.col("p.edges").alias("pivot_edges")))
+        # two points that only border a ring of the same level are settled in the ring where both are at home
+        needed = "sid <> pivot AND ((edges & pivot_edges) = 0 OR pivot = first)"
         pairs = rows.join(pivots, "key").where(needed).select(F.greatest("sid", "pivot").alias("u"), F.least("sid", "pivot").alias("v")).distinct()
         known = materialize(_distances(pairs, sets))
         new = known.where(f"100 * both >= {percent} * either").select("u", "v")
@@ -200,11 +212,10 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         rest = rows.drop("comp").join(pivots.select("key", F.col("pivot").alias("sid")), ["key", "sid"], "left_anti")
         rest = rest.withColumn("u", F.greatest("sid", "first")).withColumn("v", F.least("sid", "first")).join(known, ["u", "v"]).withColumn("ring", ring)
         rest = rest.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
-        both = F.array(F.struct("ring", F.col("home").alias("home")), F.struct((F.col("ring") + 1).alias("ring"), F.lit(False).alias("home")))
-        rest = rest.select("key", "sid", "comp", F.explode(both).alias("r"))
-        rest = rest.select(F.xxhash64("key", "r.ring").alias("key"), "sid", F.col("r.home").alias("home"), "comp")
-        rows = rest.groupBy("key", "sid", "comp").agg(F.max("home").alias("home"))
-        many = min(16 * many, MOST_PIVOTS)
+        rest = rest.select("key", "sid", "comp", F.explode(_both_rings(F.col("edges"), level)).alias("r"))
+        rest = rest.select(F.xxhash64("key", "r.ring").alias("key"), "sid", "r.edges", "comp")
+        rows = rest.groupBy("key", "sid", "comp").agg(F.bit_and("edges").alias("edges"))
+        many, level = min(16 * many, MOST_PIVOTS), level + 1
 
 
 def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -420,6 +420,47 @@ def test_jaccard_join_edge_tables(spark):
     assert {r.component_id for r in jaccard_join(docs(spark, data)).collect()} == {2}
 
 
+def brute_set_components(sets, percent):
+    top = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sets:
+            n = len(sets[a] & sets[b])
+            if a < b and n and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+                lo, hi = sorted((top[a], top[b]))
+                top = {d: lo if t == hi else t for d, t in top.items()}
+    return top
+
+
+def linked(spark, sets, percent):
+    from captionlake.llm.jaccard import link_components
+
+    table = spark.createDataFrame([(d, len(s), sorted(s)) for d, s in sets.items()], "sid long, n long, set array<long>")
+    comps = link_components(table, percent)
+    return {d: d for d in sets} | ({r.node: r.component for r in comps.collect()} if comps is not None else {})
+
+
+def test_jaccard_join_borders_of_two_levels(spark):
+    """2 and 3 link; by size 3 borders the ring of 2, and by distance to the pivot 1 it is 2 that borders the ring of 3."""
+    common, shared = {*range(66)}, {*range(100, 122)}
+    sets = {1: common | {66} | {*range(200, 233)}, 2: common | {66} | shared | {*range(300, 311)}, 3: common | shared | {*range(400, 411)}}
+    assert linked(spark, sets, 75) == brute_set_components(sets, 75) == {1: 1, 2: 2, 3: 2}
+
+
+def test_jaccard_join_passages(spark, monkeypatch):
+    """Sets built from shared passages, with so few pivots that regions recurse."""
+    from captionlake.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "MOST_PIVOTS", 4)
+    rng = random.Random(11)
+    sets = {}
+    for d in range(120):
+        passages = rng.sample(range(8), rng.randint(3, 5))
+        sets[d] = {20 * p + i for p in passages for i in range(20) if rng.random() < 0.97} | {1000 * d + 1000 + i for i in range(rng.randint(0, 9))}
+    got = linked(spark, sets, 75)
+    assert got == brute_set_components(sets, 75)
+    assert 3 < len({*got.values()}) < 110
+
+
 def test_components(spark):
     from captionlake.llm.components import components
 
