@@ -4,10 +4,12 @@ The non-blank lines of all documents are one sequence; a line's place is (docume
 next 2^k lines occur more than once holds the name of that block: the first place where it occurs. Two neighbouring names make the
 name of a block twice as long, so the names are the ranks of prefix doubling, and the places that share a name are a
 longest-common-prefix interval of the suffix array. Places whose block is unique have no longer repeats and leave, so
-each round handles the repeated part only, and the rounds end with the longest repeated run.
+each round handles the repeated part only.
 
-A block is a later copy when its name is an earlier place. All lines of later copies with at least MIN_WORDS words go: any
-repeated run is covered by its blocks of the largest power of two, so maximal runs go as a whole.
+A repeated run of MIN_WORDS words or more is the union of its shortest blocks with so many words: those that start at a
+line and those that end at one. They have at most MIN_WORDS lines, so the rounds end there. A block of any length n is named by
+the names of its first and its last 2^k lines (2^k <= n < 2^(k+1)) and is a later copy when an earlier place has both.
+All lines of later copies go, so maximal runs go as a whole.
 """
 
 from __future__ import annotations
@@ -28,38 +30,70 @@ LINE_BITS = 22
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def line_places(docs: DataFrame) -> DataFrame:
-    """(place, k1, k2, words): every non-blank line, named by 128 bits of hash."""
-    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(_WORD))
-    rows = docs.select("doc_id", F.posexplode(lines).alias("line", "s"))
+def _shortest(min_words: int):
+    """For each line of a text, from the lines' word counts: the lines of the shortest blocks of min_words words that start and that end there (0: none)."""
+
+    @F.arrow_udf("array<struct<ahead int, behind int>>")
+    def blocks(words: pa.Array) -> pa.Array:
+        flat = words.flatten().to_numpy(zero_copy_only=False)
+        many = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        edge = np.append(0, np.cumsum(many)).astype(np.int64)
+        upto = np.append(0, np.cumsum(flat)).astype(np.int64)
+        begin, finish = np.repeat(edge[:-1], many), np.repeat(edge[1:], many)
+        at = np.arange(len(flat), dtype=np.int64)
+        end = np.searchsorted(upto, upto[:-1] + min_words, "left")
+        start = np.searchsorted(upto, upto[1:] - min_words, "right") - 1
+        ahead = np.where(end <= finish, end - at, 0).astype(np.int32)
+        behind = np.where(start >= begin, at + 1 - start, 0).astype(np.int32)
+        rows = pa.StructArray.from_arrays([pa.array(ahead), pa.array(behind)], names=["ahead", "behind"])
+        return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), rows)
+
+    return blocks
+
+
+def line_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(place, k1, k2, ahead, behind): every non-blank line, named by 128 bits of hash, with the lines of its shortest blocks."""
+    lists = docs.select("doc_id", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(_WORD)).alias("lines"))
+    counts = F.transform("lines", lambda x: F.regexp_count(x, F.lit(_WORD)))
+    rows = lists.select("doc_id", "lines", _shortest(min_words)(counts).alias("blocks"))
+    rows = rows.select("doc_id", F.posexplode(F.arrays_zip("lines", "blocks")).alias("line", "z"))
     fits = (F.col("doc_id") >= 0) & (F.col("doc_id") < (1 << (62 - LINE_BITS))) & (F.col("line") < (1 << LINE_BITS))
     place = F.when(fits, F.col("doc_id") * (1 << LINE_BITS) + F.col("line")).otherwise(F.raise_error(F.lit("a document id or line number is out of range")).cast("long"))
-    return rows.select(place.alias("place"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(17), "s").alias("k2"), F.regexp_count("s", F.lit(_WORD)).alias("words"))
+    return rows.select(place.alias("place"), F.xxhash64("z.lines").alias("k1"), F.xxhash64(F.lit(17), "z.lines").alias("k2"), "z.blocks.ahead", "z.blocks.behind")
 
 
 def _named(rows: DataFrame) -> DataFrame:
-    """(place, name, words) of the rows whose (k1, k2) occurs more than once; name: the first place that has it.
+    """The rows whose (k1, k2) occurs more than once, with a name for it: the first place that has it.
 
     Counting is merged map-side and the names are joined back, so a line in a third of all documents is never one group.
     """
     names = materialize(rows.groupBy("k1", "k2").agg(F.min("place").alias("name"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "name"))
-    out = materialize(rows.join(names, ["k1", "k2"]).select("place", "name", "words"))
+    out = materialize(rows.join(names, ["k1", "k2"]).drop("k1", "k2"))
     discard(names)
     return out
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(place, lines): blocks of lines with enough words that an earlier place also has."""
-    now = _named(line_places(docs))
-    step, found = 1, None
-    while not now.isEmpty():
-        part = now.where((F.col("name") < F.col("place")) & (F.col("words") >= min_words)).select("place", F.lit(step).alias("lines"))
+    now = _named(line_places(docs, min_words))
+    ahead = now.where("ahead > 0").select("place", F.col("ahead").alias("lines"))
+    behind = now.where("behind > 0").select((F.col("place") - F.col("behind") + 1).alias("place"), F.col("behind").alias("lines"))
+    blocks = materialize(ahead.unionByName(behind).distinct())
+    now, step, found = now.select("place", "name"), 1, None
+    while True:
+        first = now.select("place", F.col("name").alias("first"))
+        last = now.select(F.col("place").alias("at"), F.col("name").alias("last"))
+        part = blocks.where((F.col("lines") >= step) & (F.col("lines") < 2 * step)).join(first, "place")
+        part = part.withColumn("at", F.col("place") + F.col("lines") - step).join(last, "at")
+        # the length goes into the second key: blocks of other lengths may share both names
+        part = part.select("place", "lines", F.col("first").alias("k1"), F.struct("last", "lines").alias("k2"))
+        part = _named(part).where("name < place").select("place", "lines")
         found = part if found is None else found.unionByName(part)
-        after = now.select((F.col("place") - step).alias("place"), F.col("name").alias("k2"), F.col("words").alias("more"))
-        pairs = now.select("place", F.col("name").alias("k1"), "words").join(after, "place")
-        now = _named(pairs.select("place", "k1", "k2", (F.col("words") + F.col("more")).alias("words")))
+        if 2 * step > min_words or now.isEmpty():
+            return found
+        after = now.select((F.col("place") - step).alias("place"), F.col("name").alias("k2"))
+        now = _named(now.select("place", F.col("name").alias("k1")).join(after, "place"))
         step *= 2
-    return found if found is not None else docs.select(F.lit(0).cast("long").alias("place"), F.lit(0).alias("lines")).limit(0)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

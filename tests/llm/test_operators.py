@@ -204,6 +204,34 @@ def test_line_dedup(spark, least):
     assert sum(v[1] for v in got.values()) > 10
 
 
+def brute_runs(data, least):
+    """Non-blank line numbers of runs of every length that an earlier place also has."""
+    lines = {d: t.split("\n") for d, t in data}
+    first, gone = {}, {d: set() for d in lines}
+    for d in sorted(lines):
+        for i in range(len(lines[d])):
+            for n in range(1, len(lines[d]) - i + 1):
+                block = tuple(lines[d][i : i + n])
+                if first.setdefault(block, (d, i)) < (d, i) and sum(len(s.split()) for s in block) >= least:
+                    gone[d] |= {*range(i, i + n)}
+    return {d: "\n".join(s for i, s in enumerate(x) if i not in gone[d]) for d, x in lines.items()}
+
+
+def test_line_dedup_runs_of_every_length(spark):
+    """Runs go as a whole where no power-of-two block has enough words, and with their short tails."""
+    from captionlake.llm.lines import drop_repeated_lines
+
+    rng = random.Random(4)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    runs = [[line(n) for n in sizes] for sizes in ([9] * 3, [4] * 7, [50, 5, 5], [5, 5, 50], [19], [1] * 23, [6] * 3)]
+    data = [(2 * i + k, "\n".join([line(3), *r, line(3)])) for i, r in enumerate(runs) for k in (0, 1)]
+    pool = [line(rng.randint(1, 12)) for _ in range(4)]
+    data += [(100 + i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 30)))) for i in range(12)]
+    got = {r.doc_id: r.text for r in drop_repeated_lines(docs(spark, [(d, t, None, None, 0, 0, "", "", "", 0) for d, t in data])).collect()}
+    assert got == brute_runs(data, 20)
+    assert [got[2 * i + 1].count("\n") for i in range(7)] == [1, 1, 1, 1, 2, 1, 4]
+
+
 def test_line_dedup_keeps_columns(spark):
     from captionlake.llm.lines import drop_repeated_lines
 
