@@ -110,9 +110,9 @@ def w7(spark: SparkSession, d: str) -> DataFrame:
     return r6(sequences.cap_word_durations(rows), "start", "end").select("project_id", "word_idx", "start", "end")
 
 
-def glossary(spark: SparkSession, d: str) -> DataFrame:
-    """Lists of terms: pairs of neighbouring words of each project, some twice."""
-    rows = table(spark, d, "words").where("word_idx < 40")
+def glossary(spark: SparkSession, d: str, which: str = "true") -> DataFrame:
+    """Lists of terms: pairs of neighbouring words (those that meet ``which``) of each project, some twice."""
+    rows = table(spark, d, "words").where(which)
     item = F.concat_ws(" ", F.col("text"), F.lead("text").over(sequences.by_project().orderBy("word_idx")))
     both = rows.select("project_id", F.floor(F.col("word_idx") / 4).alias("item_idx"), "word_idx", item.alias("item"))
     return both.groupBy("project_id", "item_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", "item"))), lambda x: x["item"]), ",").alias("text"))
@@ -127,7 +127,7 @@ g4 AS (SELECT project_id, term, min(item_idx * 1000 + p) AS first FROM g3 GROUP
 
 @query("w9_normalize_glossary", duck("words", f", {_TERMS} SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY first) - 1 AS term_idx, term FROM g4 QUALIFY term_idx < 200"))
 def w9(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.normalize_glossary(glossary(spark, d))
+    return sequences.normalize_glossary(glossary(spark, d, "word_idx < 40"))  # as its SQL
 
 
 @query("w8_apply_glossary")
@@ -456,11 +456,12 @@ def c5(spark: SparkSession, d: str) -> DataFrame:
 @query("c10_parse_pronunciations", duck("words", """SELECT project_id, word_idx, text AS source, reverse(text) AS target FROM words WHERE word_idx < 50 AND trim(text) <> '' AND NOT regexp_matches(text, '[=→]')"""))
 def c10(spark: SparkSession, d: str) -> DataFrame:
     """Rules written as lines of text and read back."""
-    return _rules(spark, d).select("project_id", F.posexplode("rules").alias("p", "r"), "places").select("project_id", F.get("places", F.col("p")).alias("word_idx"), "r.source", "r.target")
+    rules = _rules(spark, d, "word_idx < 50")  # as its SQL
+    return rules.select("project_id", F.posexplode("rules").alias("p", "r"), "places").select("project_id", F.get("places", F.col("p")).alias("word_idx"), "r.source", "r.target")
 
 
-def _rules(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "words").where("word_idx < 50 AND NOT text RLIKE '[=→]'")
+def _rules(spark: SparkSession, d: str, which: str = "true") -> DataFrame:
+    rows = table(spark, d, "words").where(which).where("NOT text RLIKE '[=→]'")
     line = F.concat("text", F.when(F.col("word_idx") % 2 == 0, " = ").otherwise(" => "), F.reverse("text"))
     lists = rows.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("word_idx", line.alias("line")))).alias("l"))
     lines = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
@@ -469,9 +470,9 @@ def _rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c11_apply_pronunciations")
 def c11(spark: SparkSession, d: str) -> DataFrame:
-    """The first captions of each project spoken by its own rules."""
-    rows = five_captions(table(spark, d, "words")).where("caption_idx < 10").join(_rules(spark, d), "project_id")
-    return rows.select("project_id", "caption_idx", media.apply_pronunciations(F.col("text"), F.slice("rules", 1, 10)).alias("spoken"))
+    """All captions of each project spoken by its own rules."""
+    rows = five_captions(table(spark, d, "words")).join(_rules(spark, d), "project_id", "left")
+    return rows.select("project_id", "caption_idx", media.apply_pronunciations(F.col("text"), F.coalesce("rules", F.expr("filter(array(named_struct('source', '', 'target', '')), r -> false)"))).alias("spoken"))
 
 
 @query("c15_emotion_category")

@@ -218,8 +218,8 @@ def k3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c6_repair_filename")
 def c6(spark: SparkSession, d: str) -> DataFrame:
-    """Names of documents' first words, read as Latin-1 and repaired."""
-    name = F.substring("text", 1, 12)
+    """Documents' texts as names, read as Latin-1 and repaired."""
+    name = F.col("text")
     broken = F.decode(F.encode(name, "UTF-8"), "ISO-8859-1")
     return table(spark, d, "documents").select("doc_id", text.repair_filename(broken).alias("repaired"), name.alias("name"))
 
