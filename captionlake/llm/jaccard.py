@@ -1,36 +1,36 @@
-"""Exact n-gram Jaccard join as a metric-space join with pivots.
+"""Exact n-gram Jaccard join as a metric-space join: pivots, Voronoi regions, triangle-inequality windows.
 
-Distance: 1 - |x & y| / |x | y| between sets of word shingles; documents link within RADIUS.
+Distance: 1 - |x & y| / |x | y| between sets of word shingles; documents link within the radius 1 - PERCENT / 100.
 
 1. Equal sets are merged, so a group of copies is one point.
 2. Points that cannot have a neighbour leave: a neighbour shares three quarters of a set, so a set of which more
    than a quarter of the shingles occur in no other set is alone. Counting a fixed third of all hashes is enough
-   to see that for most, and the others just stay.
-   The same is then counted exactly among the sets that stay.
-3. The first pivots are shingles, those that the fewest sets hold coming first: two sets within the radius share
-   one of the first quarter (plus one) of their shingles, so the sets around such a shingle form a region. The distance of a
-   set to the whole universe of shingles follows from its size alone; regions are cut into rings of that distance
-   a radius wide, and by the triangle inequality it is enough that each set is also put into the next ring.
-4. In each region a few points are pivots and are compared with every other point of it. The region is then cut
-   into rings by the distance to its first pivot, with a window of one radius at each border, and each ring is a region of
-   the next round, without the pivots. A region ends when its points are in one component or nobody is left.
-
-A ring holds the points at home in it and those that only border it. Two that both border a ring are settled in the
-ring before it, where both are at home. That holds for each level of rings by itself, so a row carries one bit a level
-(bit 0 for sizes, then one a round), set where it only borders, and a pair is skipped where both have the same bit.
-
-Only distances to pivots are computed, no pairs within a region are listed, and nothing is dropped: each round
-settles all pairs of its pivots.
+   to see that for most; then it is counted exactly among the sets that stay.
+3. Almost all distances between texts are 1, so pivots drawn from all documents would leave one region. The first pivots
+   are therefore shingles, those that the fewest sets hold coming first: two sets within the radius share one of the first
+   quarter (plus one) of their shingles, so the sets around such a shingle form a region. They share nothing before the
+   first common shingle: pairs with too little left from there on don't link.
+4. Each set is compared with the most central set (that of the most widespread shingles) of each of its regions. That
+   links nearly all near copies, and a region whose sets are all in one component is settled.
+5. In the others, sets outside of the central set's component become pivots, a few a region, and are compared with all sets of it.
+   If more such sets are left, the region falls into Voronoi cells: each set goes home to its nearest pivot and also into
+   every cell whose pivot is at most two radii farther (triangle inequality). The cells are the regions of the next round,
+   without the pivots, which are settled.
+
+A cell holds the sets at home in it and those that only border it. Two that only border it meet where one is at
+home. That holds for each level of cells by itself, so a row carries one bit a level, set where it only borders, and
+a pair is skipped where both have the same bit.
+
+Only distances to pivots are computed, no pairs within a region are listed, and nothing is dropped.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from captionlake.llm.bytewords import chunks, mix, row_of, shingle_hashes
@@ -40,10 +40,16 @@ from captionlake.llm.tables import discard, materialize
 SHINGLE = 5
 #: Sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Pivots of a region in one round: 1, then sixteen times as many each round, up to this.
-MOST_PIVOTS = 256
-#: Levels of rings that have a bit; the copies of later levels have none, so their pairs may be met twice.
+#: Pivots of a region in the first round of cells; four times as many each later round, up to MOST_PIVOTS.
+FIRST_PIVOTS = 32
+MOST_PIVOTS = 512
+#: A region is cut into cells where these hold at most so many times its rows.
+REPLICAS = 2
+#: Levels of cells that have a bit; the copies of later levels have none, so their pairs may be met twice.
 LEVELS = 62
+#: Two sets of n and m can link, if the shingle of this region is the first in order that both have: they share no more than what is left from
+#: there on. Where it is not the first, they have met in the region of that one.
+_ENOUGH = "least(left, pivot_left) * (100 + {0}) >= {0} * (n + m)"
 _THIRD = np.uint64(3)
 
 
@@ -107,13 +113,13 @@ def _third_job(k: int):
 def _set_job(k: int):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, want1, want2 = (batch.column(x).to_numpy() for x in ("doc_id", "k1", "k2"))
+            ids, want1, want2 = (batch.column(x).to_numpy() for x in ("node", "k1", "k2"))
             for lo, rows, r, h in shingle_sets(batch.column("text"), k):
                 n, k1, k2 = _names(rows, r, h)
                 ok = (k1 == want1[lo : lo + rows]) & (k2 == want2[lo : lo + rows])
                 edges = np.searchsorted(r, np.arange(rows + 1))
                 sets = pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))
-                table = pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + rows]), pa.array(n), sets], names=["sid", "n", "set"])
+                table = pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + rows]), pa.array(n), sets], names=["node", "n", "set"])
                 yield table.filter(pa.array(ok))
 
     return job
@@ -128,118 +134,167 @@ def _peeled(sets: DataFrame, percent: int) -> DataFrame:
     """The sets of which enough shingles occur in another of these sets too; again until few leave."""
     while True:
         before = sets.count()
-        only = sets.select("sid", F.explode("set").alias("g")).groupBy("g").agg(F.min("sid").alias("sid"), F.max("sid").alias("hi"))
-        only = only.where("sid = hi").groupBy("sid").agg(F.count("*").alias("alone"))
-        kept = materialize(sets.join(only, "sid", "left").where(F.coalesce("alone", F.lit(0)) <= _most_alone("n", percent)).drop("alone"))
+        only = sets.select("node", F.explode("set").alias("g")).groupBy("g").agg(F.min("node").alias("node"), F.max("node").alias("hi"))
+        only = only.where("node = hi").groupBy("node").agg(F.count("*").alias("alone"))
+        kept = materialize(sets.join(only, "node", "left").where(F.coalesce("alone", F.lit(0)) <= _most_alone("n", percent)).drop("alone"))
         discard(sets)
         sets = kept
         if sets.count() * 10 >= before * 9:
             return sets
 
 
-def _rare_first(sets: DataFrame) -> DataFrame:
-    """The same sets, each in the order of how many sets hold a shingle (then by hash): one order for all."""
-    rows = sets.select("sid", F.explode("set").alias("g"))
-    held = materialize(rows.groupBy("g").agg(F.count("*").alias("df")))
-    order = rows.join(held, "g").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
-    return materialize(sets.select("sid", "n").join(order, "sid").select("sid", "n", F.col("o.g").alias("set")))
+def shingle_regions(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, set, rank, keys): each set once, its place in the order of centrality, and the regions of its first shingles.
 
+    Shingles are ordered by how many sets hold them, then by which sets these are. Of shingles that the same sets hold only the
+    first makes a region, as the others would hold the same pairs; left counts a set's shingles from that one on. The rank is least
+    for sets of widespread shingles.
+    """
+    rows = sets.select("node", F.explode("set").alias("g"))
+    held = materialize(rows.groupBy("g").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("node")).alias("who")))
+    order = rows.join(held, "g").groupBy("node").agg(F.collect_set(F.struct("df", "who", "g")).alias("o"), F.avg("df").alias("spread"))
+    full = sets.select("node", "n").distinct().join(order, "node").withColumn("o", F.array_sort("o"))
+    first = F.slice("o", F.lit(1), (_most_alone("n", percent) + 1).cast("int"))
+    other = lambda x, i: (i == 0) | (x["who"] != F.get("o", i - 1)["who"]) | (x["df"] != F.get("o", i - 1)["df"])
+    keys = F.transform(first, lambda x, i: F.struct(F.xxhash64(x["df"], x["who"]).alias("key"), (F.col("n") - i).alias("left"), ((x["df"] > 1) & other(x, i)).alias("new")))
+    keys = F.filter(keys, lambda x: x["new"])
+    central = (F.lit(1 << 31) - F.least(F.col("spread") * 256, F.lit(1 << 30))).cast("long") * (1 << 31)
+    rank = central + F.pmod(F.xxhash64("node"), F.lit(1 << 31))
+    out = materialize(full.select("node", "n", F.col("o.g").alias("set"), rank.alias("rank"), keys.alias("keys")))
+    discard(held)
+    return out
 
-def _regions(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, sid, edges) rows: prefix shingle and size ring; edges is 1 in the ring that a set only borders."""
-    width = math.log(100 / percent)
-    first = sets.select(
-        "sid", F.floor(F.log(F.col("n").cast("double")) / width + 1e-9).alias("ring"),
-        F.explode(F.slice("set", F.lit(1), (_most_alone("n", percent) + 1).cast("int"))).alias("g"),
-    )
-    rows = first.select("sid", "g", F.explode(_both_rings(F.lit(0).cast("long"), 0)).alias("r"))
-    return rows.select(F.xxhash64("g", "r.ring").alias("key"), "sid", "r.edges")
+
+def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (u, v) with their intersection and union sizes."""
+    a = sets.select(F.col("node").alias("u"), F.col("n").alias("na"), F.col("set").alias("sa"))
+    b = sets.select(F.col("node").alias("v"), F.col("n").alias("nb"), F.col("set").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("both"), (F.col("na") + F.col("nb") - both).alias("either"))
+
+
+def _linked(known: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame | None:
+    """comps (node, component) with the links among known pairs added; None while there is no link at all."""
+    new = known.where(f"100 * both >= {percent} * either").select("u", "v")
+    if comps is not None:
+        a = comps.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+        b = comps.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+        new = new.join(a, "u", "left").join(b, "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+    new = materialize(new)
+    if new.isEmpty():
+        return comps
+    edges = new if comps is None else new.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return materialize(components(edges))
 
 
-def _both_rings(edges: F.Column, level: int) -> F.Column:
-    """The own ring and the next one, which the point only borders."""
-    bordering = edges.bitwiseOR(F.lit(1 << level if level < LEVELS else 0).cast("long"))
-    return F.array(F.struct("ring", edges.alias("edges")), F.struct((F.col("ring") + 1).alias("ring"), bordering.alias("edges")))
+def _with_components(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    if comps is None:
+        return rows.withColumn("comp", F.col("node"))
+    return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """The regions that can still hold an unsettled pair (two components, and no level that all only border), with their least point."""
-    alive = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_and("edges").alias("all"), F.min("sid").alias("first"))
-    return materialize(alive.where("lo < hi AND all = 0").select("key", "first"))
+    """Rows of regions that can hold an unsettled pair, marked as active where they are not in the component of the most central set.
 
+    A region is settled when all its sets are in one component, or all only border it on one level.
+    """
+    alive = rows.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_and("edges").alias("all"), F.min_by("comp", "rank").alias("main"), F.count("*").alias("members")
+    )
+    alive = alive.where("lo < hi AND all = 0").select("key", "main", "members")
+    return rows.join(alive, "key").withColumn("active", F.col("comp") != F.col("main")).drop("main")
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (u, v) with their intersection and union sizes."""
-    a = sets.select(F.col("sid").alias("u"), F.col("n").alias("na"), F.col("set").alias("sa"))
-    b = sets.select(F.col("sid").alias("v"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("both"), (F.col("na") + F.col("nb") - both).alias("either"))
 
+def _cells(rows: DataFrame, near: DataFrame, level: int, radius: float) -> DataFrame:
+    """The Voronoi cells of regions with more active sets than pivots, without the pivots.
 
-def _joining(links: DataFrame, comps: DataFrame) -> DataFrame:
-    """Links (u, v) between two components."""
-    a = comps.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-    b = comps.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-    return links.join(a, "u", "left").join(b, "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
+    A set's home is the cell of its nearest pivot. If it is within the radius of a set with another home, its distance to that
+    pivot is at most two radii more than to its own, by the triangle inequality: it borders all such cells. A region that its borders
+    would blow up to more than REPLICAS times its size stays whole.
+    """
+    least = near.groupBy("key", "node").agg(F.min(F.struct("away", "pivot")).alias("home"))
+    put = near.join(least, ["key", "node"]).where(F.col("away") <= F.col("home.away") + 2 * radius + 1e-9)
+    put = put.select("key", "node", "pivot", (F.col("pivot") != F.col("home.pivot")).alias("border"))
+    put = materialize(put)
+    much = put.groupBy("key").agg(F.count("*").alias("copies"), F.countDistinct("node").alias("rest")).withColumn("whole", F.col("copies") > REPLICAS * F.col("rest"))
+    mark = F.lit(1 << level if level < LEVELS else 0).cast("long")
+    kept = rows.select("key", "node", "n", "left", "rank", "edges").join(much.select("key", "whole"), "key")
+    whole = kept.where("whole").join(put.select("key", "node").distinct(), ["key", "node"]).drop("whole")
+    split = kept.where("NOT whole").drop("whole").join(put, ["key", "node"])
+    split = split.select(
+        F.xxhash64("key", "pivot").alias("key"), "node", "n", "left", "rank", F.when(F.col("border"), F.col("edges").bitwiseOR(mark)).otherwise(F.col("edges")).alias("edges")
+    )
+    out = materialize(whole.unionByName(split))
+    discard(put)
+    return out
 
 
-def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) for all sets (sid, n, set) that link with another, by rounds of pivots."""
+def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """(node, component) for all sets (node, n, set) that link with another; None if none does."""
     radius = 1 - percent / 100
-    rows = _regions(sets, percent).withColumn("comp", F.col("sid"))
-    comps, many, level = None, 1, 1
+    sets = shingle_regions(sets, percent)
+    rows = sets.select("node", "n", "rank", F.lit(0).cast("long").alias("edges"), F.explode("keys").alias("k")).select("node", "n", "rank", "edges", "k.key", "k.left")
+    # a set that is too small from the region's shingle on, even for the region's smallest set, has no link here
+    least = rows.groupBy("key").agg(F.min("n").alias("m"), F.count("*").alias("members")).where("members > 1").select("key", "m")
+    rows = materialize(rows.join(least, "key").where(f"left * {100 + percent} >= {percent} * (n + m)").drop("m"))
+    # first every set against the most central one of each of its regions
+    heads = rows.groupBy("key").agg(F.min_by("node", "rank").alias("pivot"), F.min_by("n", "rank").alias("m"), F.min_by("left", "rank").alias("pivot_left"), F.count("*").alias("members")).where("members > 1")
+    pairs = rows.join(heads, "key").where(f"node <> pivot AND {_ENOUGH.format(percent)}")
+    known = materialize(_distances(pairs.select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct(), sets))
+    comps, level, most = _linked(known, None, percent), 0, FIRST_PIVOTS
+    discard(known)
     while True:
-        rows = materialize(rows)
-        alive = _open(rows)
-        if alive.isEmpty():
+        live = materialize(_open(_with_components(rows, comps)))
+        discard(rows)
+        if live.isEmpty():
+            discard(live)
+            discard(sets)
+            return comps
+        order = Window.partitionBy("key").orderBy("rank", "node")
+        pivots = live.where("active").withColumn("r", F.row_number().over(order)).where(F.col("r") <= most + 1)
+        full = pivots.groupBy("key").agg((F.max("r") > most).alias("more"))
+        pivots = pivots.where(F.col("r") <= most).select("key", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("left").alias("pivot_left"), F.col("comp").alias("pivot_comp"), F.col("edges").alias("pivot_edges"))
+        pivots = materialize(pivots.join(full, "key"))
+        # where all active sets are pivots, only pairs that can still join two components count; elsewhere all distances make the cells
+        needed = f"node <> pivot AND (more OR (comp <> pivot_comp AND (edges & pivot_edges) = 0 AND {_ENOUGH.format(percent)}))"
+        pairs = materialize(live.select("key", "node", "n", "left", "comp", "edges").join(pivots, "key").where(needed).select("key", "node", "pivot", "more"))
+        u, v = F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")
+        known = materialize(_distances(pairs.select(u, v).distinct(), sets))
+        comps = _linked(known, comps, percent)
+        if full.where("more").isEmpty():
+            for table in (live, pivots, pairs, known, sets):
+                discard(table)
             return comps
-        rows = materialize(rows.join(alive, "key"))
-        # the least point of each of ``many`` hash classes, the region's least point among them
-        part = F.when(F.col("sid") == F.col("first"), -1).otherwise(F.pmod(F.xxhash64(F.lit(many), "sid"), F.lit(many)))
-        pivots = rows.where("sid = first") if many == 1 else rows
-        pivots = pivots.groupBy("key", part.alias("part")).agg(F.min(F.struct("sid", "edges")).alias("p"))
-        pivots = materialize(pivots.select("key", F.col("p.sid").alias("pivot"), F.col("p.edges").alias("pivot_edges")))
-        # two points that only border a ring of the same level are settled in the ring where both are at home
-        needed = "sid <> pivot AND ((edges & pivot_edges) = 0 OR pivot = first)"
-        pairs = rows.join(pivots, "key").where(needed).select(F.greatest("sid", "pivot").alias("u"), F.least("sid", "pivot").alias("v")).distinct()
-        known = materialize(_distances(pairs, sets))
-        new = known.where(f"100 * both >= {percent} * either").select("u", "v")
-        if comps is None:
-            comps = materialize(components(new))
-        elif not _joining(new, comps).isEmpty():
-            comps = materialize(components(new.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v")))))
-        ring = F.floor((1 - F.col("both") / F.col("either")) / radius + 1e-9)
-        rest = rows.drop("comp").join(pivots.select("key", F.col("pivot").alias("sid")), ["key", "sid"], "left_anti")
-        rest = rest.withColumn("u", F.greatest("sid", "first")).withColumn("v", F.least("sid", "first")).join(known, ["u", "v"]).withColumn("ring", ring)
-        rest = rest.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
-        rest = rest.select("key", "sid", "comp", F.explode(_both_rings(F.col("edges"), level)).alias("r"))
-        rest = rest.select(F.xxhash64("key", "r.ring").alias("key"), "sid", "r.edges", "comp")
-        rows = rest.groupBy("key", "sid", "comp").agg(F.bit_and("edges").alias("edges"))
-        many, level = min(16 * many, MOST_PIVOTS), level + 1
+        near = pairs.where("more").join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").withColumns({"u": u, "v": v}).join(known, ["u", "v"])
+        near = near.select("key", "node", "pivot", (1 - F.col("both") / F.col("either")).alias("away"))
+        rows = _cells(live.join(full.where("more"), "key", "left_semi"), near, level, radius)
+        for table in (live, pivots, pairs, known):
+            discard(table)
+        most, level = min(4 * most, MOST_PIVOTS), level + 1
 
 
 def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id that links lead to) for every document.
 
     Cases: A-Z count as a-z; a text of fewer than k words is one shingle; null or empty texts have no shingles, link
-    with nothing and are their own component; equal texts are one point and share its component; repeated ids and
-    rows are all returned; rows without an id take part through their copies only; an empty table gives no rows;
-    other columns are ignored.
+    with nothing and are their own component; equal texts are one point and share its component; very long texts are one set
+    like others; repeated ids and rows are all returned, and different texts under one id are points of their own; rows without
+    an id take part through their copies only; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = materialize(slim.mapInArrow(_name_job(k), "doc_id long, n long, k1 long, k2 long"))
-    points = materialize(named.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("sid")))
+    points = named.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("sid"))
+    points = materialize(points.withColumn("node", F.monotonically_increasing_id()))  # written, so that the numbers stay
     thirds = slim.mapInArrow(_third_job(k), "h long, k1 long")
     only = thirds.groupBy("h").agg(F.min("k1").alias("k1"), F.max("k1").alias("hi")).where("k1 = hi").groupBy("k1").agg(F.count("*").alias("alone"))
     left = points.join(only, "k1", "left").where(F.coalesce("alone", F.lit(0)) <= _most_alone("n", percent)).where("sid IS NOT NULL")
-    left = materialize(left.select("sid", "n", "k1", "k2"))
-    sets = slim.join(left.select(F.col("sid").alias("doc_id"), "k1", "k2"), "doc_id")
-    sets = materialize(sets.mapInArrow(_set_job(k), "sid long, n long, set array<long>"))
-    sets = _rare_first(_peeled(sets, percent))
-    comps = link_components(sets, percent)
+    left = materialize(left.select("node", F.col("sid").alias("doc_id"), "k1", "k2"))
+    sets = materialize(slim.join(left, "doc_id").mapInArrow(_set_job(k), "node long, n long, set array<long>"))
+    comps = link_components(_peeled(sets, percent), percent)
     if comps is not None:
-        points = points.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("sid", F.coalesce("component", "sid")).drop("component")
-    points = materialize(points)
+        joined = points.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = joined.groupBy("component").agg(F.min("sid").alias("least"))
+        points = materialize(joined.join(least, "component").select("n", "k1", "k2", F.col("least").alias("sid")))
     full = named.where("n > 0").join(points, ["n", "k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("sid").alias("component_id"))
     empty = named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)
