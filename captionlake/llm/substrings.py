@@ -1,13 +1,20 @@
-"""Substring dedup: removes word windows that a document with a smaller id already has.
-
-Plan. A window of WINDOW words is represented by its anchor, the GRAM-word piece with the least hash in it
-(leftmost of equals): equal windows have equal anchors at equal places, so windows whose anchor occurs in one
-document only are settled by one count over anchors, and a text has about 2 anchors per WINDOW - GRAM words.
-The suffixes that are left are partitioned by prefix: the anchor is the short prefix, and where the suffixes below
-an anchor are too many for one task's memory, the prefix is lengthened to the whole window and the group becomes
-one node of the tree, a grouped minimum. Each memory-sized group builds the tree of its suffixes as an array sorted
-by prefix doubling down to depth WINDOW; the internal nodes at that depth are the repeats, and the least document
-below a node owns it. Equal segments are merged before they meet, so copies never gather in one group.
+"""Substring dedup: removes word windows that a document with a smaller id already has, by prefix-partitioned suffix trees.
+
+Which suffixes. The anchor of a window of WINDOW words is the GRAM-word piece with the least hash in it (leftmost of equals). Equal
+windows have equal anchors at equal places, so only suffixes that start at an anchor need a tree (about 2 per WINDOW - GRAM
+words), and only those whose anchor occurs in more than one document. A suffix comes with the segment of text that its
+windows cover: at most WINDOW words to the right and WINDOW - GRAM to the left. Equal segments are merged before they meet, so
+copies never gather in one group.
+
+Partition by prefix. Suffixes are partitioned by their first GRAM words. Where more than PREFIX_SEGMENTS segments share a prefix it
+is lengthened: the windows are halved by where they begin, and each half is filed under the longest words that all its
+windows contain, a prefix of GRAM + (WINDOW - GRAM) / 2 words of the suffix that starts at the half's last window, and so on until
+the prefixes are short of neither memory nor words: a prefix of WINDOW words is one node by itself, a grouped minimum.
+
+Trees. A memory-sized group of prefixes builds, for each prefix, the tree of the suffixes and the tree of the reversed words before
+them, both as a sorted array with longest common prefixes; a node of depth d is a run of neighbours that share d words. A
+window that begins o words before its anchor is repeated where leaves are together below a node of depth WINDOW - o of the first
+tree and one of depth o of the second: the deep internal nodes. The least document below owns the window.
 """
 
 from __future__ import annotations
@@ -25,9 +32,9 @@ from captionlake.llm.tables import discard, materialize
 
 WINDOW = 50
 GRAM = 10
-#: Segments in one tree group, and distinct segments below one anchor from which its prefix is lengthened.
-GROUP_SEGMENTS = 4_000
-HOT_SEGMENTS = 2_000
+#: Segments in one tree group, and segments below one prefix from which it is lengthened.
+GROUP_SEGMENTS = 1_000
+PREFIX_SEGMENTS = 250
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -41,7 +48,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(chunk: Chunk, window: int) -> tuple[np.ndarray, ...]:
-    """Per run of windows with one anchor: row, anchor hash, first and last window start (word indices of the
+    """Per run of windows with one anchor: row, anchor hash, first and last window start, anchor (word indices of the
     chunk); then the words' starts and ends and each row's first word."""
     gram = min(GRAM, window)
     start, end, first = chunk.words()
@@ -50,7 +57,7 @@ def anchors(chunk: Chunk, window: int) -> tuple[np.ndarray, ...]:
     n = len(start) - window + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none.astype(np.uint64), none, none, start, end, first
+        return none, none.astype(np.uint64), none, none, none, start, end, first
     place = np.arange(len(grams), dtype=np.uint64) & _PLACE
     at = _sliding_min((grams & ~_PLACE) | place, width) & _PLACE
     begins = np.arange(n, dtype=np.int64)
@@ -65,7 +72,7 @@ def anchors(chunk: Chunk, window: int) -> tuple[np.ndarray, ...]:
     tail = np.append(lead[1:], len(begins)) - 1
     a = begins[lead] if len(lead) else begins[:0]
     b = begins[tail] if len(lead) else begins[:0]
-    return row[a], grams[anchor[lead]], a, b, start, end, first
+    return row[a], grams[anchor[lead]], a, b, anchor[lead], start, end, first
 
 
 def _emit_anchors(window: int):
@@ -92,7 +99,7 @@ def _emit_segments(window: int):
             many = lists.value_lengths().to_numpy(zero_copy_only=False)
             known = mix(known + np.repeat(np.arange(len(many)), many).astype(np.uint64) * salt)
             for c in chunks(batch.column("text")):
-                row, h, a, b, start, end, first = anchors(c, window)
+                row, h, a, b, anchor, start, end, first = anchors(c, window)
                 at = np.flatnonzero(np.isin(mix(h + (row + c.lo).astype(np.uint64) * salt), known))
                 if not len(at):
                     continue
@@ -102,10 +109,8 @@ def _emit_segments(window: int):
                 for i in range(0, len(at), step):
                     j = at[i : i + step]
                     seg = [raw[x:y] for x, y in zip(lo[i : i + step].tolist(), hi[i : i + step].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[j].view(np.int64)), pa.array(ids[c.lo + row[j]]), pa.array(a[j] - first[row[j]]), pa.array(seg, pa.binary())],
-                        names=["h", "doc_id", "a", "seg"],
-                    )
+                    columns = [pa.array(x) for x in (h[j].view(np.int64), ids[c.lo + row[j]], a[j] - first[row[j]], anchor[j] - a[j])]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(seg, pa.binary())], names=["h", "doc_id", "a", "anchor", "seg"])
 
     return job
 
@@ -118,79 +123,97 @@ def _runs(row: np.ndarray, off: np.ndarray, owner: np.ndarray) -> tuple[np.ndarr
     return row[at], off[at], np.diff(np.append(at, len(row))), owner[at]
 
 
-def depth_ranks(words: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of all suffixes by their first ``depth`` words, by prefix doubling; equal ranks: equal prefixes."""
-    rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
-    have = 1
-    while have < depth:
-        step = min(have, depth - have)
-        n = len(rank) - step
-        if n <= 0:
-            return rank[:0]
-        pair = rank[:n] * np.int64(len(words) + 1) + rank[step : step + n]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        have += step
-    return rank
+def sorted_suffixes(prefix: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of rows of words below their prefixes: the order, and what each shares with the one before it (-1: not even the prefix)."""
+    order = np.lexsort([*words.T[::-1], prefix])
+    same = words[order][1:] == words[order][:-1]
+    shared = np.where(same.all(axis=1), words.shape[1], same.argmin(axis=1)) if words.shape[1] else np.zeros(len(same), np.int64)
+    return order, np.append(-1, np.where(prefix[order][1:] == prefix[order][:-1], shared, -1))
+
+
+def nodes_at(order: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
+    """The node of each leaf at a depth: neighbours that share so many words are below the same one."""
+    node = np.empty(len(order), np.int64)
+    node[order] = np.cumsum(shared < depth)
+    return node
+
+
+def window_owners(prefix: np.ndarray, words: np.ndarray, first: np.ndarray, anchor: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, window start in it, least owner of an equal window) for every window of all segments, in order.
+
+    Segment i has words[first[i] : first[i + 1]] and its suffix starts at anchor[i] in it; prefix[i] is a number for its prefix.
+    """
+    many = np.diff(first)
+    behind, ahead = anchor, many - anchor  # words before the suffix and in it
+    code = np.append(np.unique(words, return_inverse=True)[1] + 1, 0)  # 0: past the segment's end
+    place = lambda at, inside: np.where(inside, (first[:-1] + anchor)[:, None] + at, len(words))
+    right = np.arange(min(window, int(ahead.max())))[None, :]
+    left = np.arange(1, int(behind.max()) + 1)[None, :]
+    forward = sorted_suffixes(prefix, code[place(right, right < ahead[:, None])])
+    backward = sorted_suffixes(prefix, code[place(-left, left <= behind[:, None])])
+    rows, starts, owners = [], [], []
+    for o in range(int(behind.max()) + 1):
+        at = np.flatnonzero((o <= behind) & (window - o <= ahead))
+        if len(at):
+            node = nodes_at(*forward, window - o)[at] * len(many) + nodes_at(*backward, o)[at]
+            _, below = np.unique(node, return_inverse=True)
+            least = np.full(below.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, below, owner[at])
+            rows.append(at)
+            starts.append(anchor[at] - o)
+            owners.append(least[below])
+    row, start, own = (np.concatenate(x) if rows else np.zeros(0, np.int64) for x in (rows, starts, owners))
+    order = np.lexsort((start, row))
+    return row[order], start[order], own[order]
 
 
 def _tree(window: int):
     def job(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        h = table.column("h").to_numpy()
-        owner = table.column("first_doc").to_numpy()
         column = table.column("seg").combine_chunks().cast(pa.large_binary()).cast(pa.large_string())
         hashed, counts = [], []
         for c in chunks(column):
             start, end, first = c.words()
             hashed.append(c.hashes(start, end))
             counts.append(np.diff(first))
-        words, count = np.concatenate(hashed), np.concatenate(counts)
-        first = np.append(0, np.cumsum(count))
-        _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
-        alone = times[inverse] == 1  # the only segment below its anchor: every window is its own node
-        rows = [np.flatnonzero(alone)]
-        offs, lens, owners = [np.zeros(len(rows[0]), np.int64)], [count[rows[0]] - window + 1], [owner[rows[0]]]
-        if not alone.all():
-            row = row_of(first)
-            keep = ~alone[row]
-            begins = np.flatnonzero(keep)  # word indices that take part
-            rank = depth_ranks(words[begins], window)
-            place = (begins - first[row[begins]])[: len(rank)]
-            inside = place <= count[row[begins[: len(rank)]]] - window
-            r, brow, off = rank[inside], row[begins[: len(rank)]][inside], place[inside]
-            order = np.argsort(r, kind="stable")
-            edges = np.flatnonzero(np.append(True, r[order][1:] != r[order][:-1]))
-            least = np.minimum.reduceat(owner[brow[order]], edges)
-            mine = np.empty(len(r), owner.dtype)
-            mine[order] = np.repeat(least, np.diff(np.append(edges, len(order))))
-            for into, x in zip((rows, offs, lens, owners), _runs(brow, off, mine), strict=True):
-                into.append(x)
-        at = np.concatenate(rows)
-        return pa.table(
-            {
-                "k1": table.column("k1").to_numpy()[at], "k2": table.column("k2").to_numpy()[at],
-                "off": np.concatenate(offs), "len": np.concatenate(lens), "owner": np.concatenate(owners),
-            }
-        )
+        first = np.append(0, np.cumsum(np.concatenate(counts)))
+        prefix, anchor, owner, skip = (table.column(n).to_numpy() for n in ("prefix", "anchor", "first_doc", "skip"))
+        row, start, own = window_owners(prefix, np.concatenate(hashed), first, anchor, owner, window)
+        at, off, many, own = _runs(row, start, own)
+        columns = {"k1": table.column("k1").to_numpy()[at], "k2": table.column("k2").to_numpy()[at], "off": off + skip[at], "len": many, "owner": own}
+        return pa.table(columns)
 
     return job
 
 
-def _long_prefixes(window: int):
-    """Every window of a segment by a 128-bit name of all its words."""
+def _lengthen(window: int):
+    """Each segment once for each half of its windows, with the words of those windows only and their longer prefix."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2, owner = (batch.column(n).to_numpy() for n in ("k1", "k2", "first_doc"))
+            k1, k2, owner, anchors_, lows, highs, skips = (batch.column(n).to_numpy() for n in ("k1", "k2", "first_doc", "anchor", "low", "high", "skip"))
             for c in chunks(batch.column("seg").cast(pa.large_binary()).cast(pa.large_string())):
                 start, end, first = c.words()
-                words, row = c.hashes(start, end), row_of(first)
-                at = np.flatnonzero(row[: len(row) - window + 1] == row[window - 1 :])
-                w1, w2 = shingle_hashes(words, window)[at], shingle_hashes(mix(words ^ np.uint64(0x5851F42D4C957F2D)), window)[at]
-                row = row[at]
-                names = ["k1", "k2", "off", "w1", "w2", "first_doc"]
-                columns = [k1[c.lo + row], k2[c.lo + row], at - first[row], w1.view(np.int64), w2.view(np.int64), owner[c.lo + row]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+                words, many, raw = c.hashes(start, end), np.diff(first), c.data.tobytes()
+                anchor, low, high = (x[c.lo : c.lo + c.rows] for x in (anchors_, lows, highs))
+                least, most = anchor - (many - window), anchor  # a segment's windows begin so many words before its anchor
+                for l, h in {*zip(low.tolist(), high.tolist(), strict=True)}:
+                    middle = (l + h) // 2
+                    for a, b in ((l, middle), (middle + 1, h)):
+                        at = np.flatnonzero((low == l) & (high == h) & (most >= a) & (least <= b))
+                        if not len(at):
+                            continue
+                        length = window - (b - a)
+                        begin = first[at] + anchor[at] - a
+                        salt = np.uint64(a * (window + 1) + b)
+                        pre = [mix(shingle_hashes(x, length)[begin] + salt).view(np.int64) for x in (words, mix(words ^ np.uint64(0x5851F42D4C957F2D)))]
+                        lead = np.minimum(most[at], b)  # words before the anchor that stay
+                        lo, hi = first[at] + anchor[at] - lead, first[at] + anchor[at] - np.maximum(least[at], a) + window
+                        seg = [raw[x:y] for x, y in zip(start[lo].tolist(), end[hi - 1].tolist(), strict=True)]
+                        row = c.lo + at
+                        columns = [*pre, k1[row], k2[row], owner[row], lead, np.full(len(at), a), np.full(len(at), b), skips[row] + anchor[at] - lead]
+                        names = ["prefix", "second", "k1", "k2", "first_doc", "anchor", "low", "high", "skip", "seg"]
+                        yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in columns], pa.array(seg, pa.binary())], names=names)
 
     return job
 
@@ -228,25 +251,39 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = materialize(docs.where("doc_id IS NOT NULL").mapInArrow(_emit_anchors(window), "doc_id long, h long"))
     shared = materialize(found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"))
     lists = found.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
-    segments = docs.join(lists, "doc_id").select("doc_id", "text", "hs").mapInArrow(_emit_segments(window), "h long, doc_id long, a long, seg binary")
+    segments = docs.join(lists, "doc_id").select("doc_id", "text", "hs").mapInArrow(_emit_segments(window), "h long, doc_id long, a long, anchor long, seg binary")
     segments = segments.withColumn("k1", F.xxhash64("h", "seg")).withColumn("k2", F.xxhash64(F.lit(1), "seg"))
     segments = materialize(segments)
-    discard(found)
-    discard(shared)
-    merged = segments.groupBy("h", "k1", "k2", "seg").agg(F.min("doc_id").alias("first_doc"))
-    merged = materialize(merged)
-    hot = materialize(merged.groupBy("h").count().where(F.col("count") > HOT_SEGMENTS).select("h"))
-    groups = max(1, -(-merged.count() // GROUP_SEGMENTS))
+    discard(found, shared)
+    merged = segments.groupBy("h", "k1", "k2", "seg").agg(F.min("doc_id").alias("first_doc"), F.min("anchor").alias("anchor"))
+    whole = lambda n: F.lit(n).cast("long")
+    names = ["prefix", "second", "k1", "k2", "first_doc", "anchor", "low", "high", "skip", "seg"]
+    rows = merged.withColumnsRenamed({"h": "prefix"}).withColumns({"second": whole(0), "low": whole(0), "high": whole(window - min(GRAM, window)), "skip": whole(0)})
+    rows, small, held, width = materialize(rows.select(names)), None, [], window - min(GRAM, window) + 1
     result = "k1 long, k2 long, off long, len long, owner long"
-    trees = merged.join(hot, "h", "left_anti").withColumn("grp", F.pmod(F.xxhash64("h"), F.lit(groups)))
-    trees = trees.groupBy("grp").applyInArrow(_tree(window), result)
-    deep = merged.join(hot, "h", "left_semi").mapInArrow(
-        _long_prefixes(window), "k1 long, k2 long, off long, w1 long, w2 long, first_doc long"
-    )
-    nodes = deep.groupBy("w1", "w2").agg(F.min("first_doc").alias("owner"))
-    split = deep.join(nodes, ["w1", "w2"]).select("k1", "k2", "off", F.lit(1).cast("long").alias("len"), "owner")
-    owners = materialize(trees.unionByName(split))
-    discard(merged)
+    while True:
+        held.append(rows)
+        if width == 1:  # the prefixes are whole windows
+            nodes = rows.groupBy("prefix", "second").agg(F.min("first_doc").alias("owner"))
+            deep = rows.select("prefix", "second", "k1", "k2", "skip").join(nodes, ["prefix", "second"]).select("k1", "k2", F.col("skip").alias("off"), whole(1).alias("len"), "owner")
+            break
+        hot = materialize(rows.groupBy("prefix").count().where(F.col("count") > PREFIX_SEGMENTS).select("prefix"))
+        part = rows.join(hot, "prefix", "left_anti")
+        small = part if small is None else small.unionByName(part)
+        if hot.isEmpty():
+            deep = None
+            break
+        longer = rows.join(hot, "prefix", "left_semi").select(names).mapInArrow(_lengthen(window), rows.schema)
+        rows, width = materialize(longer), -(-width // 2)
+        held.append(hot)
+    if small is None:
+        owners = deep
+    else:
+        groups = max(1, -(-small.count() // GROUP_SEGMENTS))
+        trees = small.withColumn("grp", F.pmod(F.xxhash64("prefix"), F.lit(groups))).groupBy("grp").applyInArrow(_tree(window), result)
+        owners = trees if deep is None else trees.unionByName(deep)
+    owners = materialize(owners)
+    discard(*held)
     # a window found in more than one run of a document is harmless: cuts are merged where they are applied
     return (
         segments.select("doc_id", "a", "k1", "k2").join(owners, ["k1", "k2"]).where("owner < doc_id")
@@ -261,7 +298,8 @@ def drop_repeated_windows(
 
     Cases: a null or empty text has no words; texts shorter than a window lose nothing; rows without an id are kept
     whole and own nothing; rows that share an id count as parts of one document and never take words from each
-    other; equal rows are equal copies; an empty table gives no rows; other columns are ignored.
+    other; equal rows are equal copies; a very long text is cut into segments like others, and is one task's work in itself only;
+    an empty table gives no rows; other columns are ignored, whatever their names.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and, unless with_text is false, kept (the kept words joined by one space).
     """
