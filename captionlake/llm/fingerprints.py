@@ -3,24 +3,33 @@
 Each term (SHINGLE words in a row) votes with its weight, the number of its occurrences, on BITS signed bits: one bit
 of its two 64-bit hashes each. The votes are counted as packed sums: a long holds four 16-bit counters, so a part of
 a text of at most PART terms needs BITS / 4 sums, and parts are added up afterwards.
+
+Near fingerprints are searched by permuted block tables: the bits are cut into RADIUS + AGREE blocks, of which two fingerprints within
+RADIUS bits have AGREE in common at least, and a table for each choice of AGREE blocks is keyed by their bits.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from captionlake.llm.tables import discard, materialize
+from captionlake.llm.tables import materialize
 
 BITS = 128
-#: Documents count as near when their fingerprints differ in at most so many bits.
-RADIUS = 3
+#: Fingerprints are near when they differ in at most so many bits.
+RADIUS = 7
+#: Equal blocks that key a table: 2 of 9 blocks make 36 tables with keys of 28 bits.
+AGREE = 2
+#: Queries of the search: documents whose id is divisible by this.
+EVERY = 100
 SHINGLE = 2
 #: Terms of one part: a 16-bit counter holds as many.
 PART = 32_768
-#: Documents of one range of ids, between which the next document is looked up.
-RANGE = 256
-MOST_RANGES = 65_536
+#: Documents of one range of ids, between which the next document is looked up; ranges are even between so many sampled quantiles.
+RANGE = 2048
+QUANTILES = 1024
 _LANES = 0x0001000100010001
 
 
@@ -71,94 +80,124 @@ def likeness(a1: str, a2: str, b1: str, b2: str) -> Column:
     return 1 - (F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) + F.bit_count(F.col(a2).bitwiseXOR(F.col(b2)))) / F.lit(float(BITS))
 
 
-def near_fingerprints(prints: DataFrame, radius: int) -> DataFrame:
-    """Pairs of different fingerprints within ``radius`` bits: (lo1, lo2, hi1, hi2, distance), equal ones merged first.
+def block_keys(fp1: str, fp2: str, radius: int = RADIUS, agree: int = AGREE) -> Column:
+    """The keys of a fingerprint in all tables: a number for the table and the bits of its blocks."""
+    blocks = radius + agree
+    text = F.concat(F.lpad(F.bin(fp1), 64, "0"), F.lpad(F.bin(fp2), 64, "0"))
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
+    piece = [F.substring(text, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)]
+    return F.array(*[F.xxhash64(F.lit(t), *[piece[i] for i in which]) for t, which in enumerate(combinations(range(blocks), agree))])
+
 
-    Permuted block tables: with the bits cut into radius + 1 blocks, two fingerprints within the radius agree in one
-    block at least. Each table is the fingerprints keyed by one block; a table join on the block (and its number) finds
-    all pairs, each reported once, from its first equal block. Copies are one point, so a group of copies is never
-    expanded; a block with very many different fingerprints is split by the join itself (skew join).
+def near_fingerprints(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(q1, q2, fp1, fp2, distance): every different fingerprint of prints within ``radius`` bits of one of queries (both: fp1, fp2).
+
+    Equal fingerprints are one point on both sides, so copies are never expanded. All rows are in the tables; only tables'
+    rows whose key a query has are compared with it. A pair may meet in several tables and is given once.
     """
-    points = materialize(prints.select("fp1", "fp2").distinct())
-    blocks = radius + 1
-    text = F.concat(F.lpad(F.bin("fp1"), 64, "0"), F.lpad(F.bin("fp2"), 64, "0"))
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    pieces = F.array(*[F.substring(text, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)])
-    table = points.select("fp1", "fp2", F.posexplode(pieces).alias("block", "piece"), pieces.alias("pieces"))
-    a, b = table.alias("a"), table.alias("b")
-    away = F.bit_count(F.expr("a.fp1 ^ b.fp1")) + F.bit_count(F.expr("a.fp2 ^ b.fp2"))
-    first = F.array_position(F.zip_with("a.pieces", "b.pieces", lambda x, y: x == y), True) - 1
-    pairs = a.join(b, F.expr("a.block = b.block AND a.piece = b.piece AND (a.fp1 < b.fp1 OR (a.fp1 = b.fp1 AND a.fp2 < b.fp2))"))
-    pairs = pairs.where(away <= radius).where(first == F.col("a.block"))
-    return pairs.select(
-        F.col("a.fp1").alias("lo1"), F.col("a.fp2").alias("lo2"), F.col("b.fp1").alias("hi1"), F.col("b.fp2").alias("hi2"), away.alias("distance")
-    )
+    asked = queries.select("fp1", "fp2").distinct().select(F.col("fp1").alias("q1"), F.col("fp2").alias("q2"), F.explode(block_keys("fp1", "fp2", radius)).alias("key"))
+    table = prints.select("fp1", "fp2").distinct().select("fp1", "fp2", F.explode(block_keys("fp1", "fp2", radius)).alias("key"))
+    away = F.bit_count(F.expr("q1 ^ fp1")) + F.bit_count(F.expr("q2 ^ fp2"))
+    near = asked.join(table, (asked["key"] == table["key"]) & (away <= radius) & (away > 0)).select("q1", "q2", "fp1", "fp2", away.alias("distance"))
+    return near.distinct()
 
 
-def near_counts(prints: DataFrame, radius: int) -> DataFrame:
-    """(fp1, fp2, n_near): how many other rows have a fingerprint within ``radius`` bits, for each distinct fingerprint."""
-    sizes = materialize(prints.groupBy("fp1", "fp2").agg(F.count("*").alias("rows")))
-    pairs = near_fingerprints(sizes, radius)
-    both = pairs.select(F.col("lo1").alias("fp1"), F.col("lo2").alias("fp2"), F.col("hi1").alias("o1"), F.col("hi2").alias("o2"))
-    both = both.unionByName(both.select(F.col("o1").alias("fp1"), F.col("o2").alias("fp2"), F.col("fp1").alias("o1"), F.col("fp2").alias("o2")))
-    other = sizes.select(F.col("fp1").alias("o1"), F.col("fp2").alias("o2"), F.col("rows").alias("others"))
-    more = both.join(other, ["o1", "o2"]).groupBy("fp1", "fp2").agg(F.sum("others").alias("others"))
-    return materialize(sizes.join(more, ["fp1", "fp2"], "left").select("fp1", "fp2", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_near")))
+def near_queries(own: DataFrame, radius: int = RADIUS, every: int = EVERY) -> DataFrame:
+    """(fp1, fp2, near_queries, near_query): for each fingerprint how many query documents have one within the radius, and the least of their ids.
+
+    Queries are all rows whose id is divisible by ``every``. A query counts for its own row too.
+    """
+    asked = own.where(F.col("doc_id") % every == 0).groupBy("fp1", "fp2").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    asked = materialize(asked)
+    found = near_fingerprints(asked, own, radius).select("q1", "q2", "fp1", "fp2")
+    found = found.unionByName(asked.select(F.col("fp1").alias("q1"), F.col("fp2").alias("q2"), "fp1", "fp2"))
+    named = found.join(asked.select(F.col("fp1").alias("q1"), F.col("fp2").alias("q2"), "n", "least"), ["q1", "q2"])
+    return named.groupBy("fp1", "fp2").agg(F.sum("n").alias("near_queries"), F.min("least").alias("near_query"))
+
+
+def _id_ranges(docs: DataFrame) -> Column | None:
+    """A number for the range of a doc_id, growing with it: a cell between sampled quantiles of the ids, cut evenly into ranges of about RANGE rows.
+
+    Quantiles follow the rows, so ids may lie anywhere in 64 bits. None for an empty table.
+    """
+    parts = [i / QUANTILES for i in range(QUANTILES + 1)]
+    found = docs.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", parts, 20 * QUANTILES).alias("at"), F.min("doc_id").alias("lo")).first()
+    if not found["n"]:
+        return None
+    # distinct edges, the least first; a look-up of two steps: among every 32nd edge, then among the 32 from there on
+    edges = sorted({found["lo"], *found["at"]})
+    rows = [edges[i : i + 32] for i in range(0, len(edges), 32)]
+    below = lambda array: F.size(F.filter(array, lambda e: e <= F.col("doc_id")))
+    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    coarse = below(longs([r[0] for r in rows]))
+    cell = (coarse - 1) * 32 + below(F.element_at(F.array(*[longs(r) for r in rows]), coarse)) - 1
+    each = -(-found["n"] // len(edges) // RANGE) or 1
+    low, high = longs(edges), longs([*edges[1:], edges[-1]])
+    # as decimals: differences of 64-bit ids may need 65 bits
+    wide = lambda c: c.cast("decimal(20,0)")
+    inside = (wide(F.col("doc_id")) - wide(F.get(low, cell))) * each / (wide(F.get(high, cell)) - wide(F.get(low, cell)) + 1)
+    return cell.cast("long") * each + F.least(F.floor(inside), F.lit(each - 1)).cast("long")
 
 
 def _with_next(docs: DataFrame) -> DataFrame:
-    """Add next_id and next_text: the following document in order of doc_id, after the last one the first.
+    """Add next_id, next_tie, next_copy and next_text: the following row in order of (doc_id, _tie, _copy), after the last one the first.
 
-    Documents are grouped by ranges of ids. The first document of each range is also put, as a guard, at the end of
-    the range before it, so that one window over bounded ranges finds every follower. Only the ids of the first
-    documents are broadcast: at most MOST_RANGES of them.
+    Rows are grouped by ranges of ids. The rows of the first id of each range are also put, as guards, at the end of
+    the range before it, so that one window over bounded ranges finds every follower.
     """
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    if span["lo"] is None:
-        return docs.withColumn("next_id", F.lit(None).cast("long")).withColumn("next_text", F.lit(None).cast("string"))
-    width = max(RANGE, -(-(span["hi"] - span["lo"] + 1) // MOST_RANGES))
-    rows = docs.withColumn("_range", F.floor((F.col("doc_id") - F.lit(span["lo"])) / F.lit(width)).cast("long"))
+    place = _id_ranges(docs)
+    if place is None:
+        return docs.withColumns({"next_id": F.lit(None).cast("long"), "next_tie": F.lit(None).cast("long"), "next_copy": F.lit(None).cast("int"), "next_text": F.lit(None).cast("string")})
+    rows = docs.withColumn("_range", place)
     heads = rows.groupBy("_range").agg(F.min("doc_id").alias("doc_id"))
-    w = Window.partitionBy(F.lit(0)).orderBy("_range")
+    w = Window.partitionBy(F.lit(0)).orderBy("_range")  # a row for each range
     last = F.max("_range").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select("doc_id", F.coalesce(F.lag("_range").over(w), last).alias("_guards"))
-    guards = docs.join(F.broadcast(heads), "doc_id").select(*docs.columns, F.col("_guards").alias("_range"), F.lit(1).alias("_guard"))
+    guards = docs.join(heads, "doc_id").select(*docs.columns, F.col("_guards").alias("_range"), F.lit(1).alias("_guard"))
     both = rows.withColumn("_guard", F.lit(0)).unionByName(guards)
-    w = Window.partitionBy("_range").orderBy("_guard", "doc_id", "_tie")
-    both = both.withColumn("next_id", F.lead("doc_id").over(w)).withColumn("next_text", F.lead("text").over(w))
-    return both.where("_guard = 0").drop("_range", "_guard")
+    w = Window.partitionBy("_range").orderBy("_guard", "doc_id", "_tie", "_copy")
+    follow = {"next_id": "doc_id", "next_tie": "_tie", "next_copy": "_copy", "next_text": "text"}
+    return both.withColumns({k: F.lead(v).over(w) for k, v in follow.items()}).where("_guard = 0").drop("_range", "_guard")
 
 
 def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text (its last quarter replaced by the next document's start).
 
     Cases: a null text is empty; the edited text of an empty text is empty; a next document shorter than the quarter
-    gives all it has; a lone document follows itself; rows without an id, and rows with equal ids beyond the
-    first in order of their text's hash, are followed like any other (equal ids are in order of that hash), except that rows
-    without an id are left out; an empty table gives no rows; other columns are ignored.
+    gives all it has; a lone document follows itself; rows with equal ids are in order of their text's hash, equal rows one after the
+    other, and each is followed by the next one; rows without an id are left out; ids may lie anywhere in 64 bits; the terms of a very
+    long text are counted in parts; an empty table gives no rows; other columns are ignored, whatever their names.
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and n_near (how
-    many other documents have a fingerprint within RADIUS bits).
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_queries (how many
+    documents with an id divisible by EVERY have a fingerprint within RADIUS bits) and near_query (the least of their ids).
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     slim = slim.withColumn("_tie", F.xxhash64("text"))
+    copies = slim.groupBy("doc_id", "_tie").agg(F.count("*").cast("int").alias("_n")).where("_n > 1")
+    if copies.isEmpty():
+        slim = slim.withColumn("_copy", F.lit(0))
+    else:  # equal rows are numbered: one of them is read and stands for all
+        one = slim.dropDuplicates(["doc_id", "_tie"]).join(copies, ["doc_id", "_tie"], "left")
+        slim = one.select("doc_id", "text", "_tie", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).alias("_copy"))
     rows = _with_next(slim)
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), edited.alias("t")))
     sha = F.when(F.col("k.kind") == 1, F.sha2(F.col("k.t").cast("binary"), 256))
-    rows = rows.select("doc_id", "_tie", "next_id", n.cast("long").alias("n_chars"), F.explode(kinds).alias("k"))
-    rows = rows.select("doc_id", "_tie", "next_id", "n_chars", F.col("k.kind").alias("kind"), F.coalesce(sha, F.lit("")).alias("sha"), F.col("k.t").alias("text"))
-    prints = materialize(fingerprints(rows, ["doc_id", "_tie", "next_id", "n_chars", "kind", "sha"]))
-    own = prints.where("kind = 0").select("doc_id", "_tie", "next_id", "n_chars", "fp1", "fp2")
-    edits = prints.where("kind = 1").select("doc_id", "_tie", "sha", F.col("fp1").alias("e1"), F.col("fp2").alias("e2"))
-    follow = own.groupBy(F.col("doc_id").alias("next_id")).agg(F.min_by(F.struct("fp1", "fp2"), "_tie").alias("f"))
-    out = own.join(edits, ["doc_id", "_tie"]).join(near_counts(own, RADIUS), ["fp1", "fp2"]).join(follow, "next_id").withColumns({"f1": F.col("f.fp1"), "f2": F.col("f.fp2")})
+    key, after = ["doc_id", "_tie", "_copy"], ["next_id", "next_tie", "next_copy"]
+    rows = rows.select(*key, *after, n.cast("long").alias("n_chars"), F.explode(kinds).alias("k"))
+    rows = rows.select(*key, *after, "n_chars", F.col("k.kind").alias("kind"), F.coalesce(sha, F.lit("")).alias("sha"), F.col("k.t").alias("text"))
+    prints = materialize(fingerprints(rows, [*key, *after, "n_chars", "kind", "sha"]))
+    own = prints.where("kind = 0").select(*key, *after, "n_chars", "fp1", "fp2")
+    edits = prints.where("kind = 1").select(*key, "sha", F.col("fp1").alias("e1"), F.col("fp2").alias("e2"))
+    follow = own.select(*[F.col(k).alias(a) for k, a in zip(key, after, strict=True)], F.col("fp1").alias("f1"), F.col("fp2").alias("f2"))
+    out = own.join(edits, key).join(follow, after).join(near_queries(own), ["fp1", "fp2"], "left")
     show = lambda a, b: F.lower(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
     return out.select(
         "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), show("fp1", "fp2").alias("fingerprint"), show("e1", "e2").alias("edited_fingerprint"),
-        likeness("fp1", "fp2", "e1", "e2").alias("near_edited"), likeness("fp1", "fp2", "f1", "f2").alias("near_next"), "n_near",
+        likeness("fp1", "fp2", "e1", "e2").alias("near_edited"), likeness("fp1", "fp2", "f1", "f2").alias("near_next"),
+        F.coalesce("near_queries", F.lit(0)).alias("near_queries"), "near_query",
     )
 
 
