@@ -1,13 +1,17 @@
 """Quality rules: fixed base limits, then robust multivariate outliers per language and source.
 
-The second verdict fits a minimum-covariance-determinant (MCD) estimate of the transformed statistics of each
-(language, source) group and rejects documents far from it by Mahalanobis distance. The fit runs as concentration
-steps over the whole statistics table: distances, an exact-count cut at the best half from a histogram, new mean
-and covariance of that half by grouped sums. Only small linear algebra on one row per group runs in Python.
+The second verdict is a minimum-covariance-determinant (MCD) estimate of the transformed statistics of each (language, source)
+group. Random subsets of a bounded sample give STARTS starting estimates. From each of them concentration steps run
+over all rows of the group: distances, the cut that holds the nearest CORE of the rows (from a histogram), new mean and covariance of
+those rows by grouped sums. The estimate of least determinant stays, is reweighted by the rows within a chi-square quantile of it, and
+documents beyond a far chi-square quantile of the result are rejected. Only small linear algebra on a row per group runs in Python.
+
+All variances are raised by that of counting itself (FLOOR, as in regularised MCD), as most statistics of clean texts hardly vary.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,22 +21,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from captionlake.llm.bytewords import chunks, mix, row_of, shingle_hashes
-from captionlake.llm.tables import materialize
+from captionlake.llm.tables import discard, materialize
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Part of a group that the concentration steps keep.
+#: Part of a group that the concentration steps keep: the usual choice that stands a quarter of outliers.
 CORE = 0.75
 STEPS = 4
-#: A document is an outlier when its squared distance, over the group's own median distance, is beyond this.
-CUT = 40.0
-#: Groups with fewer rows than this are judged within their language only.
-MIN_GROUP = 60
-#: Least standard deviation of each transformed statistic: statistics that never vary must not reject by rounding.
-FLOOR = {"x_len": 0.25, "x_word": 0.08, "x_sym": 0.035, "x_dup": 0.10, "x_rep": 0.10}
+STARTS = 4
+#: Rows of a group from which the starting estimates are drawn, and random subsets tried on them.
+SAMPLE, SUBSETS = 500, 50
+#: Part of a normal group that takes part in the reweighting (the usual one), and part that the final cut rejects: one in a million.
+REWEIGHTED, REJECTED = 0.975, 1e-6
+#: Smaller groups have fewer than 20 rows for each dimension; their rows are judged by the estimate of all rows of their language.
+MIN_GROUP = 100
+#: Standard deviation of each transformed statistic by counting alone, in the shortest text that passes the base rule: a root of counts over n
+#: has the variance 1 / 4n (three words at a time for repeats), a logarithm of n counts 1 / n; words have about 5 characters, and their length varies by half.
+FLOOR = {
+    "x_len": MIN_WORDS**-0.5,
+    "x_word": 0.5 * MIN_WORDS**-0.5,
+    "x_sym": 0.5 * (5 * MIN_WORDS) ** -0.5,
+    "x_dup": 0.5 * MIN_WORDS**-0.5,
+    "x_rep": 0.5 * (MIN_WORDS / 3) ** -0.5,
+}
 DIMS = list(FLOOR)
-BIN = 1 / 16
+BIN = 1 / 64
 SALTS = 64
 
 _SYMBOL = np.zeros(256, bool)
@@ -105,36 +119,92 @@ def _transformed(stats: DataFrame) -> DataFrame:
     )
 
 
-def _moments(rows: DataFrame) -> DataFrame:
+def chi_square(x: float, d: int) -> float:
+    """Part of a chi-square distribution with d degrees of freedom below x, by the series of the incomplete gamma function."""
+    if x <= 0:
+        return 0.0
+    a, half = d / 2, x / 2
+    term = total = 1 / a
+    n = a
+    while term > total * 1e-16:
+        n += 1
+        term *= half / n
+        total += term
+    return min(1.0, total * math.exp(a * math.log(half) - half - math.lgamma(a)))
+
+
+def chi_square_quantile(part: float, d: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, d) < part else (low, middle)
+    return high
+
+
+def consistency(part: float, d: int) -> float:
+    """What the covariance of a normal distribution's nearest ``part`` is multiplied by to get that of the whole."""
+    return part / chi_square(chi_square_quantile(part, d), d + 2)
+
+
+def _estimate(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse and logarithm of the determinant of a covariance with the floor."""
+    cov = cov + np.diag(np.square([FLOOR[x] for x in DIMS]))
+    return np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+
+def _starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """STARTS estimates of a sampled group: the best of SUBSETS random subsets of least size after two concentration steps, and the medians."""
+    x = pdf.sort_values(DIMS)[DIMS].to_numpy()
+    rng, (n, d) = np.random.default_rng(17), x.shape
+    keep, scale = max(1, int(CORE * n)), consistency(CORE, len(DIMS))
+    tried = [(np.inf, np.median(x, axis=0), np.diag(1 / np.square([FLOOR[k] for k in DIMS])))]
+    for _ in range(SUBSETS):
+        part = x[rng.permutation(n)[: d + 1]]
+        for _ in range(3):
+            mean = part.mean(axis=0)
+            inverse, size = _estimate(mean, scale * np.cov(part.T, bias=True).reshape(d, d))
+            away = x - mean
+            part = x[np.argsort(np.einsum("ni,ij,nj->n", away, inverse, away), kind="stable")[:keep]]
+        tried.append((size, mean, inverse))
+    best = sorted(tried, key=lambda t: t[0])[: STARTS - 1] + tried[:1]
+    return pd.DataFrame({"grp": pdf["grp"].iloc[0], "start": range(len(best)), "mean": [b[1] for b in best], "inverse": [b[2].reshape(-1) for b in best]})
+
+
+def _moments(rows: DataFrame, *by: str) -> DataFrame:
     """Count, sums and sums of products of the statistics in each group: merged map-side, whatever the group's size."""
     sums = [F.count("*").cast("double").alias("n")] + [F.sum(d).alias(f"s_{d}") for d in DIMS]
     sums += [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[i:]]
-    return rows.groupBy("grp").agg(*sums)
+    return rows.groupBy(*by).agg(*sums)
 
 
-def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Mean and inverse covariance (with the variance floor) from each group's sums."""
-    d = len(DIMS)
-    for pdf in batches:
-        mean = pdf[[f"s_{x}" for x in DIMS]].to_numpy() / pdf[["n"]].to_numpy()
-        cov = np.zeros((len(pdf), d, d))
-        for i, a in enumerate(DIMS):
-            for j in range(i, d):
-                cov[:, i, j] = cov[:, j, i] = pdf[f"p_{a}_{DIMS[j]}"] / pdf["n"] - mean[:, i] * mean[:, j]
-        cov += np.diag(np.square([FLOOR[x] for x in DIMS]))
-        yield pd.DataFrame({"grp": pdf["grp"], "mean": list(mean.round(9)), "inverse": list(np.linalg.inv(cov).reshape(len(pdf), -1).round(9))})
-
-
-def _join_group(rows: DataFrame, by_group: DataFrame) -> DataFrame:
-    """Join one row for each group to all its rows; the rows of a group are spread over SALTS keys, so a large one isn't one task."""
+def _solve(part: float):
+    """Mean, inverse covariance (made consistent for the nearest ``part`` of a group, with the floor) and determinant from sums."""
+    d, scale = len(DIMS), consistency(part, len(DIMS))
+
+    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            mean = pdf[[f"s_{x}" for x in DIMS]].to_numpy() / pdf[["n"]].to_numpy()
+            cov = np.zeros((len(pdf), d, d))
+            for i, a in enumerate(DIMS):
+                for j in range(i, d):
+                    cov[:, i, j] = cov[:, j, i] = scale * (pdf[f"p_{a}_{DIMS[j]}"] / pdf["n"] - mean[:, i] * mean[:, j])
+            found = [_estimate(m, c) for m, c in zip(mean, cov, strict=True)]
+            out = {"mean": list(mean.round(9)), "inverse": [f[0].reshape(-1).round(9) for f in found], "size": [round(f[1], 9) for f in found]}
+            yield pd.DataFrame({"grp": pdf["grp"], "start": pdf["start"]} | out)
+
+    return job
+
+
+def _join_group(rows: DataFrame, by_group: DataFrame, *more: str) -> DataFrame:
+    """Join the few rows for each group to all its rows; the rows of a group are spread over SALTS keys, so a large one isn't one task."""
     spread = by_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(spread, ["grp", "salt"])
+    return rows.join(spread, ["grp", "salt", *more])
 
 
 def _distances(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distance d2 of every row to its group's estimate."""
+    """Squared Mahalanobis distance d2 of every row to each of its group's estimates."""
     d = len(DIMS)
-    joined = _join_group(rows, fit)
+    joined = _join_group(rows, fit.select("grp", "start", "mean", "inverse"))
     away = [F.col(x) - F.col("mean")[i] for i, x in enumerate(DIMS)]
     total = F.lit(0.0)
     for i in range(d):
@@ -144,49 +214,70 @@ def _distances(rows: DataFrame, fit: DataFrame) -> DataFrame:
 
 
 def _cuts(rows: DataFrame, part: float) -> DataFrame:
-    """For each group the least histogram bin of log distance below which at least ``part`` of its rows lie."""
-    counts = rows.groupBy("grp", "bin").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("grp")
+    """For each estimate the least histogram bin of log distance below which at least ``part`` of the group's rows lie."""
+    counts = rows.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("grp", "start")
     up = counts.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    return up.where(F.col("upto") >= F.col("all") * part).groupBy("grp").agg(F.min("bin").alias("cut"))
+    return up.where(F.col("upto") >= F.col("all") * part).groupBy("grp", "start").agg(F.min("bin").alias("cut"))
 
 
 def _binned(rows: DataFrame) -> DataFrame:
     # bins are clipped far outside any real distance, so a group's histogram has a fixed number of them
-    return rows.withColumn("bin", F.least(F.greatest(F.floor(F.log(F.col("d2") + 1e-6) / BIN), F.lit(-400)), F.lit(800)).cast("int"))
+    return rows.withColumn("bin", F.least(F.greatest(F.floor(F.log(F.col("d2") + 1e-6) / BIN), F.lit(-1600)), F.lit(3200)).cast("int"))
+
+
+def robust_fit(rows: DataFrame) -> DataFrame:
+    """(grp, start, mean, inverse): the reweighted MCD estimate of each group of rows (grp, salt, the statistics)."""
+    shape = "grp string, start int, mean array<double>, inverse array<double>"
+    order = Window.partitionBy("grp").orderBy("salt", F.xxhash64(*DIMS))
+    sample = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE)
+    fit = materialize(sample.select("grp", *DIMS).groupBy("grp").applyInPandas(_starts, shape))
+    for _ in range(STEPS):
+        near = _binned(_distances(rows, fit))
+        core = _join_group(near, _cuts(near, CORE), "start").where("bin <= cut")
+        after = materialize(_moments(core, "grp", "start").mapInPandas(_solve(CORE), shape + ", size double"))
+        discard(fit)
+        fit = after
+    best = fit.groupBy("grp").agg(F.min_by(F.struct("start", "mean", "inverse"), F.struct("size", "start")).alias("b")).select("grp", "b.*")
+    near = _distances(rows, best).where(F.col("d2") <= chi_square_quantile(REWEIGHTED, len(DIMS)))
+    out = materialize(_moments(near, "grp", "start").mapInPandas(_solve(REWEIGHTED), shape + ", size double"))
+    discard(fit)
+    return out
 
 
 def robust_outliers(stats: DataFrame) -> DataFrame:
-    """Add kept_by_fit: false where the row lies far outside the robust centre of its language and source.
+    """Add distance (squared) and kept_by_fit: false where the row lies far outside the robust centre of its language and source.
 
-    Start: the coordinate-wise medians and the floor variances. Each concentration step keeps the CORE nearest rows
-    of a group and refits. Distances are measured against the group's median distance, which makes the cut hold
-    whatever the scale that the core's covariance lost by trimming.
+    Rows of groups under MIN_GROUP rows are judged by all rows of their language, and where these are too few, by all rows; a
+    table with fewer rows than that has no outliers (distance null).
     """
-    rows = _transformed(stats).withColumn("grp", F.concat_ws("\x01", "lang", "source")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("rows_in_group"))
-    rows = _join_group(rows, sizes).withColumn("grp", F.when(F.col("rows_in_group") < MIN_GROUP, F.col("lang")).otherwise(F.col("grp")))
-    rows = materialize(rows.drop("rows_in_group"))
-    floor = np.diag(1 / np.square([FLOOR[x] for x in DIMS])).reshape(-1)
-    fit = rows.groupBy("grp").agg(F.array(*[F.percentile_approx(x, 0.5, 1000) for x in DIMS]).alias("mean"))
-    fit = fit.withColumn("inverse", F.array(*[F.lit(float(v)) for v in floor]))
-    for _ in range(STEPS):
-        fit = materialize(fit)
-        near = _binned(_distances(rows, fit))
-        core = _join_group(near, _cuts(near, CORE)).where("bin <= cut")
-        fit = _moments(core).mapInPandas(_solve, "grp string, mean array<double>, inverse array<double>")
-    fit = materialize(fit)
-    near = _binned(_distances(rows, fit))
-    middle = _cuts(near, 0.5).select("grp", F.greatest(F.exp((F.col("cut") + 1) * BIN), F.lit(1.0)).alias("middle"))
-    return _join_group(near, middle).withColumn("distance", F.col("d2") / F.col("middle")).withColumn("kept_by_fit", F.col("distance") <= CUT)
+    own = F.concat_ws("\x01", "lang", "source")
+    rows = _transformed(stats).withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
+    sizes = materialize(rows.groupBy("lang", "source").agg(F.count("*").alias("n")))  # a row for each language and source
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    enough = lambda n: n >= MIN_GROUP
+    of_lang = F.sum("n").over(Window.partitionBy("lang"))
+    judge = F.when(enough(F.col("n")), own).when(enough(of_lang), F.concat(F.lit("\x02"), "lang")).when(F.lit(enough(total)), F.lit("\x03"))
+    groups = materialize(sizes.select("lang", "source", judge.alias("judge")))
+    needed = groups.groupBy("judge").count().select(F.col("judge").alias("grp"))
+    spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = materialize(rows.join(spread, ["lang", "source", "salt"]))
+    # a row takes part in the estimate of its own group, and in wider ones where some small group needs them
+    wide = rows.select(F.explode(F.array(own, F.concat(F.lit("\x02"), "lang"), F.lit("\x03"))).alias("grp"), "salt", *DIMS)
+    fit = robust_fit(materialize(_join_group(wide, needed)))
+    judged = _distances(rows.where("judge IS NOT NULL").withColumn("grp", F.col("judge")), fit).withColumn("distance", F.col("d2"))
+    judged = judged.withColumn("kept_by_fit", F.col("distance") <= chi_square_quantile(1 - REJECTED, len(DIMS)))
+    alone = rows.where("judge IS NULL").withColumns({"distance": F.lit(None).cast("double"), "kept_by_fit": F.lit(True)})
+    return judged.select(*alone.columns).unionByName(alone)
 
 
 def quality_rules(docs: DataFrame, **columns: str) -> DataFrame:
     """Counts, base verdict and final verdict for every document.
 
     Cases: null and empty texts have no words, so the base rule rejects them; null lang or source count as an own
-    (empty) name; equal rows get equal verdicts; repeated ids give one row each; an empty table gives no rows; other
-    columns are ignored. Only rows that pass the base rule enter the fit, so junk doesn't shape the estimates.
+    (empty) name; equal rows get equal verdicts; repeated ids give one row each; a very long text is counted whole in one
+    task; an empty table gives no rows; other columns are ignored, whatever their names. Only rows that pass the base rule enter
+    the fit, so junk doesn't shape the estimates. distance is squared, and null where the base rule or nothing judged the row.
     """
     stats = materialize(
         text_statistics(docs, **columns).withColumn(
