@@ -2,8 +2,8 @@
 
 Base kinds come from fixed patterns. The method adds spans of kind ``markov``: tokens whose characters follow a Markov model of
 random strings rather than one of ordinary identifiers, by the log-likelihood ratio of the two. Both models are trained
-from a bounded sample of labelled tokens of the corpus itself: values that a base pattern found are random strings, words
-outside of all base spans are ordinary.
+from a bounded sample of labelled tokens of the corpus itself: values that a base pattern found are random strings, tokens
+outside of all base matches are ordinary, with digits or without; only long ones with digits have no label, as they may be secrets.
 
 Spans are found by marking: a pattern's matches are wrapped in a control character, the text is split at it, and the running
 length of the pieces gives each match's place in code points.
@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from captionlake.llm.tables import spare_names
+
 # Fixed values of the base rules: patterns and least lengths.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -34,6 +36,8 @@ THRESHOLD = 1.0
 #: Weight, in counts, of single characters in a transition's probability.
 BACKING = 8.0
 _MARK, _OTHER = "\x01", "\x02"
+#: Result columns of a scan.
+RESULTS = ("n_assign", "n_access", "n_hex", "found", "base_found")
 
 
 def _spans(text: Column, pattern: str, quick: str) -> Column:
@@ -60,6 +64,22 @@ def _base(text: Column) -> dict[str, Column]:
     }
 
 
+def labelled_tokens(docs: DataFrame) -> DataFrame:
+    """(token, random, n): distinct tokens of doc texts with their numbers; random is 1 for values of base spans, 0 for tokens outside of all base matches.
+
+    Long tokens with digits outside of base matches are left out: these are what the models are to judge.
+    """
+    text = F.col("text")
+    base = _base(text)
+    secrets = docs.select(F.explode(F.concat(
+        F.transform(base["assign"], lambda s: F.regexp_extract(s["match"], ASSIGN, 1)), F.transform(base["access"], lambda s: s["match"]), F.transform(base["hex"], lambda s: s["match"]),
+    )).alias("token"), F.lit(1).alias("random"))
+    plain = reduce(lambda t, p: F.regexp_replace(t, p, " "), (ASSIGN, ACCESS, f"[0-9a-f]{{{HEX_CHARS},}}"), text)
+    plain = docs.select(F.explode(F.regexp_extract_all(plain, F.lit(f"({TOKEN})"))).alias("token"), F.lit(0).alias("random"))
+    plain = plain.where((F.length("token") < TOKEN_CHARS) | ~F.col("token").rlike("[0-9]"))
+    return secrets.unionByName(plain).where(F.length("token") >= 2).groupBy("token", "random").agg(F.count("*").alias("n"))
+
+
 def train(docs: DataFrame, bound: int = TRAINING_DOCS) -> list[float]:
     """Log-likelihood ratios (random over ordinary) of every pair of neighbouring characters, row by row of ALPHABET.
 
@@ -68,14 +88,7 @@ def train(docs: DataFrame, bound: int = TRAINING_DOCS) -> list[float]:
     """
     n = docs.count()
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, bound / max(n, 1))))
-    text = F.col("text")
-    base = _base(text)
-    secrets = part.select(F.explode(F.concat(
-        F.transform(base["assign"], lambda s: F.regexp_extract(s["match"], ASSIGN, 1)), F.transform(base["access"], lambda s: s["match"]), F.transform(base["hex"], lambda s: s["match"]),
-    )).alias("token"), F.lit(1).alias("random"))
-    plain = reduce(lambda t, p: F.regexp_replace(t, p, " "), (ASSIGN, r"[A-Za-z0-9+/_=-]*[0-9][A-Za-z0-9+/_=-]*"), text)
-    plain = part.select(F.explode(F.regexp_extract_all(plain, F.lit(f"({TOKEN})"))).alias("token"), F.lit(0).alias("random"))
-    tokens = secrets.unionByName(plain).where(F.length("token") >= 2).groupBy("token", "random").agg(F.count("*").alias("n"))
+    tokens = labelled_tokens(part)
     pairs = tokens.select("random", "n", "token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i"))
     size = len(ALPHABET)
     counts = [[0.0] * size * size, [0.0] * size * size]
@@ -86,6 +99,15 @@ def train(docs: DataFrame, bound: int = TRAINING_DOCS) -> list[float]:
     return [round(math.log(r) - math.log(o), 6) for o, r in zip(*models, strict=True)]
 
 
+def held_out_rates(docs: DataFrame) -> DataFrame:
+    """(random, tokens, found): for models trained on four fifths of the documents, how many distinct long tokens of the others are found."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    other = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)) == 0
+    ratios = train(docs.where(~other))
+    tokens = labelled_tokens(docs.where(other)).where(F.length("token") >= TOKEN_CHARS)
+    return tokens.groupBy("random").agg(F.count("*").alias("tokens"), F.count_if(_ratio(F.col("token"), ratios) > THRESHOLD).alias("found"))
+
+
 def _transitions(counts: list[float], size: int) -> list[float]:
     """Probabilities of the next character: counts of pairs, backed by BACKING counts spread like single characters (each seen once more)."""
     single = [1.0 + sum(counts[j::size]) for j in range(size)]
@@ -110,25 +132,28 @@ def _ratio(token: Column, ratios: list[float]) -> Column:
     return total / F.greatest(F.length(token) - 1, F.lit(1))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratios: list[float] | None = None) -> DataFrame:
-    """Add found (array<struct<start, end, kind>>, by start, then kind as listed) and the counts of base kinds to docs.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratios: list[float] | None = None, names: tuple[str, ...] = RESULTS) -> DataFrame:
+    """Add to docs the counts of base kinds, all spans and the base spans, under ``names`` (n_assign, n_access, n_hex, found, base_found).
 
-    Cases: a null text is empty and has no spans; rows and ids may repeat, each row is scanned by itself; an added span never
-    overlaps a base span; a table without any secret trains on smoothed counts; an empty table gives no rows; other columns stay.
-    Columns of docs named like a result column are replaced by it.
+    Spans are array<struct<start, rank, end>>, by start, then kind as listed (rank). Cases: a null text is empty and has no spans;
+    rows and ids may repeat, each row is scanned by itself; an added span never overlaps a base span; a very long text is scanned whole
+    in one task; a table without any secret trains on smoothed counts; an empty table gives no rows; other columns stay, whatever
+    their names. Columns of docs named like a result column are replaced by it.
     """
-    rows = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
+    docs = docs.drop(*names)
+    n_assign, n_access, n_hex, found, base_found = names
+    t, tokens, *kinds = spare_names(docs, "_t", "_tokens", "_assign", "_access", "_hex")
+    rows = docs.withColumn(t, F.coalesce(F.col(text_col), F.lit("")))
     if ratios is None:
         ratios = train(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    base = _base(F.col("_t"))
-    rows = rows.withColumns({f"_{k}": v for k, v in base.items()} | {"_tokens": _spans(F.col("_t"), f"[A-Za-z0-9+/_=-]{{{TOKEN_CHARS},}}", f"[A-Za-z0-9+/_=-]{{{TOKEN_CHARS}}}")})
-    order = {"assign": 0, "access": 1, "hex": 2, "markov": 3}
-    as_kind = lambda spans, k: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order[k]).alias("rank"), s["end"].alias("end")))
-    rows = rows.withColumn("_base", F.concat(*[as_kind(F.col(f"_{k}"), k) for k in base]))
-    fresh = F.filter(F.col("_tokens"), lambda t: ~F.exists(F.col("_base"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])) & (_ratio(t["match"], ratios) > THRESHOLD))
-    rows = rows.withColumn("_all", F.array_sort(F.concat(F.col("_base"), as_kind(fresh, "markov")))).withColumn("_base", F.array_sort("_base"))
-    counts = {f"n_{k}": F.size(f"_{k}").cast("long") for k in base}
-    return rows.withColumns(counts).withColumns({"found": F.col("_all"), "base_found": F.col("_base")}).drop("_t", "_tokens", "_all", "_base", *[f"_{k}" for k in base])
+    base = _base(F.col(t))
+    rows = rows.withColumns(dict(zip(kinds, base.values(), strict=True)) | {tokens: _spans(F.col(t), f"[A-Za-z0-9+/_=-]{{{TOKEN_CHARS},}}", f"[A-Za-z0-9+/_=-]{{{TOKEN_CHARS}}}")})
+    as_kind = lambda spans, rank: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))
+    rows = rows.withColumn(base_found, F.array_sort(F.concat(*[as_kind(F.col(k), i) for i, k in enumerate(kinds)])))
+    fresh = F.filter(F.col(tokens), lambda x: ~F.exists(F.col(base_found), lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])) & (_ratio(x["match"], ratios) > THRESHOLD))
+    rows = rows.withColumn(found, F.array_sort(F.concat(F.col(base_found), as_kind(fresh, 3))))
+    counts = {name: F.size(k).cast("long") for name, k in zip((n_assign, n_access, n_hex), kinds, strict=True)}
+    return rows.withColumns(counts).select(*docs.columns, *names)
 
 
 def _listed(spans: str) -> Column:
@@ -137,8 +162,10 @@ def _listed(spans: str) -> Column:
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span of the text replaced by ``mask``; same columns. A null text stays null."""
-    rows = scan_secrets(docs, id_col, text_col)
+    """docs with every span of the text replaced by ``mask``; same columns, whatever their names. A null text stays null."""
+    names = spare_names(docs, *RESULTS)
+    rows = scan_secrets(docs, id_col, text_col, names=names)
+    found = names[3]
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -147,7 +174,7 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["text"], gap, F.lit(mask))).otherwise(acc["text"]).alias("text"))
 
     rest = lambda acc: F.concat(acc["text"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col)))
-    text = F.when(F.size("found") > 0, F.aggregate("found", start, step, rest)).otherwise(F.col(text_col))
+    text = F.when(F.size(found) > 0, F.aggregate(found, start, step, rest)).otherwise(F.col(text_col))
     return rows.withColumn(text_col, text).select(*docs.columns)
 
 
