@@ -36,12 +36,12 @@ def brute_windows(data, size):
     return out
 
 
-@pytest.mark.parametrize(("size", "hot"), [(50, None), (12, None), (12, 1)])
+@pytest.mark.parametrize(("size", "hot"), [(50, None), (12, None), (50, 1), (12, 1), (10, None)])
 def test_substring_dedup(spark, monkeypatch, size, hot):
     from captionlake.llm import substrings
 
-    if hot:  # every anchor counts as hot: prefixes are lengthened to whole windows
-        monkeypatch.setattr(substrings, "HOT_SEGMENTS", hot)
+    if hot:  # all prefixes that are shared are lengthened, up to whole windows
+        monkeypatch.setattr(substrings, "PREFIX_SEGMENTS", hot)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.drop_repeated_windows(docs(spark), size).collect()}
     assert got == brute_windows(PLAIN, size)
     assert sum(v[1] for v in got.values()) > 200
@@ -57,15 +57,43 @@ def test_substring_dedup_edge_tables(spark):
     assert got == [(0, 0), (5, 0), (5, 0), (9, 80)]
 
 
-def test_depth_ranks():
-    from captionlake.llm.substrings import depth_ranks
+def test_suffix_array_nodes():
+    """Each node of each depth holds the rows that share so many words below one prefix, no more and no fewer."""
+    from captionlake.llm.substrings import nodes_at, sorted_suffixes
 
     rng = np.random.default_rng(0)
-    words = rng.integers(0, 3, 300).astype(np.uint64)
-    for depth in (1, 2, 3, 5, 8, 50):
-        rank = depth_ranks(words, depth)
-        keys = [tuple(words[i : i + depth]) for i in range(len(rank))]
-        assert len({*zip(keys, rank.tolist(), strict=True)}) == len({*keys}) == len({*rank.tolist()})
+    words, prefix = rng.integers(1, 4, (80, 6)), rng.integers(0, 3, 80)
+    words[:20, 4:] = 0
+    order, shared = sorted_suffixes(prefix, words)
+    for depth in range(7):
+        keys = [(prefix[i], *words[i, :depth]) for i in range(80)]
+        node = nodes_at(order, shared, depth).tolist()
+        assert len({*zip(keys, node, strict=True)}) == len({*keys}) == len({*node})
+
+
+def test_window_owners():
+    """Every window of every segment, also at their ends, belongs to the least owner of an equal window with the same prefix."""
+    from captionlake.llm.substrings import window_owners
+
+    rng, window, gram = np.random.default_rng(1), 8, 3
+    prefixes = [[1, 2, 3], [3, 1, 1]]
+    segs, prefix, anchor = [], [], []
+    for _ in range(150):
+        p, before = int(rng.integers(0, 2)), int(rng.integers(0, window - gram + 1))
+        after = int(rng.integers(window - gram - before, window - gram + 1))
+        segs.append([*rng.integers(1, 3, before), *prefixes[p], *rng.integers(1, 3, after)])
+        prefix.append(p)
+        anchor.append(before)
+    owner = rng.integers(0, 1000, len(segs))
+    first = np.append(0, np.cumsum([len(s) for s in segs]))
+    row, start, own = window_owners(np.array(prefix), np.concatenate(segs), first, np.array(anchor), owner, window)
+    want = [(i, s) for i, x in enumerate(segs) for s in range(len(x) - window + 1)]
+    assert list(zip(row.tolist(), start.tolist(), strict=True)) == want
+    key = lambda i, s: (prefix[i], anchor[i] - s, *segs[i][s : s + window])
+    least = {}
+    for i, s in want:
+        least[key(i, s)] = min(least.get(key(i, s), 10**6), owner[i])
+    assert own.tolist() == [least[key(i, s)] for i, s in want]
 
 
 # --- 2 -------------------------------------------------------------------------------------------------------------
@@ -127,10 +155,28 @@ def test_fingerprints(spark):
     assert all(len(v) == 1 for v in by_text.values())
     prints = {d: int(r.fingerprint, 16) for d, r in got.items()}
     for d, r in got.items():
-        assert r.n_near == sum(bin(prints[d] ^ p).count("1") <= 3 for o, p in prints.items() if o != d)
+        near = [o for o, p in prints.items() if o % 100 == 0 and bin(prints[d] ^ p).count("1") <= 7]
+        assert (r.near_queries, r.near_query) == (len(near), min(near, default=None))
+    assert any(r.near_queries for r in got.values())
     assert simhash_report(empty(spark)).count() == 0
 
 
+def test_fingerprints_far_and_equal_ids(spark, monkeypatch):
+    """Ids anywhere in 64 bits, equal ids and equal rows: each row is followed by the next one, in ranges of few rows."""
+    from captionlake.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "RANGE", 2)
+    monkeypatch.setattr(fingerprints, "QUANTILES", 8)
+    rng = random.Random(8)
+    ids = [*range(60), 2**61, 2**63 - 1, -(2**63), 7, 7, 7]
+    text = {i: " ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(rng.randint(0, 30))) for i in ids}
+    data = [(i, text[i]) for i in ids]
+    got = fingerprints.simhash_report(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    order = sorted(data)
+    want = sorted((d, sha(t[: len(t) - len(t) // 4] + after[: len(t) // 4])) for (d, t), (_, after) in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted((r.doc_id, r.edited_sha256) for r in got) == want
+
+
 def test_fingerprint_votes(spark):
     """A fingerprint's bits are the majority of its terms' hash bits."""
     from pyspark.sql import functions as F
@@ -146,44 +192,45 @@ def test_fingerprint_votes(spark):
 
 
 def test_near_fingerprints(spark):
+    """The tables find every fingerprint within the radius of a query, whichever bits differ."""
     from captionlake.llm.fingerprints import near_fingerprints
 
     rng = random.Random(2)
     values = [rng.getrandbits(128) for _ in range(40)]
-    for v in values[:20]:
-        for n in (1, 2, 3, 5):
+    for v in values[:40]:
+        for n in (1, 2, 3, 5, 6, 7, 8):
+            x = v
             for i in rng.sample(range(128), n):
-                v ^= 1 << i
-            values.append(v)
+                x ^= 1 << i
+            values.append(x)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    data = [(signed(v >> 64), signed(v & (2**64 - 1))) for v in values]
-    got = {frozenset([(r.lo1, r.lo2), (r.hi1, r.hi2)]) for r in near_fingerprints(spark.createDataFrame(data, "fp1 long, fp2 long"), 3).collect()}
-    want = {frozenset([data[i], data[j]]) for i in range(len(values)) for j in range(i) if 0 < bin(values[i] ^ values[j]).count("1") <= 3}
-    assert got == want and got
+    table = spark.createDataFrame([(signed(v >> 64), signed(v & (2**64 - 1))) for v in values], "fp1 long, fp2 long")
+    near = near_fingerprints(table.limit(40), table, 7).collect()
+    full = lambda a, b: ((a % 2**64) << 64) | b % 2**64
+    got = {(full(r.q1, r.q2), full(r.fp1, r.fp2)): r.distance for r in near}
+    want = {(a, b): bin(a ^ b).count("1") for a in values[:40] for b in values if 0 < bin(a ^ b).count("1") <= 7}
+    assert len(near) == len(got) and got == want and len(want) >= 240
 
 
 # --- 4 -------------------------------------------------------------------------------------------------------------
 
 
 def brute_lines(data, least):
+    """Lines of runs of every length with enough words that an earlier place also has."""
     lines = {d: [s for s in (t or "").split("\n") if WORD.search(s)] for d, t in data}
     first = {}
     for d in sorted(lines):
         for i in range(len(lines[d])):
-            n = 1
-            while i + n <= len(lines[d]):
+            for n in range(1, len(lines[d]) - i + 1):
                 first.setdefault(tuple(lines[d][i : i + n]), (d, i))
-                n *= 2
     out = {}
     for d, t in data:
         gone = set()
         for i in range(len(lines[d])):
-            n = 1
-            while i + n <= len(lines[d]):
+            for n in range(1, len(lines[d]) - i + 1):
                 block = tuple(lines[d][i : i + n])
                 if first[block] < (d, i) and sum(len(WORD.findall(s)) for s in block) >= least:
                     gone |= {*range(i, i + n)}
-                n *= 2
         kept, k = [], 0
         for s in (t or "").split("\n"):
             if WORD.search(s):
@@ -204,19 +251,6 @@ def test_line_dedup(spark, least):
     assert sum(v[1] for v in got.values()) > 10
 
 
-def brute_runs(data, least):
-    """Non-blank line numbers of runs of every length that an earlier place also has."""
-    lines = {d: t.split("\n") for d, t in data}
-    first, gone = {}, {d: set() for d in lines}
-    for d in sorted(lines):
-        for i in range(len(lines[d])):
-            for n in range(1, len(lines[d]) - i + 1):
-                block = tuple(lines[d][i : i + n])
-                if first.setdefault(block, (d, i)) < (d, i) and sum(len(s.split()) for s in block) >= least:
-                    gone[d] |= {*range(i, i + n)}
-    return {d: "\n".join(s for i, s in enumerate(x) if i not in gone[d]) for d, x in lines.items()}
-
-
 def test_line_dedup_runs_of_every_length(spark):
     """Runs go as a whole where no power-of-two block has enough words, and with their short tails."""
     from captionlake.llm.lines import drop_repeated_lines
@@ -227,8 +261,9 @@ def test_line_dedup_runs_of_every_length(spark):
     data = [(2 * i + k, "\n".join([line(3), *r, line(3)])) for i, r in enumerate(runs) for k in (0, 1)]
     pool = [line(rng.randint(1, 12)) for _ in range(4)]
     data += [(100 + i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 30)))) for i in range(12)]
-    got = {r.doc_id: r.text for r in drop_repeated_lines(docs(spark, [(d, t, None, None, 0, 0, "", "", "", 0) for d, t in data])).collect()}
-    assert got == brute_runs(data, 20)
+    rows = drop_repeated_lines(docs(spark, [(d, t, None, None, 0, 0, "", "", "", 0) for d, t in data])).collect()
+    assert {r.doc_id: (r._n_lines, r._n_removed, sha(r.text)) for r in rows} == brute_lines(data, 20)
+    got = {r.doc_id: r.text for r in rows}
     assert [got[2 * i + 1].count("\n") for i in range(7)] == [1, 1, 1, 1, 2, 1, 4]
 
 
@@ -238,8 +273,29 @@ def test_line_dedup_keeps_columns(spark):
     out = drop_repeated_lines(docs(spark))
     assert out.columns == docs(spark).columns + ["_n_lines", "_n_removed"]
     assert drop_repeated_lines(empty(spark)).count() == 0
-    with pytest.raises(Exception, match="out of range"):
-        drop_repeated_lines(docs(spark, [(-1, "a b", None, None, 0, 0, "", "", "", 0)])).collect()
+
+
+def test_line_dedup_any_id(spark):
+    """Ids of all 64 bits, below 0 too, in their order."""
+    from captionlake.llm.lines import drop_repeated_lines
+
+    run = "\n".join(f"line {i} of a longer run" for i in range(5))
+    ids = [-(2**63), -5, 0, 2**61, 2**63 - 1]
+    got = {r.doc_id: r.text for r in drop_repeated_lines(spark.createDataFrame([(i, f"{run}\nown {i}") for i in ids], "doc_id long, text string")).collect()}
+    assert got == {i: f"{run}\nown {i}" if i == ids[0] else f"own {i}" for i in ids}
+
+
+def test_line_dedup_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    from captionlake.llm.lines import drop_repeated_lines
+
+    names = ["_id", "cuts", "CUT_ID", "place", "line", "lines", "k1", "n", "start", "part", "_n_lines"]
+    table = docs(spark).select("doc_id", F.col("text").alias("body"), *[F.lit(i).alias(n) for i, n in enumerate(names)], F.lit("t").alias("text"))
+    got = drop_repeated_lines(table, text_col="body")
+    assert got.columns == [c for c in table.columns if c != "_n_lines"] + ["_n_lines", "_n_removed"]
+    assert {(r.text, *(r[n] for n in names[:-1])) for r in got.collect()} == {("t", *range(len(names) - 1))}
+    assert {r.doc_id: (r._n_lines, r._n_removed, sha(r.body or "")) for r in got.collect()} == brute_lines(PLAIN, 20)
 
 
 # --- 5 -------------------------------------------------------------------------------------------------------------
@@ -430,11 +486,11 @@ def brute_components(data, k, percent):
     return {d: (len(s), top(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "percent", "pivots"), [(5, 75, 256), (2, 40, 1)])
+@pytest.mark.parametrize(("k", "percent", "pivots"), [(5, 75, 8), (2, 40, 1)])
 def test_jaccard_join(spark, monkeypatch, k, percent, pivots):
     from captionlake.llm import jaccard
 
-    monkeypatch.setattr(jaccard, "MOST_PIVOTS", pivots)
+    monkeypatch.setattr(jaccard, "FIRST_PIVOTS", pivots)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(docs(spark), k, percent).collect()}
     assert got == brute_components(PLAIN, k, percent)
     assert len({v[1] for v in got.values()}) < len(got) - 5
@@ -446,6 +502,11 @@ def test_jaccard_join_edge_tables(spark):
     assert jaccard_join(empty(spark)).count() == 0
     data = [(4, "A b c d e f", None, None, 0, 0, "", "", "", 0)] * 2 + [(None, "a B c d e f", None, None, 0, 0, "", "", "", 0), (2, "a b C d e f", None, None, 0, 0, "", "", "", 0)]
     assert {r.component_id for r in jaccard_join(docs(spark, data)).collect()} == {2}
+    text = " ".join(f"w{i}" for i in range(40))
+    near, other = text.replace("w3 ", "x "), " ".join(f"v{i}" for i in range(40))
+    # one id on different texts, and equal rows: each text is a point of its own
+    data = [(d, t, None, None, 0, 0, "", "", "", 0) for d, t in [(7, text), (7, other), (5, near), (5, near), (9, other)]]
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join(docs(spark, data)).collect()) == [(5, 5), (5, 5), (7, 5), (7, 7), (9, 7)]
 
 
 def brute_set_components(sets, percent):
@@ -462,7 +523,7 @@ def brute_set_components(sets, percent):
 def linked(spark, sets, percent):
     from captionlake.llm.jaccard import link_components
 
-    table = spark.createDataFrame([(d, len(s), sorted(s)) for d, s in sets.items()], "sid long, n long, set array<long>")
+    table = spark.createDataFrame([(d, len(s), sorted(s)) for d, s in sets.items()], "node long, n long, set array<long>")
     comps = link_components(table, percent)
     return {d: d for d in sets} | ({r.node: r.component for r in comps.collect()} if comps is not None else {})
 
@@ -474,19 +535,34 @@ def test_jaccard_join_borders_of_two_levels(spark):
     assert linked(spark, sets, 75) == brute_set_components(sets, 75) == {1: 1, 2: 2, 3: 2}
 
 
-def test_jaccard_join_passages(spark, monkeypatch):
-    """Sets built from shared passages, with so few pivots that regions recurse."""
+@pytest.mark.parametrize(("replicas", "percent", "seed"), [(2, 75, 11), (3, 60, 12)])
+def test_jaccard_join_passages(spark, monkeypatch, replicas, percent, seed):
+    """Sets built from shared passages, with so few pivots that regions recurse, whole or in cells."""
     from captionlake.llm import jaccard
 
-    monkeypatch.setattr(jaccard, "MOST_PIVOTS", 4)
-    rng = random.Random(11)
+    monkeypatch.setattr(jaccard, "FIRST_PIVOTS", 3)
+    monkeypatch.setattr(jaccard, "MOST_PIVOTS", 9)
+    monkeypatch.setattr(jaccard, "REPLICAS", replicas)
+    rng = random.Random(seed)
     sets = {}
-    for d in range(120):
+    for d in range(70):
         passages = rng.sample(range(8), rng.randint(3, 5))
         sets[d] = {20 * p + i for p in passages for i in range(20) if rng.random() < 0.97} | {1000 * d + 1000 + i for i in range(rng.randint(0, 9))}
+    got = linked(spark, sets, percent)
+    assert got == brute_set_components(sets, percent)
+    assert 3 < len({*got.values()}) <= 70
+
+
+def test_jaccard_join_large_group(spark):
+    """200 near copies of one text, each with an edit or a few, some of them out of reach of the original."""
+    rng = random.Random(6)
+    base = [*range(160)]
+    sets = {}
+    for d in range(200):
+        out = {c + j for c in [rng.randrange(156) for _ in range(rng.randint(1, 6))] for j in range(5)}
+        sets[d] = {*base} - out | {1000 + 7 * rng.randrange(60) + i for i in range(rng.randint(0, len(out)))}
     got = linked(spark, sets, 75)
     assert got == brute_set_components(sets, 75)
-    assert 3 < len({*got.values()}) < 110
 
 
 def test_components(spark):
