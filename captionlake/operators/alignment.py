@@ -10,12 +10,13 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionlake.functions.text import attaches_to_previous, grapheme_count, hypothesis_key, thai_risk
 from captionlake.functions.udf import vectorised
-from captionlake.operators.intervals import as_right, interval_join, speech_coverage
+from captionlake.operators.intervals import as_right, interval_join
+from captionlake.operators.lineage import cut
 
 TEXT_GAIN, SMALL_TEXT_GAIN, EDGE_GAIN, SMALL_EDGE_GAIN, SCORE_DROP = 3, 2, 0.3, 0.12, 0.18
 
@@ -30,46 +31,65 @@ def word_key(text: Column) -> Column:
     return hypothesis_key(nfkc(text))
 
 
-def hypothesis_text(words: DataFrame, regions: DataFrame) -> DataFrame:
-    """hypothesis: for each region the letters and digits of its words, in order."""
-    pairs = interval_join(words.select("project_id", "word_idx", "text", "start", "end"), as_right(regions.select("project_id", "region_idx", "start", "end")), ["project_id"])
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("start", "word_idx", "text"))), lambda x: x["text"])
-    found = pairs.groupBy("project_id", "region_idx").agg(F.array_join(ordered, "").alias("raw"))
-    joined = regions.select("project_id", "region_idx").join(found, ["project_id", "region_idx"], "left")
-    return joined.select("project_id", "region_idx", word_key(F.coalesce("raw", F.lit(""))).alias("hypothesis"))
+def _score(df: DataFrame) -> Column:
+    return F.coalesce(*[F.col(c) for c in ("review_score", "raw_confidence", "confidence", "score") if c in df.columns], F.lit(None).cast("double"))
 
 
-def hypotheses_disagree(words: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:
-    """Regions whose two texts are both there and differ."""
-    a = hypothesis_text(words, regions)
-    b = hypothesis_text(candidates, regions).withColumnRenamed("hypothesis", "other")
-    return a.join(b, ["project_id", "region_idx"]).where("hypothesis <> '' AND other <> '' AND hypothesis <> other").select("project_id", "region_idx")
+def _reason(df: DataFrame) -> Column:
+    return F.col("review_reason") if "review_reason" in df.columns else F.lit(None).cast("string")
 
 
-def _score(df: DataFrame) -> Column:
-    return F.coalesce(*[F.col(c) for c in ("review_score", "raw_confidence", "confidence", "score") if c in df.columns], F.lit(None).cast("double"))
+def region_side(rows: DataFrame, regions: DataFrame, tag: str) -> DataFrame:
+    """For every region what a pass has in it: number of words, uncovered edges, letters and digits of its text, mean score, list of words.
 
+    Columns n_, edges_, text_, score_ and words_ with the tag; words_ is null where there are none. All comes from one interval join.
+    """
+    slim = rows.select("project_id", "word_idx", "text", "start", "end", word_key(F.col("text")).alias("key"), _score(rows).alias("_score"))
+    spans = regions.select("project_id", "region_idx", "start", "end")
+    found = interval_join(slim, as_right(spans), ["project_id"]).groupBy("project_id", "region_idx").agg(
+        F.count("*").alias("n"), F.min("start").alias("lo"), F.max("end").alias("hi"), F.avg(F.nanvl("_score", F.lit(None))).alias("score"),
+        F.sort_array(F.collect_list(F.struct("start", "word_idx", "text", "key"))).alias("words"),
+    )
+    joined = spans.join(found, ["project_id", "region_idx"], "left")
+    edges = F.greatest(F.lit(0.0), F.greatest("start", "lo") - F.col("start")) + F.greatest(F.lit(0.0), F.col("end") - F.least("end", "hi"))
+    edges = F.when(F.col("n").isNull(), (F.col("end") - F.col("start")) * 2).otherwise(edges)
+    raw = F.array_join(F.transform("words", lambda x: x["text"]), "")
+    out = {"n": F.coalesce("n", F.lit(0)), "edges": edges, "text": word_key(F.coalesce(raw, F.lit(""))), "score": F.col("score"), "words": F.col("words")}
+    return joined.select("project_id", "region_idx", *[c.alias(f"{name}_{tag}") for name, c in out.items()])
 
-def compare_passes(words: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:
-    """Every region with wins (the candidate pass should replace its words) and differ (both have text, and not the same)."""
 
-    def side(rows: DataFrame, tag: str) -> DataFrame:
-        cover = speech_coverage(rows, regions).select("project_id", "region_idx", F.col("n_words").alias(f"n_{tag}"), F.col("uncovered_edges").alias(f"edges_{tag}"))
-        text = hypothesis_text(rows, regions).withColumnRenamed("hypothesis", f"text_{tag}")
-        slim = rows.select("project_id", "word_idx", "start", "end", _score(rows).alias("_score"))
-        pairs = interval_join(slim, as_right(regions.select("project_id", "region_idx", "start", "end")), ["project_id"])
-        mean = pairs.groupBy("project_id", "region_idx").agg(F.avg(F.nanvl("_score", F.lit(None))).alias(f"score_{tag}"))
-        return cover.join(text, ["project_id", "region_idx"]).join(mean, ["project_id", "region_idx"], "left")
+def region_sides(words: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:
+    """Both passes' sides (a: words, b: candidates) of every region."""
+    return region_side(words, regions, "a").join(region_side(candidates, regions, "b"), ["project_id", "region_idx"])
+
+
+def hypothesis_text(words: DataFrame, regions: DataFrame) -> DataFrame:
+    """hypothesis: for each region the letters and digits of its words, in order."""
+    return region_side(words, regions, "a").select("project_id", "region_idx", F.col("text_a").alias("hypothesis"))
+
 
-    some = candidates.select("project_id").distinct().withColumn("some", F.lit(True))
-    both = side(words, "a").join(side(candidates, "b"), ["project_id", "region_idx"]).join(some, "project_id", "left")
+def _differ() -> Column:
+    return (F.col("text_a") != "") & (F.col("text_b") != "") & (F.col("text_a") != F.col("text_b"))
+
+
+def hypotheses_disagree(words: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:
+    """Regions whose two texts are both there and differ."""
+    return region_sides(words, candidates, regions).where(_differ()).select("project_id", "region_idx")
+
+
+def _wins() -> Column:
+    """The candidate has words in the region, is better covered or longer, and its score has not dropped much."""
     edge = F.col("edges_a") - F.col("edges_b")
     gain = grapheme_count(F.col("text_b")) - grapheme_count(F.col("text_a"))
     same = (F.col("text_a") != "") & (F.col("text_a") == F.col("text_b"))
     better = (F.col("n_a") == 0) | (same & (edge >= EDGE_GAIN)) | (gain >= TEXT_GAIN) | ((gain >= SMALL_TEXT_GAIN) & (edge >= SMALL_EDGE_GAIN)) | ((gain >= 1) & (edge >= EDGE_GAIN))
     sound = F.col("score_a").isNull() | F.col("score_b").isNull() | (F.col("score_b") >= F.col("score_a") - SCORE_DROP)
-    differ = (F.col("text_a") != "") & (F.col("text_b") != "") & (F.col("text_a") != F.col("text_b"))
-    return both.select("project_id", "region_idx", (F.coalesce("some", F.lit(False)) & better & sound).alias("wins"), differ.alias("differ"))
+    return (F.col("n_b") > 0) & better & sound
+
+
+def compare_passes(words: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:
+    """Every region with wins (the candidate pass should replace its words) and differ (both have text, and not the same)."""
+    return region_sides(words, candidates, regions).select("project_id", "region_idx", _wins().alias("wins"), _differ().alias("differ"))
 
 
 def retry_wins(words: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:
@@ -104,75 +124,100 @@ def _common_pairs(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([[{"left": i, "right": j} for i, j in common_pairs(list(a), list(b))] for a, b in zip(left, right, strict=True)])
 
 
+def _matched(sides: DataFrame) -> DataFrame:
+    """(project_id, region_idx, word_idx, candidate_idx) of words that both sides of a region have."""
+    keys = lambda c: F.transform(c, lambda x: x["key"])
+    found = sides.where("words_a IS NOT NULL AND words_b IS NOT NULL").withColumn("p", F.explode(_common_pairs(keys("words_a"), keys("words_b"))))
+    return found.select("project_id", "region_idx", F.col("words_a")[F.col("p.left")]["word_idx"].alias("word_idx"), F.col("words_b")[F.col("p.right")]["word_idx"].alias("candidate_idx"))
+
+
 def lcs_pairs(words: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:
     """(project_id, region_idx, word_idx, candidate_idx) of words that both passes have in a region."""
+    return _matched(region_sides(words, candidates, regions))
 
-    def lists(rows: DataFrame, tag: str) -> DataFrame:
-        keyed = rows.select("project_id", "word_idx", "start", "end", word_key(F.col("text")).alias("key"))
-        pairs = interval_join(keyed, as_right(regions.select("project_id", "region_idx", "start", "end")), ["project_id"])
-        return pairs.groupBy("project_id", "region_idx").agg(F.sort_array(F.collect_list(F.struct("start", "word_idx", "key"))).alias(tag))
 
-    both = lists(words, "a").join(lists(candidates, "b"), ["project_id", "region_idx"])
-    keys = lambda c: F.transform(c, lambda x: x["key"])
-    found = both.withColumn("p", F.explode(_common_pairs(keys("a"), keys("b"))))
-    return found.select("project_id", "region_idx", F.col("a")[F.col("p.left")]["word_idx"].alias("word_idx"), F.col("b")[F.col("p.right")]["word_idx"].alias("candidate_idx"))
+def _members(sides: DataFrame, tag: str, *more: str) -> DataFrame:
+    """(project_id, region_idx, word_idx) of one side's words."""
+    return sides.select("project_id", "region_idx", *more, F.explode(f"words_{tag}").alias("w")).select("project_id", "region_idx", *more, "w.word_idx")
 
 
-def mark_region_for_review(words: DataFrame, candidates: DataFrame, regions: DataFrame, reason: str = "pass-disagreement") -> DataFrame:
-    """words with needs_review, review_status and review_reason set where a region's word has no match and wasn't edited."""
-    inside = interval_join(words.select("project_id", "word_idx", "start", "end"), as_right(regions.select("project_id", "region_idx", "start", "end")), ["project_id"])
-    unmatched = inside.join(lcs_pairs(words, candidates, regions), ["project_id", "region_idx", "word_idx"], "left_anti").select("project_id", "word_idx").distinct().withColumn("_hit", F.lit(True))
-    joined = words.join(unmatched, ["project_id", "word_idx"], "left")
-    hit = F.coalesce("_hit", F.lit(False)) & (F.col("review_status") != "edited")
-    return joined.withColumn("needs_review", hit | F.col("needs_review")).withColumn("review_reason", F.when(hit, reason)).withColumn(
-        "review_status", F.when(hit, "pending").otherwise(F.col("review_status"))
-    ).drop("_hit")
+_WORD = ["project_id", "word_idx", "text", "start", "end"]
 
 
-def replace_region_words(words: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:
-    """Words outside the regions and the candidates' words inside; a matched candidate keeps the old review state, others wait for review."""
-    names = ["project_id", "word_idx", "text", "start", "end", "needs_review", "review_status", "review_reason", "origin"]
-    inside = interval_join(words.select("project_id", "word_idx", "start", "end"), as_right(regions.select("project_id", "region_idx", "start", "end")), ["project_id"])
-    kept = words.join(inside.select("project_id", "word_idx").distinct(), ["project_id", "word_idx"], "left_anti").withColumn("review_reason", F.lit(None).cast("string")).withColumn("origin", F.lit("kept"))
-    old = words.select("project_id", "word_idx", F.col("needs_review").alias("old_needs"), F.col("review_status").alias("old_status"))
-    prior = lcs_pairs(words, candidates, regions).join(old, ["project_id", "word_idx"]).select("project_id", F.col("candidate_idx").alias("word_idx"), "old_needs", "old_status")
-    fresh = interval_join(candidates.select("project_id", "word_idx", "text", "start", "end"), as_right(regions.select("project_id", "region_idx", "start", "end")), ["project_id"])
-    fresh = fresh.drop("r_start", "r_end", "region_idx").dropDuplicates(["project_id", "word_idx"]).join(prior.dropDuplicates(["project_id", "word_idx"]), ["project_id", "word_idx"], "left")
-    hit = F.col("old_status").isNotNull()
-    fresh = fresh.withColumn("needs_review", F.coalesce("old_needs", F.lit(True))).withColumn("review_status", F.coalesce("old_status", F.lit("pending")))
-    fresh = fresh.withColumn("review_reason", F.when(~hit, "coverage-retry")).withColumn("origin", F.lit("retry"))
-    return kept.select(*names).unionByName(fresh.select(*names))
-
-
-def merge_passes(words: DataFrame, candidates: DataFrame, regions: DataFrame, reason: str = "pass-disagreement") -> DataFrame:
-    """One decision for each (disjoint) retried region: take the candidate, mark the disagreement, or leave the words.
+def _decided(words: DataFrame, candidates: DataFrame, sides: DataFrame, reason: str) -> DataFrame:
+    """Words after the decisions of disjoint regions (sides with wins): the candidate's words, or doubtful ones marked, or as they were.
 
-    The passes are compared and aligned once; the decisions then go to the words and the candidates of their regions.
+    A word marked or replaced before keeps its own reason where no decision gives a new one; a candidate's word that matches an old one takes over
+    the old one's review state and reason.
     """
-    decided = regions.join(compare_passes(words, candidates, regions).where("wins OR differ"), ["project_id", "region_idx"])
-    spans = as_right(decided.select("project_id", "region_idx", "start", "end", "wins"))
-    pairs = lcs_pairs(words, candidates, decided)
-    old = words.select("project_id", "word_idx", "start", "end")
-    met = interval_join(old, spans, ["project_id"]).select("project_id", "region_idx", "word_idx", "wins")
-    met = met.join(pairs.withColumn("same", F.lit(True)), ["project_id", "region_idx", "word_idx"], "left")
+    pairs = _matched(sides)
+    met = _members(sides, "a", "wins").join(pairs.select("project_id", "region_idx", "word_idx", F.lit(True).alias("same")).distinct(), ["project_id", "region_idx", "word_idx"], "left")
     state = met.groupBy("project_id", "word_idx").agg(F.max("wins").alias("gone"), F.max(~F.col("wins") & F.col("same").isNull()).alias("doubt"))
-    kept = words.join(state, ["project_id", "word_idx"], "left").where("NOT coalesce(gone, false)")
+    origin = F.col("origin") if "origin" in words.columns else F.lit("kept")
+    rows = words.select(*_WORD, _score(words).alias("score"), "needs_review", "review_status", _reason(words).alias("review_reason"), origin.alias("origin"))
+    kept = rows.join(state, ["project_id", "word_idx"], "left").where("NOT coalesce(gone, false)")
     hit = F.coalesce("doubt", F.lit(False)) & (F.col("review_status") != "edited")
-    names = ["project_id", "word_idx", "text", "start", "end"]
     kept = kept.select(
-        *names, (hit | F.col("needs_review")).alias("needs_review"), F.when(hit, "pending").otherwise(F.col("review_status")).alias("review_status"),
-        F.when(hit, reason).alias("review_reason"), F.lit("kept").alias("origin"),
+        *_WORD, "score", (hit | F.col("needs_review")).alias("needs_review"), F.when(hit, "pending").otherwise(F.col("review_status")).alias("review_status"),
+        F.when(hit, reason).otherwise(F.col("review_reason")).alias("review_reason"), "origin",
     )
-    prior = words.select("project_id", "word_idx", F.col("needs_review").alias("old_needs"), F.col("review_status").alias("old_status"))
-    prior = pairs.join(prior, ["project_id", "word_idx"]).groupBy("project_id", F.col("candidate_idx").alias("word_idx")).agg(F.min_by(F.struct("old_needs", "old_status"), "region_idx").alias("o"))
-    fresh = interval_join(candidates.select(*names), spans.where("wins"), ["project_id"]).select(*names).distinct().join(prior, ["project_id", "word_idx"], "left")
+    old = pairs.join(rows.select("project_id", "word_idx", F.struct("needs_review", "review_status", "review_reason").alias("o")), ["project_id", "word_idx"])
+    prior = old.groupBy("project_id", F.col("candidate_idx").alias("word_idx")).agg(F.min_by("o", "region_idx").alias("o"))
+    taken = _members(sides.where("wins"), "b").select("project_id", "word_idx").distinct()
+    fresh = candidates.select(*_WORD, _score(candidates).alias("score")).join(taken, ["project_id", "word_idx"]).join(prior, ["project_id", "word_idx"], "left")
     fresh = fresh.select(
-        *names, F.coalesce("o.old_needs", F.lit(True)).alias("needs_review"), F.coalesce("o.old_status", F.lit("pending")).alias("review_status"),
-        F.when(F.col("o").isNull(), "coverage-retry").alias("review_reason"), F.lit("retry").alias("origin"),
+        *_WORD, "score", F.coalesce("o.needs_review", F.lit(True)).alias("needs_review"), F.coalesce("o.review_status", F.lit("pending")).alias("review_status"),
+        F.when(F.col("o").isNull(), "coverage-retry").otherwise(F.col("o.review_reason")).alias("review_reason"), F.lit("retry").alias("origin"),
     )
     return kept.unionByName(fresh)
 
 
+def mark_region_for_review(words: DataFrame, candidates: DataFrame, regions: DataFrame, reason: str = "pass-disagreement") -> DataFrame:
+    """words with needs_review, review_status and review_reason set where a region's word has no match and wasn't edited; others keep theirs."""
+    sides = region_sides(words, candidates, regions)
+    unmatched = _members(sides, "a").join(_matched(sides), ["project_id", "region_idx", "word_idx"], "left_anti").select("project_id", "word_idx").distinct().withColumn("_hit", F.lit(True))
+    joined = words.withColumn("review_reason", _reason(words)).join(unmatched, ["project_id", "word_idx"], "left")
+    hit = F.coalesce("_hit", F.lit(False)) & (F.col("review_status") != "edited")
+    new = {
+        "needs_review": hit | F.col("needs_review"), "review_reason": F.when(hit, reason).otherwise(F.col("review_reason")),
+        "review_status": F.when(hit, "pending").otherwise(F.col("review_status")),
+    }
+    return joined.withColumns(new).drop("_hit")
+
+
+def replace_region_words(words: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:
+    """Words outside the regions and the candidates' words inside; a matched candidate keeps the old review state, others wait for review."""
+    return _decided(words, candidates, region_sides(words, candidates, regions).withColumn("wins", F.lit(True)), "").drop("score")
+
+
+def region_layers(regions: DataFrame) -> DataFrame:
+    """regions with layer: the place of a region among those that overlap it in a row (in order of start), so one layer's regions are disjoint."""
+    w = Window.partitionBy("project_id").orderBy("start", "region_idx")
+    new = F.col("start") >= F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = regions.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int"))
+    runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.withColumn("layer", F.row_number().over(Window.partitionBy("project_id", "_run").orderBy("start", "region_idx"))).drop("_new", "_run")
+
+
+def merge_passes(words: DataFrame, candidates: DataFrame, regions: DataFrame, reason: str = "pass-disagreement") -> DataFrame:
+    """One decision for each retried region, in order of start: take the candidate, mark the disagreement, or leave the words.
+
+    Where regions overlap, a later one sees what the earlier one has left: regions are decided in layers of disjoint ones. Each layer
+    joins either pass with its regions once and is written down. word_idx is that of the pass a word comes from (origin: kept or retry).
+    """
+    layered = region_layers(regions)
+    layers = layered.agg(F.max("layer")).first()[0] or 0
+    if layers <= 1:
+        sides = region_sides(words, candidates, regions).withColumn("wins", _wins())
+        return _decided(words, candidates, sides.where(F.col("wins") | _differ()), reason).drop("score")
+    # numbers that stay apart when words of both passes are in one table
+    now, other = (rows.withColumn("word_idx", F.col("word_idx") * 2 + odd) for rows, odd in ((words, 0), (candidates, 1)))
+    for layer in range(1, layers + 1):
+        sides = region_sides(now, other, layered.where(F.col("layer") == layer).drop("layer")).withColumn("wins", _wins())
+        now = cut(_decided(now, other, sides.where(F.col("wins") | _differ()), reason))
+    return now.withColumn("word_idx", F.floor(F.col("word_idx") / 2)).drop("score")
+
+
 # --- scans over a project's words -------------------------------------------------------------------------------------
 
 
@@ -244,58 +289,86 @@ def _greedy_terms(keys: pd.Series, terms: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _field(name: str):
+    return lambda x: x[name]
+
+
 def apply_glossary(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """Runs of up to ten words that spell a term (longest first, from the left) become one word.
+    """Runs of up to ten words that spell a term (longest first, from the left) become one word; adds n_merged.
 
-    terms: (project_id, term_idx, term), at most 200 a project. The first word gives the fields, the last the end; scores are averaged.
+    terms: (project_id, term_idx, term), at most 200 a project. A merged word has all fields of its first word, but the last one's end, the
+    means of each score, and waits for review where one of them does. Other words stay as they are.
     """
     squeeze = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
     known = terms.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("term_idx", squeeze(F.col("term")).alias("key"), "term"))).alias("terms"))
-    lists = _collected(words.withColumn("key", squeeze(F.col("text"))), ["word_idx"], ["key", "text", "start", "end", "score", "needs_review"])
-    joined = lists.join(known, "project_id", "left")
+    fields = [c for c in words.columns if c != "project_id"]
+    lists = words.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", squeeze(F.col("text")).alias("key"), F.struct(*fields).alias("w")))).alias("rows"))
     empty = F.array().cast("array<struct<key:string,term:string>>")
     slim = F.coalesce(F.transform("terms", lambda t: F.struct(t["key"].alias("key"), t["term"].alias("term"))), empty)
-    hits = joined.select("project_id", "rows", F.explode(_greedy_terms(F.transform("rows", lambda r: r["key"]), slim)).alias("h"))
-    part = hits.select("project_id", "h.term", F.slice("rows", F.col("h.first") + 1, F.col("h.count")).alias("m"))
+    hits = lists.join(known, "project_id", "left").select("project_id", "rows", F.explode(_greedy_terms(F.transform("rows", lambda r: r["key"]), slim)).alias("h"))
+    part = hits.select("project_id", "h.term", F.transform(F.slice("rows", F.col("h.first") + 1, F.col("h.count")), lambda r: r["w"]).alias("m"))
     first, last = F.element_at("m", 1), F.element_at("m", -1)
-    scores = F.filter(F.transform("m", lambda x: x["score"]), lambda s: s.isNotNull())
-    mean = F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda a, s: a + s) / F.size(scores))
-    return part.select(
-        "project_id", first["word_idx"].alias("word_idx"), F.coalesce("term", first["text"]).alias("text"), first["start"].alias("start"), last["end"].alias("end"),
-        mean.alias("score"), F.exists("m", lambda x: x["needs_review"]).alias("needs_review"), F.size("m").alias("n_merged"),
-    )
+    merged = F.col("term").isNotNull()
+
+    def mean(value) -> Column:
+        some = F.filter(F.transform("m", value), lambda s: s.isNotNull() & ~F.isnan(s))
+        return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda a, s: a + s) / F.size(some))
+
+    new = {"text": F.col("term"), "end": last["end"]}
+    for name in ("score", "review_score", "confidence"):
+        if name in fields:
+            new[name] = mean(_field(name))
+    if "raw_confidence" in fields:
+        new["raw_confidence"] = mean(lambda x: F.coalesce(x["raw_confidence"], x["confidence"]) if "confidence" in fields else x["raw_confidence"])
+    if "needs_review" in fields:
+        new["needs_review"] = F.exists("m", lambda x: x["needs_review"])
+    columns = [F.when(merged, new[f]).otherwise(first[f]).alias(f) if f in new else first[f].alias(f) for f in fields]
+    return part.select("project_id", *columns, F.size("m").alias("n_merged"))
 
 
 def balanced_cuts(size, start, end, space, unsafe, target: int, soft_pause: float, max_duration: float, max_chars: int) -> list[int]:
-    """Sizes of the groups of a phrase with the least cost (see reflow_words), by a scan from the right end with back pointers."""
+    """Sizes of the groups of a phrase with the least cost (see reflow_words).
+
+    One table of costs, words by group sizes, is made at once; then the phrase is solved from its right end, each word taking the
+    least of its row plus the solution of what follows. Of equal costs (to 1e-6) the size nearest to the target counts, then the smaller one.
+    """
     n = len(size)
+    if not n:
+        return []
     slack = 0 if target == 1 else max(1, int(target * 0.34 + 0.5))
-    preferred = target + slack
-    cost, take = [np.inf] * n + [0.0], [0] * n
+    sizes = np.arange(1, min(n, target + slack + 2) + 1)
+    first = np.arange(n)[:, None]
+    after = first + sizes  # the word that a group is followed by
+    inside, final = after <= n, after == n
+    last = np.minimum(after, n) - 1
+    start, end = np.asarray(start, float), np.asarray(end, float)
+    chars = np.append(0, np.cumsum(size))
+    gaps = np.append(0, np.cumsum(np.asarray(space, bool)))
+    length = chars[last + 1] - chars[first] + gaps[last + 1] - gaps[first + 1]
+    over = ((end[last] - start[first] > max_duration) | (length > max_chars)) & (sizes > 1)
+    free = inside & ~np.logical_or.accumulate(over, axis=1)
+    ahead = np.minimum(after, n - 1)
+    free &= final | ~np.asarray(unsafe, bool)[ahead]
+    pause = np.where(final, 0.0, np.maximum(0.0, start[ahead] - end[last]))
+    cost = np.square((sizes - target) / target) * 4 + np.maximum(0, sizes - target - slack) * 4 - np.minimum(1.2, pause / max(0.01, soft_pause) * 0.3)
+    if target > 1:
+        cost = cost + np.where((sizes == 1) & (n > 1), 2.5, 0.0) + np.where(n - after == 1, 1.5, 0.0)
+    cost = np.where(free, cost, np.inf)
+    best, take = np.full(n + len(sizes) + 1, np.inf), np.zeros(n, int)
+    best[n] = 0.0
+    by_taste = np.lexsort((sizes, np.abs(sizes - target)))
     for i in range(n - 1, -1, -1):
-        chars = 0
-        for k in range(1, min(preferred + 2, n - i) + 1):
-            j = i + k
-            chars += size[j - 1] + (1 if k > 1 and space[j - 1] else 0)
-            if k > 1 and (end[j - 1] - start[i] > max_duration or chars > max_chars):
-                break
-            if j < n and (unsafe[j] or cost[j] == np.inf):
-                continue
-            c = ((k - target) / target) ** 2 * 4 + max(0, k - preferred) * 4 + (2.5 if k == 1 and n > 1 and target > 1 else 0)
-            if j < n:
-                c -= min(1.2, max(0.0, start[j] - end[j - 1]) / max(0.01, soft_pause) * 0.3)
-                c += 1.5 if n - j == 1 and target > 1 else 0
-            c += cost[j]
-            nearer = abs(k - target) < abs(take[i] - target) if take[i] else True
-            if cost[i] == np.inf or c < cost[i] - 1e-6 or (abs(c - cost[i]) <= 1e-6 and nearer):
-                cost[i], take[i] = c, k
-    if n and cost[0] == np.inf:
+        total = cost[i] + best[i + sizes]
+        least = total.min()
+        if least < np.inf:
+            pick = by_taste[np.argmax(total[by_taste] <= least + 1e-6)]
+            best[i], take[i] = total[pick], sizes[pick]
+    if best[0] == np.inf:
         return [n]
-    sizes, i = [], 0
-    while i < n:
-        sizes.append(take[i])
-        i += take[i]
-    return sizes
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(cuts[-1] + int(take[cuts[-1]]))
+    return np.diff(cuts).tolist()
 
 
 def reflow_words(words: DataFrame, target: int = 5, language: str = "th", soft_pause: float = 0.08, max_duration: float = 4.0, max_lines: int = 2, line_chars: int = 32) -> DataFrame:
@@ -363,12 +436,43 @@ def token_error_rate(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
 _TIMED = "array<struct<text:string,space_before:boolean,start:double,end:double,old_idx:int,review_status:string>>"
 
 
-def spread(pieces: list[str], start: float, length: float) -> list[tuple[float, float]]:
-    """Times of pieces that share a length by their number of characters."""
-    weights = np.array([max(1, len(p)) for p in pieces], float)
-    edges = start + length * np.append(0, np.cumsum(weights)) / weights.sum()
-    edges[-1] = start + length
-    return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+LEAST = 0.04
+
+
+def _edited_times(a: float, b: float, old: list, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """For each new text the old word that it is (-1: none), its start and its end.
+
+    Matched words are the walls between gaps. A gap with as many new as old words takes the old times one by one; in others the new
+    words share what lies between the walls by their numbers of characters, LEAST each at least. At last words are
+    moved so that none starts before the one before it ends, nor ends after the caption.
+    """
+    n = len(texts)
+    pairs = np.array(common_pairs([w["text"] for w in old], texts), int).reshape(-1, 2)
+    old_start, old_end = (np.array([w[k] for w in old], float) for k in ("start", "end"))
+    # walls: the matched words, and one before the first and after the last word
+    wall_old, wall_new = np.concatenate([[-1], pairs[:, 0], [len(old)]]), np.concatenate([[-1], pairs[:, 1], [n]])
+    left_end = np.concatenate([[a], old_end[pairs[:, 0]]])
+    right_start = np.concatenate([old_start[pairs[:, 0]], [b]])
+    gap = np.searchsorted(wall_new, np.arange(n), side="right") - 1
+    kept = np.full(n, -1)
+    kept[pairs[:, 1]] = pairs[:, 0]
+    new_words, old_words = np.diff(wall_new) - 1, np.diff(wall_old) - 1
+    even = (new_words == old_words)[gap] & (kept < 0)
+    source = np.where(kept >= 0, kept, np.where(even, wall_old[gap] + np.arange(n) - wall_new[gap], -1))
+    start, end = np.zeros(n), np.zeros(n)
+    known = source >= 0
+    start[known], end[known] = old_start[source[known]], old_end[source[known]]
+    for g in np.unique(gap[~known]):
+        at = np.flatnonzero((gap == g) & ~known)
+        weight = np.maximum(1, [len(texts[j]) for j in at]).astype(float)
+        room = max(LEAST * len(at), right_start[g] - left_end[g])
+        stop = left_end[g] + np.cumsum(np.maximum(LEAST, room * weight / weight.sum()))
+        before = np.append(left_end[g], stop[:-1])
+        stop[-1] = max(before[-1] + LEAST, left_end[g] + room)
+        start[at], end[at] = before, stop
+    step = LEAST * np.arange(1, n + 1)
+    reach = np.minimum(b, np.maximum.accumulate(np.maximum(np.maximum(start, a) + LEAST, end) - step) + step)
+    return kept.tolist(), np.maximum(np.maximum(start, a), np.append(a, reach[:-1])), reach
 
 
 @vectorised(_TIMED)
@@ -381,34 +485,18 @@ def reconcile_edited_caption(start: pd.Series, end: pd.Series, old: pd.Series, p
     for a, b, before, after in zip(start, end, old, pieces, strict=True):
         before, after = list(before if before is not None else []), list(after if after is not None else [])
         texts = [p["text"] for p in after]
-        words: list[dict] = [{"text": p["text"], "space_before": p["space_before"], "old_idx": None, "review_status": "edited"} for p in after]
-        if after and not before:
-            for w, (s, e) in zip(words, spread(texts, a, max(0.04, b - a)), strict=True):
-                w.update(start=s, end=e)
-            words[-1]["end"] = b
-        elif after:
-            pairs = common_pairs([w["text"] for w in before], texts)
-            for i, j in pairs:
-                words[j].update(start=before[i]["start"], end=before[i]["end"], old_idx=i, review_status="kept")
-            for (i0, j0), (i1, j1) in zip([(-1, -1), *pairs], [*pairs, (len(before), len(after))], strict=True):
-                new, gone = j1 - j0 - 1, i1 - i0 - 1
-                if new and new == gone:
-                    for k in range(new):
-                        words[j0 + 1 + k].update(start=before[i0 + 1 + k]["start"], end=before[i0 + 1 + k]["end"])
-                elif new:
-                    low = words[j0]["end"] if j0 >= 0 else a
-                    high = words[j1]["start"] if j1 < len(after) else b
-                    room, cursor = max(0.04 * new, high - low), low
-                    weights = [max(1, len(t)) for t in texts[j0 + 1 : j1]]
-                    for k, weight in enumerate(weights):
-                        stop = low + room if k == new - 1 else cursor + room * weight / sum(weights)
-                        stop = max(cursor + 0.04, stop)
-                        words[j0 + 1 + k].update(start=cursor, end=stop)
-                        cursor = stop
-            before_end = a
-            for w in words:
-                w["start"] = max(a, w["start"], before_end)
-                w["end"] = min(b, max(w["start"] + 0.04, w["end"]))
-                before_end = w["end"]
-        out.append(words)
+        if not after:
+            kept, begins, ends = [], [], []
+        elif before:
+            kept, begins, ends = _edited_times(a, b, before, texts)
+        else:
+            weight = np.maximum(1, [len(t) for t in texts]).astype(float)
+            edges = a + max(LEAST, b - a) * np.append(0, np.cumsum(weight)) / weight.sum()
+            kept, begins, ends = [-1] * len(texts), edges[:-1], np.append(edges[1:-1], b)
+        out.append(
+            [
+                {"text": p["text"], "space_before": p["space_before"], "start": float(s), "end": float(e), "old_idx": k if k >= 0 else None, "review_status": "kept" if k >= 0 else "edited"}
+                for p, k, s, e in zip(after, kept, begins, ends, strict=True)
+            ]
+        )
     return pd.Series(out)

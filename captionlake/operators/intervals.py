@@ -57,9 +57,12 @@ def words_outside_speech(words: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def speech_coverage(words: DataFrame, regions: DataFrame) -> DataFrame:
-    """For every region: n_words that meet it, leading_gap, trailing_gap, uncovered_edges (without words twice its length)."""
+    """For every region: n_words that meet it, leading_gap, trailing_gap, uncovered_edges (without words twice its length), flagged (one waits for review)."""
     pairs = interval_join(words, as_right(regions), ["project_id"])
-    flagged = F.coalesce(F.bool_or("needs_review"), F.lit(False)) if "needs_review" in words.columns else F.lit(False)
+    waits = F.coalesce(F.col("needs_review"), F.lit(False)) if "needs_review" in words.columns else F.lit(False)
+    if "review_status" in words.columns:
+        waits = waits | F.coalesce(F.col("review_status") == "pending", F.lit(False))
+    flagged = F.coalesce(F.bool_or(waits), F.lit(False))
     inside = pairs.groupBy("project_id", "region_idx").agg(F.count("*").alias("n_words"), F.min("start").alias("w_start"), F.max("end").alias("w_end"), flagged.alias("flagged"))
     joined = regions.join(inside, ["project_id", "region_idx"], "left").withColumn("n_words", F.coalesce("n_words", F.lit(0))).withColumn("flagged", F.coalesce("flagged", F.lit(False)))
     length = F.col("end") - F.col("start")
@@ -136,17 +139,17 @@ def expand_range(ranges: DataFrame, regions: DataFrame, duration: DataFrame, pad
 def caption_at(probes: DataFrame, captions: DataFrame, words: DataFrame, effect: str = "sentence") -> DataFrame:
     """For probes (project_id, probe_idx, t): the caption that shows at t, its active word and the last word to show, or no row.
 
-    words carry caption_idx and word_pos (their place in the caption).
+    A caption without words shows as a whole (both -1) in the effects that show whole captions. words carry caption_idx and word_pos (their place in the caption).
     """
     points = probes.withColumn("start", F.col("t")).withColumn("end", F.col("t") + 1e-9)
     hit = interval_join(points, as_right(captions.select("project_id", "caption_idx", "start", "end")), ["project_id"]).where("t >= r_start AND t < r_end")
-    inside = hit.select("project_id", "probe_idx", "t", "caption_idx").join(words.select("project_id", "caption_idx", "word_pos", "start", "end"), ["project_id", "caption_idx"])
+    inside = hit.select("project_id", "probe_idx", "t", "caption_idx").join(words.select("project_id", "caption_idx", "word_pos", "start", "end"), ["project_id", "caption_idx"], "left")
     state = inside.groupBy("project_id", "probe_idx", "t", "caption_idx").agg(
         F.min(F.when(F.expr("t >= start AND t < end"), F.col("word_pos"))).alias("active"), F.max(F.when(F.expr("end <= t"), F.col("word_pos"))).alias("before"),
         F.max("word_pos").alias("last"),
     )
     active = F.coalesce("active", F.lit(-1))
-    visible = F.coalesce("active", "before", F.lit(-1)) if effect == "progressive" else F.col("last")
+    visible = F.coalesce("active", "before", F.lit(-1)) if effect == "progressive" else F.coalesce("last", F.lit(-1))
     out = state.select("project_id", "probe_idx", "caption_idx", active.alias("active_idx"), visible.alias("visible_end"))
     if effect == "word":
         return out.where("active_idx >= 0")

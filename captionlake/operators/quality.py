@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from captionlake.functions.text import metric_key, word_segments
+from captionlake.functions.text import grapheme_count, metric_key, word_segments
 from captionlake.operators.alignment import token_error_rate
 from captionlake.operators.intervals import words_outside_speech
 
@@ -16,7 +16,7 @@ def metric_tokens(text: Column, language: str = "th") -> Column:
 
 
 def plain_tokens(text: Column) -> Column:
-    """The same by white space, for languages that have it."""
+    """The same by white space only."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), metric_key), lambda t: t != "")
 
 
@@ -51,12 +51,18 @@ def project_text(words: DataFrame, name: str) -> DataFrame:
     return words.groupBy("project_id").agg(F.array_join(ordered, " ").alias(name))
 
 
-def evaluate_fixtures(reference: DataFrame, baseline: DataFrame, candidate: DataFrame, regions: DataFrame) -> DataFrame:
-    """One row of scores for each project that has a reference."""
+def evaluate_fixtures(reference: DataFrame, baseline: DataFrame, candidate: DataFrame, regions: DataFrame, language: str = "th", candidate_regions: DataFrame | None = None) -> DataFrame:
+    """One row of scores for each project that has a reference; words are those of the language's segmentation.
+
+    Projects without regions of their own take those of the candidate pass.
+    """
+    if candidate_regions is not None:
+        names = ["project_id", "region_idx", "start", "end"]
+        regions = regions.select(*names).unionByName(candidate_regions.select(*names).join(regions.select("project_id").distinct(), "project_id", "left_anti"))
     texts = project_text(reference, "reference").join(project_text(baseline, "baseline"), "project_id", "left").join(project_text(candidate, "candidate"), "project_id", "left")
     tokens = texts.select(
-        "project_id", *[plain_tokens(F.col(c)).alias(c) for c in ("reference", "baseline", "candidate")],
-        char_error_rate(F.col("reference"), F.col("baseline")).alias("baseline_cer"), char_error_rate(F.col("reference"), F.col("candidate")).alias("candidate_cer"),
+        "project_id", *[metric_tokens(F.coalesce(c, F.lit("")), language).alias(c) for c in ("reference", "baseline", "candidate")],
+        char_error_rate(F.col("reference"), F.coalesce("baseline", F.lit(""))).alias("baseline_cer"), char_error_rate(F.col("reference"), F.coalesce("candidate", F.lit(""))).alias("candidate_cer"),
     )
     silent = words_outside_speech(candidate, regions).groupBy("project_id").agg(F.count("*").alias("silent_word_count"))
     scored = tokens.select(
@@ -66,11 +72,30 @@ def evaluate_fixtures(reference: DataFrame, baseline: DataFrame, candidate: Data
     return out.withColumn("silent_word_count", F.coalesce("silent_word_count", F.lit(0)))
 
 
+def _upper_median(scores: DataFrame, name: str, width: float = 1e-3) -> DataFrame:
+    """One row: the upper median of a column's finite values, found among counted values of one bin of ``width``; no rows without values."""
+    values = scores.where(F.col(name).isNotNull() & ~F.isnan(name)).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col("value") / width))
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = values.groupBy("bin").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    bins = bins.withColumn("place", F.floor(total / 2)).withColumn("before", upto(Window.partitionBy(F.lit(0)).orderBy("bin")))
+    hit = bins.where("place >= before AND place < before + n").select("bin", "place", "before")
+    inside = values.join(hit, "bin").withColumn("before", F.col("before") + upto(Window.partitionBy("bin").orderBy("value")))
+    return inside.where("place >= before AND place < before + n").select(F.col("value").alias(name))
+
+
 def quality_report(scores: DataFrame) -> DataFrame:
     """One row: mean error rates, improvement, upper median of boundary errors, silent words, and whether the gates are passed."""
-    finite = F.sort_array(F.collect_list(F.when(~F.isnan("median_boundary_error"), F.col("median_boundary_error"))))
-    row = scores.agg(F.avg("baseline_wer").alias("baseline_wer"), F.avg("candidate_wer").alias("candidate_wer"), finite.alias("m"), F.sum("silent_word_count").alias("silent_word_count"))
+    row = scores.agg(F.avg("baseline_wer").alias("baseline_wer"), F.avg("candidate_wer").alias("candidate_wer"), F.sum("silent_word_count").alias("silent_word_count"))
     row = row.withColumn("wer_improvement", F.when(F.col("baseline_wer") != 0, 1 - F.col("candidate_wer") / F.col("baseline_wer")).otherwise(0.0))
-    row = row.withColumn("median_boundary_error", F.get("m", F.floor(F.size("m") / 2).cast("int"))).drop("m")
+    median = _upper_median(scores, "median_boundary_error").withColumn("_one", F.lit(1))
+    row = row.withColumn("_one", F.lit(1)).join(median, "_one", "left").drop("_one")  # one row each
     passed = (F.col("wer_improvement") >= 0.15) & F.col("median_boundary_error").isNotNull() & (F.col("median_boundary_error") <= 0.2) & (F.col("silent_word_count") == 0)
     return row.withColumn("passed", F.coalesce(passed, F.lit(False)))
+
+
+def caption_read_stats(captions: DataFrame, cps: float = 17, lines: int = 2, line_chars: int = 32) -> DataFrame:
+    """characters (without spaces), cps, lines, too_fast and overflow of captions."""
+    size = grapheme_count(F.regexp_replace("text", r"\s", ""))
+    rows = captions.withColumn("characters", size).withColumn("cps", F.col("characters") / F.greatest(F.lit(0.001), F.col("end") - F.col("start"))).withColumn("lines", F.size(F.split("text", "\n")))
+    return rows.withColumn("too_fast", F.col("cps") > cps).withColumn("overflow", (F.col("lines") > lines) | (F.col("characters") > lines * line_chars))

@@ -112,10 +112,35 @@ def migrate_words_v3(words: DataFrame) -> DataFrame:
     return fixed.withColumn("schema_version", F.greatest("schema_version", F.lit(3))).drop("_s", "_t")
 
 
+def migrate_projects_v3(projects: DataFrame) -> DataFrame:
+    """Projects (captions and style as load_projects gives them, schema_version) older than schema 3: words of captions and the style get its fields; newer ones stay."""
+    old = F.coalesce(F.col("schema_version"), F.lit(0)) < 3
+
+    def word(w: Column) -> Column:
+        needs = F.coalesce(w["needsReview"], F.lit(False))
+        status = F.when(w["reviewStatus"].isin(REVIEW_STATES), w["reviewStatus"]).otherwise(F.when(needs, "pending").otherwise("approved"))
+        source = F.when(w["timingSource"].isin(TIMING_SOURCES), w["timingSource"]).otherwise("whisper")
+        w = w.withField("rawConfidence", F.coalesce(w["rawConfidence"], w["confidence"])).withField("needsReview", needs)
+        return w.withField("reviewStatus", status).withField("timingSource", source)
+
+    none = F.array().cast(projects.schema["captions"].dataType.elementType["words"].dataType)
+    captions = F.transform("captions", lambda c: c.withField("words", F.transform(F.coalesce(c["words"], none), word)))
+    style = F.map_concat(F.map_filter(F.coalesce("style", F.create_map().cast("map<string,string>")), lambda k, _: k != "schemaVersion"), F.create_map(F.lit("schemaVersion"), F.lit("3")))
+    new = {"captions": captions, "style": style, "schema_version": F.lit(3).cast(projects.schema["schema_version"].dataType)}
+    return projects.withColumns({name: F.when(old, value).otherwise(F.col(name)) for name, value in new.items()})
+
+
 def queue_positions(jobs: DataFrame) -> DataFrame:
-    """Queued jobs with their 1-based place in each queue (column queue; without it there is one)."""
-    by = ["queue"] if "queue" in jobs.columns else [F.lit(0)]
-    return jobs.where("status = 'queued'").withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy("created_at", "job_id")))
+    """Queued jobs with their 1-based place in each queue (column queue; without it all are one queue).
+
+    Places are counted by day of creation: jobs are numbered inside a day, and the days before are added up.
+    """
+    rows = jobs.where("status = 'queued'").withColumn("_queue", F.col("queue") if "queue" in jobs.columns else F.lit(0)).withColumn("_day", F.to_date("created_at"))
+    days = rows.groupBy("_queue", "_day").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_queue").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_queue", "_day").orderBy("created_at", "job_id"))
+    rows = rows.withColumn("_in", inside).join(days.select("_queue", F.col("_day").alias("_of"), before.alias("_before")).withColumnRenamed("_queue", "_q"), (F.col("_queue").eqNullSafe(F.col("_q"))) & F.col("_day").eqNullSafe(F.col("_of")))
+    return rows.withColumn("position", (F.col("_in") + F.col("_before")).cast("int")).select(*jobs.columns, "position")
 
 
 def latest_words_per_caption(jobs: DataFrame, default: int = 5) -> DataFrame:

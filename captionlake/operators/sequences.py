@@ -101,8 +101,14 @@ def cap_word_durations(words: DataFrame) -> DataFrame:
 
 
 def normalize_glossary(glossary: DataFrame, limit: int = 200) -> DataFrame:
-    """Terms (project_id, term_idx, term) from texts (project_id, item_idx, text): cut at commas and line feeds, each once, the first ``limit``."""
-    parts = glossary.select("project_id", "item_idx", F.posexplode(F.split("text", "[,\n]")).alias("p", "raw"))
+    """Terms (project_id, term_idx, term) from texts (project_id, item_idx, text): cut at commas and line feeds, each once, the first ``limit``.
+
+    An array column aliases gives further terms after those of its item, uncut.
+    """
+    found = F.coalesce(F.split("text", "[,\n]"), F.array().cast("array<string>"))
+    if "aliases" in glossary.columns:
+        found = F.concat(found, F.coalesce("aliases", F.array().cast("array<string>")))
+    parts = glossary.select("project_id", "item_idx", F.posexplode(found).alias("p", "raw"))
     terms = parts.withColumn("term", F.trim(F.regexp_replace("raw", r"\s+", " "))).where("term <> ''")
     once = terms.groupBy("project_id", "term").agg(F.min(F.struct("item_idx", "p")).alias("first"))
     ranked = once.withColumn("term_idx", F.row_number().over(by_project().orderBy("first")) - 1)
@@ -110,19 +116,28 @@ def normalize_glossary(glossary: DataFrame, limit: int = 200) -> DataFrame:
 
 
 def shift_captions(captions: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Captions moved by a project's offset, clamped so that none starts before 0 or ends after its duration (null: open)."""
+    """Captions moved by a project's offset, clamped so that none starts before 0 or ends after its duration (null: open).
+
+    An array column words (with start, end and perhaps timing_source) moves along.
+    """
     edge = captions.groupBy("project_id").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
     most = F.coalesce(F.col("duration") - F.col("hi"), F.lit(float("inf")))
     amount = edge.join(offsets, "project_id").select("project_id", F.greatest(-F.col("lo"), F.least(most, F.coalesce("offset", F.lit(0.0)))).alias("amount"))
-    moved = captions.join(amount, "project_id").withColumn("start", F.col("start") + F.col("amount")).withColumn("end", F.col("end") + F.col("amount")).drop("amount")
+    moved = captions.join(amount, "project_id").withColumn("start", F.col("start") + F.col("amount")).withColumn("end", F.col("end") + F.col("amount"))
+    source = lambda c: F.when(c == "estimated", "estimated").otherwise("manual")
     if "timing_source" in captions.columns:
-        moved = moved.withColumn("timing_source", F.when(F.col("timing_source") == "estimated", "estimated").otherwise("manual"))
-    return moved
+        moved = moved.withColumn("timing_source", source(F.col("timing_source")))
+    if "words" in captions.columns:
+        names = captions.schema["words"].dataType.elementType.names
+        shifted = lambda w: w.withField("start", w["start"] + F.col("amount")).withField("end", w["end"] + F.col("amount"))
+        again = lambda w: shifted(w).withField("timing_source", source(w["timing_source"])) if "timing_source" in names else shifted(w)
+        moved = moved.withColumn("words", F.transform("words", again))
+    return moved.drop("amount")
 
 
 def merge_speech_regions(segments: DataFrame, pad: float = 0.08, join: float = 0.06) -> DataFrame:
-    """Speech regions from recogniser segments: without silent ones, padded, merged where they nearly touch."""
-    rows = segments.where("NOT (no_speech_prob > 0.5D AND avg_logprob < -0.25D) AND end > start")
+    """Speech regions from recogniser segments: without silent ones (missing scores count as 0), padded, merged where they nearly touch."""
+    rows = segments.where("NOT (coalesce(no_speech_prob, 0) > 0.5D AND coalesce(avg_logprob, 0) < -0.25D) AND end > start")
     rows = rows.withColumn("a", F.greatest(F.lit(0.0), F.col("start") - pad)).withColumn("b", F.col("end") + pad)
     w = by_project().orderBy("segment_idx")
     upto = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))

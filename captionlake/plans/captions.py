@@ -110,15 +110,15 @@ def w7(spark: SparkSession, d: str) -> DataFrame:
     return r6(sequences.cap_word_durations(rows), "start", "end").select("project_id", "word_idx", "start", "end")
 
 
-def glossary(spark: SparkSession, d: str, which: str = "true") -> DataFrame:
-    """Lists of terms: pairs of neighbouring words (those that meet ``which``) of each project, some twice."""
-    rows = table(spark, d, "words").where(which)
+def glossary(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of terms: pairs of neighbouring words of each project, some twice."""
+    rows = table(spark, d, "words")
     item = F.concat_ws(" ", F.col("text"), F.lead("text").over(sequences.by_project().orderBy("word_idx")))
     both = rows.select("project_id", F.floor(F.col("word_idx") / 4).alias("item_idx"), "word_idx", item.alias("item"))
     return both.groupBy("project_id", "item_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", "item"))), lambda x: x["item"]), ",").alias("text"))
 
 
-_TERMS = """g0 AS (SELECT project_id, word_idx // 4 AS item_idx, word_idx, text || coalesce(' ' || lead(text) OVER (PARTITION BY project_id ORDER BY word_idx), '') AS item FROM words WHERE word_idx < 40),
+_TERMS = """g0 AS (SELECT project_id, word_idx // 4 AS item_idx, word_idx, text || coalesce(' ' || lead(text) OVER (PARTITION BY project_id ORDER BY word_idx), '') AS item FROM words),
 g1 AS (SELECT project_id, item_idx, string_agg(item, ',' ORDER BY word_idx) AS text FROM g0 GROUP BY ALL),
 g2 AS (SELECT project_id, item_idx, unnest(string_split(text, ',')) AS raw, generate_subscripts(string_split(text, ','), 1) AS p FROM g1),
 g3 AS (SELECT project_id, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS term, item_idx, p FROM g2 WHERE trim(raw) <> ''),
@@ -127,7 +127,7 @@ g4 AS (SELECT project_id, term, min(item_idx * 1000 + p) AS first FROM g3 GROUP
 
 @query("w9_normalize_glossary", duck("words", f", {_TERMS} SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY first) - 1 AS term_idx, term FROM g4 QUALIFY term_idx < 200"))
 def w9(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.normalize_glossary(glossary(spark, d, "word_idx < 40"))  # as its SQL
+    return sequences.normalize_glossary(glossary(spark, d))
 
 
 @query("w8_apply_glossary")
@@ -186,17 +186,10 @@ def f4(spark: SparkSession, d: str) -> DataFrame:
 SELECT project_id, caption_idx, characters, round(characters / duration, 6) AS cps, characters / duration > 17 AS too_fast, characters > 64 AS overflow FROM z"""),
 )
 def c4(spark: SparkSession, d: str) -> DataFrame:
-    rows = caption_read_stats(five_captions(table(spark, d, "words")))
+    rows = quality.caption_read_stats(five_captions(table(spark, d, "words")))
     return r6(rows, "cps").select("project_id", "caption_idx", "characters", "cps", "too_fast", "overflow")
 
 
-def caption_read_stats(captions: DataFrame, cps: float = 17, lines: int = 2, line_chars: int = 32) -> DataFrame:
-    """characters (without spaces), cps, lines, too_fast and overflow of captions."""
-    size = text.grapheme_count(F.regexp_replace("text", r"\s", ""))
-    rows = captions.withColumn("characters", size).withColumn("cps", F.col("characters") / F.greatest(F.lit(0.001), F.col("end") - F.col("start"))).withColumn("lines", F.size(F.split("text", "\n")))
-    return rows.withColumn("too_fast", F.col("cps") > cps).withColumn("overflow", (F.col("lines") > lines) | (F.col("characters") > lines * line_chars))
-
-
 _SRT = r"""lpad(CAST(floor({0}/3600)::BIGINT % 24 AS VARCHAR),2,'0') || ':' || lpad(CAST(floor({0}/60)::BIGINT % 60 AS VARCHAR),2,'0') || ':' || lpad(CAST(floor({0})::BIGINT % 60 AS VARCHAR),2,'0') || ',' || lpad(CAST(floor({0}*1000)::BIGINT % 1000 AS VARCHAR),3,'0')"""
 
 
@@ -315,9 +308,23 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s10_load_projects")
 def s10(spark: SparkSession, d: str) -> DataFrame:
-    """Captions stored as JSON in project rows, parsed again and counted."""
+    """Captions stored as JSON in project rows, parsed again."""
     lists = five_captions(table(spark, d, "words")).groupBy("project_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("start", "end", "text")))).alias("captions_json"))
-    return files.load_projects(lists).select("project_id", F.size("captions").alias("caption_count"), F.size("style").alias("style_keys"))
+    rows = files.load_projects(lists).select("project_id", F.size("style").alias("style_keys"), F.posexplode("captions").alias("place", "c"))
+    return r6(rows.select("project_id", "style_keys", "place", "c.start", "c.end", "c.text"), "start", "end")
+
+
+@query("s11_ground_truth")
+def s11(spark: SparkSession, d: str) -> DataFrame:
+    """Both passes of each project stored as the JSON of a ground truth fixture, parsed again: the reference's words."""
+    words = table(spark, d, "words")
+    listed = words.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("word_idx", "text", "start", "end"))).alias("w"))
+    second = quality.project_text(table(spark, d, "candidate_words"), "second")
+    reference = F.struct(F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("text"), F.transform("w", lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"))).alias("words"))
+    text_of = F.to_json(F.struct(F.lit("en").alias("language"), reference.alias("reference"), F.struct(F.col("second").alias("text")).alias("candidate")))
+    fixtures = listed.join(second, "project_id").select(F.col("project_id").alias("file"), text_of.alias("text"))
+    rows = files.parse_ground_truth(fixtures).select("file", "language", F.length("candidate.text").alias("candidate_chars"), F.posexplode("reference.words").alias("word_idx", "w"))
+    return r6(rows.select("file", "language", "candidate_chars", F.col("word_idx").cast("long").alias("word_idx"), "w.text", "w.start", "w.end"), "start", "end")
 
 
 def _baseline(words: DataFrame) -> DataFrame:
@@ -328,22 +335,22 @@ def _baseline(words: DataFrame) -> DataFrame:
 def a1(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "words")
     both = quality.project_text(words, "a").join(quality.project_text(table(spark, d, "candidate_words"), "b"), "project_id")
-    return r6(both.select("project_id", quality.word_error_rate(quality.plain_tokens(F.col("a")), quality.plain_tokens(F.col("b"))).alias("wer")), "wer")
+    return r6(both.select("project_id", quality.word_error_rate(quality.metric_tokens(F.col("a"), "english"), quality.metric_tokens(F.col("b"), "english")).alias("wer")), "wer")
 
 
-_ASCII = "regexp_replace(lower(string_agg(regexp_replace({0}.text, '[^a-zA-Z0-9]', '', 'g'), '' ORDER BY {0}.word_idx)), '[^a-z0-9]', '', 'g')"
+_KEY = "regexp_replace(lower(string_agg({0}.text, '' ORDER BY {0}.word_idx)), '[\\p{{P}}\\p{{S}}\\s]+', '', 'g')"
 
 
 @query(
     "a2_char_error_rate",
-    duck("candidate_words", f""", a AS (SELECT project_id, word_idx // 20 AS part, {_ASCII.format("words")} AS t FROM words GROUP BY ALL), b AS (SELECT project_id, word_idx // 20 AS part, {_ASCII.format("candidate_words")} AS t FROM candidate_words GROUP BY ALL)
+    duck("candidate_words", f""", a AS (SELECT project_id, word_idx // 20 AS part, {_KEY.format("words")} AS t FROM words GROUP BY ALL), b AS (SELECT project_id, word_idx // 20 AS part, {_KEY.format("candidate_words")} AS t FROM candidate_words GROUP BY ALL)
 SELECT project_id, part, round(CASE WHEN length(a.t) > 0 THEN levenshtein(a.t, b.t) / length(a.t) ELSE CAST(length(b.t) > 0 AS INT) END, 6) AS cer FROM a JOIN b USING (project_id, part)"""),
 )
 def a2(spark: SparkSession, d: str) -> DataFrame:
-    """Passages of 20 words, in ASCII letters and digits."""
+    """Passages of 20 words."""
 
     def passages(name: str, tag: str) -> DataFrame:
-        rows = table(spark, d, name).withColumn("part", F.floor(F.col("word_idx") / 20)).withColumn("text", F.regexp_replace("text", "[^a-zA-Z0-9]", ""))
+        rows = table(spark, d, name).withColumn("part", F.floor(F.col("word_idx") / 20))
         ordered = F.transform(F.sort_array(F.collect_list(F.struct("word_idx", "text"))), lambda x: x["text"])
         return rows.groupBy("project_id", "part").agg(F.array_join(ordered, "").alias(tag))
 
@@ -365,7 +372,7 @@ def a3(spark: SparkSession, d: str) -> DataFrame:
 @query("a4_evaluate_fixtures")
 def a4(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "words")
-    out = quality.evaluate_fixtures(words, _baseline(words), table(spark, d, "candidate_words"), table(spark, d, "regions"))
+    out = quality.evaluate_fixtures(words, _baseline(words), table(spark, d, "candidate_words"), table(spark, d, "regions"), "english")
     return r6(out, "baseline_wer", "candidate_wer", "baseline_cer", "candidate_cer", "median_boundary_error")
 
 
@@ -453,15 +460,15 @@ def c5(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "words").select("project_id", "word_idx", text.srt_time(F.col("start")).alias("srt"), text.ass_time(F.col("start")).alias("ass"))
 
 
-@query("c10_parse_pronunciations", duck("words", """SELECT project_id, word_idx, text AS source, reverse(text) AS target FROM words WHERE word_idx < 50 AND trim(text) <> '' AND NOT regexp_matches(text, '[=→]')"""))
+@query("c10_parse_pronunciations", duck("words", """SELECT project_id, word_idx, text AS source, reverse(text) AS target FROM words WHERE trim(text) <> '' AND NOT regexp_matches(text, '[=→]') QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY word_idx) <= 100"""))
 def c10(spark: SparkSession, d: str) -> DataFrame:
     """Rules written as lines of text and read back."""
-    rules = _rules(spark, d, "word_idx < 50")  # as its SQL
+    rules = _rules(spark, d)
     return rules.select("project_id", F.posexplode("rules").alias("p", "r"), "places").select("project_id", F.get("places", F.col("p")).alias("word_idx"), "r.source", "r.target")
 
 
-def _rules(spark: SparkSession, d: str, which: str = "true") -> DataFrame:
-    rows = table(spark, d, "words").where(which).where("NOT text RLIKE '[=→]'")
+def _rules(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "words").where("NOT text RLIKE '[=→]'")
     line = F.concat("text", F.when(F.col("word_idx") % 2 == 0, " = ").otherwise(" => "), F.reverse("text"))
     lists = rows.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("word_idx", line.alias("line")))).alias("l"))
     lines = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
@@ -477,5 +484,7 @@ def c11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c15_emotion_category")
 def c15(spark: SparkSession, d: str) -> DataFrame:
-    names = F.array(*map(F.lit, ("ตลกมาก", "ตกใจ", "เข้ม", "โมโห", "เหงา", "ปกติ")))
-    return table(spark, d, "words").select("project_id", "word_idx", media.emotion_category(F.get(names, (F.col("word_idx") % 6).cast("int"))).alias("mood"))
+    """Every word with a mood's name before or after it."""
+    names = F.get(F.array(*map(F.lit, ("ตลกมาก", "ตกใจ", "เข้ม", "โมโห", "เหงา", "ปกติ"))), (F.col("word_idx") % 6).cast("int"))
+    said = F.when(F.col("word_idx") % 2 == 0, F.concat("text", names)).otherwise(F.concat(names, "text"))
+    return table(spark, d, "words").select("project_id", "word_idx", media.emotion_category(said).alias("mood"))

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from captionlake.functions.media import half_up
 from captionlake.functions.text import ass_color, ass_escape, ass_time, grapheme_count, srt_time, subtitle_seconds, word_segments
 
+# Lines of the ASS format that are the same in every document, and the shape of word animations: percent of size at the start and
+# at the turn (at full intensity), place of the turn, axes, and the fade of a whole line.
+ASS_HEAD = ["[Script Info]", "ScriptType: v4.00+"]
+ASS_STYLES = ["WrapStyle: 2", "ScaledBorderAndShadow: yes", "[V4+ Styles]"]
+ASS_STYLE_FORMAT = "Format: Name,Fontname,Fontsize,PrimaryColour,SecondaryColour,OutlineColour,BackColour,Bold,Italic,Underline,StrikeOut,ScaleX,ScaleY,Spacing,Angle,BorderStyle,Outline,Shadow,Alignment,MarginL,MarginR,MarginV,Encoding"
+ASS_EVENT_FORMAT = "Format: Layer,Start,End,Style,Name,MarginL,MarginR,MarginV,Effect,Text"
+DIALOGUE = ("Dialogue: 0,", ",Default,,0,0,0,,")
+RESET = "{\\fscx100\\fscy100\\alpha&H00&}"
+ANIMATIONS = {"pop": (35, 8, 0.62, ("x", "y"), "\\fad(40,70)"), "bounce": (30, 18, 0.5, ("y",), "\\fad(35,70)")}
+EFFECTS = ("sentence", "word", "progressive", "karaoke")
+FONT, COLOR, HIGHLIGHT = "Leelawadee UI", "FFFFFF", "B8FF38"
+
 # Fields of recogniser results, noise tags, style defaults.
 _WORDS = "array<struct<word:string,text:string,start:double,end:double,probability:double>>"
 _TOKENS = "array<struct<text:string,token:string,t0:double,t1:double,start:double,end:double,p:double,probability:double,offsets:struct<`from`:double,`to`:double>>>"
@@ -79,7 +91,7 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_subtitles(files: DataFrame, key: str = "path", text_col: str = "text") -> DataFrame:
     """Cues (key, cue_idx, start, end, text, error) of SRT and VTT texts; a bad time line is a row with an error, a text without cues
-    is one row with the error ``no cues``."""
+    is one row with the error ``no cues``, an empty text no row."""
     source = F.trim(F.regexp_replace(F.regexp_replace(F.col(text_col), f"^{BOM}", ""), "\r\n?", "\n"), F.lit(" \n\t\x0b\x0c\r"))
     blocks = F.split(F.regexp_replace(source, "(?i)^WEBVTT[^\n]*\n+", ""), "\n{2,}")
     rows = files.select(key, F.posexplode_outer(blocks).alias("block_idx", "block"))
@@ -94,7 +106,7 @@ def parse_subtitles(files: DataFrame, key: str = "path", text_col: str = "text")
     bad = F.col("start").isNull() | F.col("end").isNull() | (F.col("end") <= F.col("start"))
     rows = rows.withColumn("error", F.when(bad, "bad time")).where(bad | (F.col("text") != ""))
     cues = rows.withColumn("cue_idx", F.row_number().over(Window.partitionBy(key).orderBy("block_idx")) - 1).select(key, "cue_idx", "start", "end", "text", "error")
-    none = files.select(key).join(cues.select(key).distinct(), key, "left_anti")
+    none = files.where(source != "").select(key).join(cues.select(key).distinct(), key, "left_anti")
     return cues.unionByName(none.select(key, F.lit("no cues").alias("error")), allowMissingColumns=True)
 
 
@@ -159,6 +171,11 @@ def load_projects(projects: DataFrame) -> DataFrame:
     return projects
 
 
+def parse_ground_truth(fixtures: DataFrame, key: str = "file", text_col: str = "text") -> DataFrame:
+    """Fixtures (key and JSON text) as language, reference, baseline, candidate and speechRegions."""
+    return fixtures.select(key, F.from_json(text_col, FIXTURE_SCHEMA).alias("f")).select(key, "f.*")
+
+
 def load_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """Fixture files of a folder, with their names."""
     return spark.read.schema(FIXTURE_SCHEMA).json(path, multiLine=True).select(F.col("_metadata.file_name").alias("file"), "*")
@@ -185,79 +202,144 @@ def write_srt(captions: DataFrame, path: str) -> None:
     to_srt(captions).select("project_id", F.concat(F.lit(BOM), "srt").alias("value")).repartition("project_id").write.partitionBy("project_id").text(path)
 
 
-def _clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c.cast("double")))
-
-
-def _tag(style: dict, inline: bool) -> str:
-    """Animation code of a style; inline: for a word inside a line."""
-    kind = style.get("animation")
-    if kind not in ("pop", "bounce", "fade"):
-        return ""
-    asked = style.get("animationDuration")
-    length = int(max(80, min(1000, 220 if asked is None else asked)) + 0.5)
-    if kind == "fade":
-        fade = 180 if asked is None else length
-        return f"{{\\alpha&HFF&\\t(0,{fade},\\alpha&H00&)}}" if inline else f"{{\\fad({fade},{fade})}}"
-    power = max(20, min(180, style.get("animationIntensity", 100))) / 100
-    low, high, turn, axes, edge = (35, 8, 0.62, ("x", "y"), "\\fad(40,70)") if kind == "pop" else (30, 18, 0.5, ("y",), "\\fad(35,70)")
-    scale = lambda v: "".join(f"\\fsc{a}{v}" for a in axes)
-    low, high, turn = int(100 - low * power + 0.5), int(100 + high * power + 0.5), int(length * turn + 0.5)
-    return "{" + ("" if inline else edge) + f"{scale(low)}\\t(0,{turn},{scale(high)})\\t({turn},{length},{scale(100)})" + "}"
+class Style:
+    """Settings of a caption style as columns: of one dict for all projects, or of a map column ``style`` (text to text) of each row.
 
+    Missing settings have defaults; numbers are kept in their limits, and text that is no number counts as 0, as do settings that are not
+    among the choices count as the default.
+    """
 
-def to_ass_events(words: DataFrame, captions: DataFrame, style: dict) -> DataFrame:
+    def __init__(self, fixed: dict | None = None):
+        self.fixed = fixed
+
+    def text(self, key: str, default: str = "") -> Column:
+        if self.fixed is not None:
+            value = self.fixed.get(key)
+            return F.lit(str(value) if value or value == 0 else default)
+        return F.coalesce(F.nullif(F.element_at("style", key), F.lit("")), F.lit(default))
+
+    def missing(self, key: str) -> Column:
+        return F.lit(self.fixed.get(key) is None) if self.fixed is not None else F.element_at("style", key).isNull()
+
+    def number(self, key: str, default: float, low: float, high: float) -> Column:
+        if self.fixed is not None:
+            value = F.lit(float(default if self.fixed.get(key) is None else self.fixed[key]))
+        else:
+            value = F.when(self.missing(key), F.lit(float(default))).otherwise(F.coalesce(F.element_at("style", key).try_cast("double"), F.lit(0.0)))
+        return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
+
+    def on(self, key: str) -> Column:
+        """True, or text that isn't empty, 0 or false."""
+        return ~F.lower(self.text(key)).isin("", "false", "0", "none")
+
+    def off(self, key: str) -> Column:
+        """Set to false."""
+        return ~self.missing(key) & F.lower(self._raw(key)).isin("false")
+
+    def _raw(self, key: str) -> Column:
+        return F.lit(str(self.fixed.get(key))) if self.fixed is not None else F.coalesce(F.element_at("style", key), F.lit(""))
+
+    def color(self, key: str, default: str = COLOR) -> Column:
+        return ass_color(self.text(key, default))
+
+    def effect(self) -> Column:
+        name = self.text("effect", EFFECTS[0])
+        return F.when(name.isin(*EFFECTS), name).otherwise(EFFECTS[0])
+
+    def animation(self, inline: bool) -> Column:
+        """Animation code; inline: for a word inside a line."""
+        whole = lambda c: half_up(c).cast("string")
+        length = half_up(self.number("animationDuration", 220, 80, 1000))
+        power = self.number("animationIntensity", 100, 20, 180) / 100
+        fade = F.when(self.missing("animationDuration"), 180).otherwise(length).cast("string")
+        kind, out = self.text("animation"), F.lit("")
+        code = F.concat(F.lit("{\\alpha&HFF&\\t(0,"), fade, F.lit(",\\alpha&H00&)}")) if inline else F.concat(F.lit("{\\fad("), fade, F.lit(","), fade, F.lit(")}"))
+        out = F.when(kind == "fade", code)
+        for name, (less, more, turn, axes, edge) in ANIMATIONS.items():
+            scale = lambda v, axes=axes: F.concat(*[x for a in axes for x in (F.lit(f"\\fsc{a}"), v)])
+            middle = whole(length * turn)
+            steps = [
+                F.lit("{" + ("" if inline else edge)), scale(whole(100 - less * power)), F.lit("\\t(0,"), middle, F.lit(","), scale(whole(100 + more * power)), F.lit(")\\t("),
+                middle, F.lit(","), length.cast("string"), F.lit(","), scale(F.lit("100")), F.lit(")}"),
+            ]
+            out = out.when(kind == name, F.concat(*steps))
+        return out.otherwise("")
+
+
+def _styled(rows: DataFrame, style: dict | DataFrame) -> tuple[DataFrame, Style]:
+    """rows with the settings at hand: a dict for all, or a table (project_id, style) for each project."""
+    if isinstance(style, dict):
+        return rows, Style(style)
+    return rows.join(style.select("project_id", F.coalesce("style", F.create_map().cast("map<string,string>")).alias("style")), "project_id", "left").withColumn("style", F.coalesce("style", F.create_map().cast("map<string,string>"))), Style()
+
+
+def to_ass_events(words: DataFrame, captions: DataFrame, style: dict | DataFrame) -> DataFrame:
     """Dialogue lines (project_id, caption_idx, line_idx, line) of captions in a style's effect.
 
-    words: (project_id, caption_idx, word_pos, text, start, end, space_before).
+    words: (project_id, caption_idx, word_pos, text, start, end, space_before); a caption without words is one word. style: one dict for
+    all, or (project_id, style map<string,string>), as load_projects gives it.
     """
-    effect, tag = style.get("effect") or "sentence", _tag(style, False)
-    head = lambda a, b: F.concat(F.lit("Dialogue: 0,"), ass_time(a), F.lit(","), ass_time(b), F.lit(",Default,,0,0,0,,"))
-    bright, base = ass_color(F.lit(style.get("highlightColor") or "B8FF38")), ass_color(F.lit(style.get("color") or "FFFFFF"))
-    gap = F.when((F.col("word_pos") > 0) & F.coalesce("space_before", F.lit(True)), " ").otherwise("")
     key = ["project_id", "caption_idx"]
-    if effect == "karaoke":
+    names = [*key, "word_pos", "text", "start", "end", "space_before"]
+    bare = captions.join(words.select(*key).distinct(), key, "left_anti").withColumns({"word_pos": F.lit(0), "space_before": F.lit(True)})
+    words = words.select(*names).unionByName(bare.select(*names))
+    words, look = _styled(words, style)
+    captions, _ = _styled(captions, style)
+    head = lambda a, b: F.concat(F.lit(DIALOGUE[0]), ass_time(a), F.lit(","), ass_time(b), F.lit(DIALOGUE[1]))
+    bright = look.color("highlightColor", HIGHLIGHT)
+    gap = F.when((F.col("word_pos") > 0) & F.coalesce("space_before", F.lit(True)), " ").otherwise("")
+
+    def karaoke() -> DataFrame:
         piece = F.concat(gap, F.lit("{\\kf"), F.greatest(F.lit(1), half_up((F.col("end") - F.col("start")) * 100)).cast("string"), F.lit("}"), ass_escape(F.col("text")))
-        body = words.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("word_pos", piece.alias("x")))).alias("b"))
+        body = words.where(look.effect() == "karaoke").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("word_pos", piece.alias("x")))).alias("b"))
         rows = captions.join(body, key)
         return rows.select(*key, F.lit(0).alias("line_idx"), F.concat(head(F.col("start"), F.col("end")), F.array_join(F.transform("b", lambda b: b["x"]), "")).alias("line"))
-    if effect == "word":
-        return words.select(*key, F.col("word_pos").alias("line_idx"), F.concat(head(F.col("start"), F.col("end")), F.lit(tag + "{\\c"), bright, F.lit("}"), ass_escape(F.col("text"))).alias("line"))
-    if effect == "progressive":
+
+    def word() -> DataFrame:
+        line = F.concat(head(F.col("start"), F.col("end")), look.animation(False), F.lit("{\\c"), bright, F.lit("}"), ass_escape(F.col("text")))
+        return words.where(look.effect() == "word").select(*key, F.col("word_pos").alias("line_idx"), line.alias("line"))
+
+    def progressive() -> DataFrame:
         w = Window.partitionBy(*key).orderBy("word_pos")
-        rows = words.join(captions.select(*key, F.col("end").alias("caption_end")), key)
+        rows = words.where(look.effect() == "progressive").join(captions.select(*key, F.col("end").alias("caption_end")), key)
         rows = rows.withColumn("x", F.concat(gap, ass_escape(F.col("text")))).withColumn("gap", gap)
         rows = rows.withColumn("prior", F.array_join(F.collect_list("x").over(w.rowsBetween(Window.unboundedPreceding, -1)), "")).withColumn("next", F.lead("start").over(w))
         end = F.when(F.col("next") > F.col("start"), F.col("next")).otherwise(F.greatest("end", "caption_end"))
-        active = F.concat(F.lit("{\\c"), bright, F.lit("}" + _tag(style, True)), ass_escape(F.col("text")), F.lit("{\\fscx100\\fscy100\\alpha&H00&}{\\c"), base, F.lit("}"))
+        active = F.concat(F.lit("{\\c"), bright, F.lit("}"), look.animation(True), ass_escape(F.col("text")), F.lit(RESET + "{\\c"), look.color("color"), F.lit("}"))
         return rows.select(*key, F.col("word_pos").alias("line_idx"), F.concat(head(F.col("start"), end), "prior", "gap", active).alias("line"))
-    return captions.select(*key, F.lit(0).alias("line_idx"), F.concat(head(F.col("start"), F.col("end")), F.lit(tag), ass_escape(F.col("text"))).alias("line"))
-
-
-def to_ass_document(projects: DataFrame, events: DataFrame, style: dict) -> DataFrame:
-    """One ASS document for each project (project_id, width, height) from its events."""
-    get = lambda k, d, low, high: max(low, min(high, style.get(k, d)))
-    whole = lambda v: str(int(v)) if float(v).is_integer() else str(v)
-    size = half_up(F.col("height") * get("fontSizePct", 6, 1.5, 18) / 100).cast("string")
-    bottom = half_up(F.col("height") * get("bottomPct", 12, 1, 60) / 100).cast("string")
-    side = half_up(F.col("width") * max(get("safeAreaPct", 5, 0, 15), (100 - get("maxWidthPct", 90, 30, 96)) / 2) / 100).cast("string")
-    color = lambda k, d=None: ass_color(F.lit(style.get(k) or d or "FFFFFF"))
-    import regex
-
-    font = regex.sub(r"[^\p{L}\p{N} ._-]", "", style.get("font") or "Leelawadee UI")[:80] or "Leelawadee UI"
-    align = style.get("align") if style.get("align") in (1, 2, 3) else 2
-    fixed = [whole(get("scaleX", 100, 60, 160)), "100", whole(get("spacing", 0, -3, 20)), whole(get("angle", 0, -30, 30)), "3" if style.get("backgroundEnabled") else "1"]
-    fixed += [whole(get("outline", 4, 0, 16)), whole(get("shadow", 2, 0, 12)), str(align)]
-    flags = f"{0 if style.get('bold') is False else -1},{-1 if style.get('italic') else 0},0,0"
+
+    def sentence() -> DataFrame:
+        line = F.concat(head(F.col("start"), F.col("end")), look.animation(False), ass_escape(F.col("text")))
+        return captions.where(look.effect() == "sentence").select(*key, F.lit(0).alias("line_idx"), line.alias("line"))
+
+    made = {"karaoke": karaoke, "word": word, "progressive": progressive, "sentence": sentence}
+    if isinstance(style, dict):
+        return made.get(style.get("effect") or "sentence", sentence)()
+    first, *others = [f() for f in made.values()]
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
+def to_ass_document(projects: DataFrame, events: DataFrame, style: dict | DataFrame) -> DataFrame:
+    """One ASS document for each project (project_id, width, height) from its events, in one style or each project's own."""
+    projects, look = _styled(projects, style)
+    plain = lambda c: F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
+    part = lambda of, percent: half_up(F.col(of) * percent / 100).cast("string")
+    side = part("width", F.greatest(look.number("safeAreaPct", 5, 0, 15), (100 - look.number("maxWidthPct", 90, 30, 96)) / 2))
+    font = F.substring(F.regexp_replace(look.text("font", FONT), r"[^\p{L}\p{N} ._-]", ""), 1, 80)
+    align = look.text("align", "2")
+    numbers = [plain(look.number("scaleX", 100, 60, 160)), F.lit("100"), plain(look.number("spacing", 0, -3, 20)), plain(look.number("angle", 0, -30, 30)), F.when(look.on("backgroundEnabled"), "3").otherwise("1")]
+    numbers += [plain(look.number("outline", 4, 0, 16)), plain(look.number("shadow", 2, 0, 12)), F.when(align.isin("1", "2", "3"), align).otherwise("2")]
     style_line = F.concat_ws(
-        ",", F.lit("Style: Default"), F.lit(font), size, color("color"), color("highlightColor"), color("outlineColor", "000000"), F.replace(color("backgroundColor", "000000"), F.lit("&H00"), F.lit("&H70")),
-        F.lit(flags), F.lit(",".join(fixed)), side, side, bottom, F.lit("1"),
+        ",", F.lit("Style: Default"), F.coalesce(F.nullif(font, F.lit("")), F.lit(FONT)), part("height", look.number("fontSizePct", 6, 1.5, 18)),
+        look.color("color"), look.color("highlightColor"), look.color("outlineColor", "000000"), F.replace(look.color("backgroundColor", "000000"), F.lit("&H00"), F.lit("&H70")),
+        F.when(look.off("bold"), "0").otherwise("-1"), F.when(look.on("italic"), "-1").otherwise("0"), F.lit("0,0"), *numbers, side, side, part("height", look.number("bottomPct", 12, 1, 60)), F.lit("1"),
     )
     lines = events.groupBy("project_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("caption_idx", "line_idx", "line"))), lambda x: x["line"]).alias("lines"))
-    names = "Format: Name,Fontname,Fontsize,PrimaryColour,SecondaryColour,OutlineColour,BackColour,Bold,Italic,Underline,StrikeOut,ScaleX,ScaleY,Spacing,Angle,BorderStyle,Outline,Shadow,Alignment,MarginL,MarginR,MarginV,Encoding"
+    size = [F.concat(F.lit(f"PlayRes{axis}: "), F.col(of).cast("string")) for axis, of in (("X", "width"), ("Y", "height"))]
     document = F.concat_ws(
-        "\n", F.lit("[Script Info]"), F.lit("ScriptType: v4.00+"), F.concat(F.lit("PlayResX: "), F.col("width").cast("string")), F.concat(F.lit("PlayResY: "), F.col("height").cast("string")),
-        F.lit("WrapStyle: 2"), F.lit("ScaledBorderAndShadow: yes"), F.lit("[V4+ Styles]"), F.lit(names), style_line, F.lit("[Events]"),
-        F.lit("Format: Layer,Start,End,Style,Name,MarginL,MarginR,MarginV,Effect,Text"), F.array_join(F.coalesce("lines", F.array().cast("array<string>")), "\n"),
+        "\n", *map(F.lit, ASS_HEAD), *size, *map(F.lit, ASS_STYLES), F.lit(ASS_STYLE_FORMAT), style_line, F.lit("[Events]"), F.lit(ASS_EVENT_FORMAT),
+        F.array_join(F.coalesce("lines", F.array().cast("array<string>")), "\n"),
     )
     return projects.join(lines, "project_id", "left").select("project_id", document.alias("ass"))
