@@ -256,28 +256,31 @@ def cutting_patterns(demand: np.ndarray, units: int, rounds: int = 4000) -> list
     return found
 
 
-def _ranked(pieces: DataFrame, total: int) -> DataFrame:
-    """Number the pieces of every class from 0: inside cells of a hash, plus the counts of the cells before."""
+def _ranked(rows: DataFrame, total: int) -> DataFrame:
+    """Number the pieces (row, cls) of every class from 0: inside cells of a hash, plus the counts of the cells before."""
     cells = max(1, -(-total // ROWS_PER_CELL))
-    rows = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "start"), F.lit(cells)))
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("row.doc_id", "row.start"), F.lit(cells)))
     counts = rows.groupBy("cls", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("cls").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("cls", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("cls", "cell").orderBy("doc_id", "start", "ids_crc32")
+    inside = Window.partitionBy("cls", "cell").orderBy("row.doc_id", "row.start", "row.ids_crc32")
     rows = rows.withColumn("rank", F.row_number().over(inside) - 1).join(counts, ["cls", "cell"])
-    return rows.withColumn("rank", F.col("rank") + F.col("before")).drop("cell", "before")
+    return rows.select("row", "cls", (F.col("rank") + F.col("before")).alias("rank"))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
     """Add sequence_id and offset (gapless from 0 inside a sequence) to pieces of at most ``capacity`` ids.
 
-    Cases: equal pieces and repeated ids are packed one by one; an empty table gives no rows.
+    pieces: doc_id, start, length, ids_crc32 and any other columns, as token_pieces() gives them. Cases: equal pieces and repeated ids are
+    packed one by one, ties in no particular order; a very long text is many full pieces; an empty table gives no rows; other columns
+    stay, whatever their names, but columns named sequence_id or offset are replaced.
     """
     spark = pieces.sparkSession
-    pieces = materialize(pieces.withColumn("cls", F.expr(f"(length + {grain - 1}) div {grain}")))
+    pieces = pieces.drop("sequence_id", "offset")
+    rows = materialize(pieces.select(F.struct(*pieces.columns).alias("row"), F.expr(f"(length + {grain - 1}) div {grain}").alias("cls")))
     units = capacity // grain
     demand = np.zeros(units, np.int64)
-    for r in pieces.groupBy("cls").agg(F.count("*").alias("n")).collect():  # one row for each of ``units`` classes
+    for r in rows.groupBy("cls").agg(F.count("*").alias("n")).collect():  # one row for each of ``units`` classes
         demand[r["cls"] - 1] = r["n"]
     places, sequence, upto = [], 0, np.zeros(units, np.int64)
     for counts, times in cutting_patterns(demand, units):
@@ -290,14 +293,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Dat
         sequence += times
     table = spark.createDataFrame(places, "cls long, lo long, hi long, each long, base long, slot long")
     # the places table has one row for each class of each pattern: its size depends on the number of classes only
-    ranked = _ranked(pieces, int(demand.sum())).alias("p")
+    ranked = _ranked(rows, int(demand.sum())).alias("p")
     dealt = ranked.join(F.broadcast(table).alias("t"), F.expr("p.cls = t.cls AND p.rank >= t.lo AND p.rank < t.hi"))
-    dealt = dealt.select(
-        *[F.col(f"p.{c}") for c in pieces.columns if c != "cls"],
-        F.expr("t.base + (p.rank - t.lo) div t.each").alias("sequence_id"), F.expr("t.slot + (p.rank - t.lo) % t.each").alias("slot"),
-    )
+    dealt = dealt.select("row", F.expr("t.base + (p.rank - t.lo) div t.each").alias("sequence_id"), F.expr("t.slot + (p.rank - t.lo) % t.each").alias("slot"))
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("slot")
+    placed = dealt.withColumn("offset", F.coalesce(F.sum("row.length").over(before), F.lit(0)))
+    return placed.select("row.*", "sequence_id", "offset")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
