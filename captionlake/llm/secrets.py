@@ -36,6 +36,8 @@ THRESHOLD = 1.0
 #: Weight, in counts, of single characters in a transition's probability.
 BACKING = 8.0
 _MARK, _OTHER = "\x01", "\x02"
+#: Pieces of a marked text that are summed up together: an even number, so that each block starts with text.
+BLOCK = 256
 #: Result columns of a scan.
 RESULTS = ("n_assign", "n_access", "n_hex", "found", "base_found")
 
@@ -43,7 +45,7 @@ RESULTS = ("n_assign", "n_access", "n_hex", "found", "base_found")
 def _spans(text: Column, pattern: str, quick: str) -> Column:
     """All leftmost, non-overlapping matches of pattern as array<struct<start, end, match>>; quick must be in a text with any."""
     marked = F.split(F.regexp_replace(F.translate(text, _MARK, _OTHER), f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK, -1)
-    # pieces alternate: text, match, text, match, ..., text
+    # pieces alternate: text, match, text, match, ..., text; blocks of them are summed up first, so that no array grows piece by piece over a long text
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), none.alias("found"))
 
@@ -52,7 +54,18 @@ def _spans(text: Column, pattern: str, quick: str) -> Column:
         found = F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("match"))
         return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"], F.concat(acc["found"], F.array(found))).otherwise(acc["found"]).alias("found"))
 
-    return F.when(text.rlike(quick), F.aggregate(marked, start, step, lambda acc: acc["found"])).otherwise(none)
+    def placed(pieces: Column) -> Column:
+        first = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int"))
+        blocks = F.transform(first, lambda b: F.aggregate(F.slice(pieces, b * BLOCK + 1, BLOCK), start, step))
+        shift = F.struct(F.lit(0).alias("at"), none.alias("found"))
+
+        def add(acc: Column, block: Column) -> Column:
+            moved = F.transform(block["found"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["match"].alias("match")))
+            return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["found"], moved).alias("found"))
+
+        return F.aggregate(blocks, shift, add, lambda acc: acc["found"])
+
+    return F.when(text.rlike(quick), placed(marked)).otherwise(none)
 
 
 def _base(text: Column) -> dict[str, Column]:
@@ -150,7 +163,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumns(dict(zip(kinds, base.values(), strict=True)) | {tokens: _spans(F.col(t), f"[A-Za-z0-9+/_=-]{{{TOKEN_CHARS},}}", f"[A-Za-z0-9+/_=-]{{{TOKEN_CHARS}}}")})
     as_kind = lambda spans, rank: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))
     rows = rows.withColumn(base_found, F.array_sort(F.concat(*[as_kind(F.col(k), i) for i, k in enumerate(kinds)])))
-    fresh = F.filter(F.col(tokens), lambda x: ~F.exists(F.col(base_found), lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])) & (_ratio(x["match"], ratios) > THRESHOLD))
+    # the ratio comes first: few tokens are left to be held against the base spans
+    fresh = F.filter(F.col(tokens), lambda x: (_ratio(x["match"], ratios) > THRESHOLD) & ~F.exists(F.col(base_found), lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
     rows = rows.withColumn(found, F.array_sort(F.concat(F.col(base_found), as_kind(fresh, 3))))
     counts = {name: F.size(k).cast("long") for name, k in zip((n_assign, n_access, n_hex), kinds, strict=True)}
     return rows.withColumns(counts).select(*docs.columns, *names)
