@@ -9,6 +9,7 @@ from captionlake.llm.packing import op2_packing
 from captionlake.llm.quality_rules import op8_quality_rules
 from captionlake.llm.secrets import op9_secret_scans
 from captionlake.llm.sharding import op5_sharding
+from captionlake.llm.sql import ORACLES as ORACLES
 from captionlake.llm.substrings import op1_substring_dedup
 
 QUERIES = {
@@ -23,4 +24,4 @@ QUERIES = {
     "op9_secret_scans": op9_secret_scans,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLES: dict[str, str] = {}
+

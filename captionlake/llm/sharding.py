@@ -33,9 +33,9 @@ def stratified_shards(
     run holds every source in proportion. Ranks are counts over cells of a hash or of the fraction, both even
     by construction, so a source or a group of copies with a third of all rows spreads over many tasks.
 
-    Cases: a null source is a stratum of its own; a null text has size 1 and the checksum of no bytes; repeated
-    rows and ids are dealt one by one (ties are put in order by id, checksum, size); an empty table gives no rows;
-    other columns are ignored.
+    Cases: a null source is a stratum of its own; a null text has size 1 and the checksum of no bytes; a very long text is one row
+    like others; repeated rows and ids are dealt one by one (ties are put in order by id, checksum, size); an empty table gives no
+    rows; other columns are ignored, whatever their names.
 
     Returns id, size, text_crc32, law, shard, slot, grown_shard (null: the law is not ``key``).
     """
@@ -47,7 +47,9 @@ def stratified_shards(
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     per_source = rows.groupBy("_source").agg(F.count("*").alias("_rows"))
-    rows = rows.withColumn("_u", F.xxhash64(F.lit(seed), "_id", "text_crc32"))
+    # 60 bits of a digest that other engines have too
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("_id").cast("string"), F.col("text_crc32").cast("string")))
+    rows = rows.withColumn("_u", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
     ties = ["_id", "text_crc32", "size"]
     total = docs.count()
     cells = max(shards, -(-total // ROWS_PER_CELL))
