@@ -122,6 +122,40 @@ def test_packing(spark):
     assert pack(token_pieces(empty(spark))).count() == 0
 
 
+def test_rank_file_gives_the_tokenizers_ids():
+    """Words that tiktoken merges have the ids that the tokenizers library gives: every entry of the vocabulary, alone and glued, and all Latin characters."""
+    from tokenizers import Tokenizer
+
+    from captionlake.llm.packing import _PLAIN, WordEncoder, ranks_path, vocabulary_path
+
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+    entries = [tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size())]
+    rng = random.Random(5)
+    latin = [chr(c) for c in range(0x20, 0x250)]
+    texts = entries + latin + [f"a{c}b" for c in latin]
+    texts += [rng.choice(entries).strip() + rng.choice(entries).strip() for _ in range(60_000)]
+    texts += ["".join(rng.choice("aeinorst'.,-") for _ in range(rng.randint(1, 40))) for _ in range(20_000)]
+    texts = [t for t in dict.fromkeys(texts) if _PLAIN.fullmatch(t)]
+    assert len(texts) > 100_000
+    encoder = WordEncoder(vocabulary_path(), ranks_path())
+    for lo in range(0, len(texts), 20_000):
+        part = texts[lo : lo + 20_000]
+        want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert encoder.encode(part) == want
+
+
+def test_packing_keeps_other_columns(spark):
+    from pyspark.sql import functions as F
+
+    from captionlake.llm.packing import pack, token_pieces
+
+    names = ["cls", "cell", "rank", "slot", "lo", "n", "row", "sequence_id"]
+    pieces = token_pieces(docs(spark)).withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    got = pack(pieces)
+    assert got.columns == [c for c in pieces.columns if c != "sequence_id"] + ["sequence_id", "offset"]
+    assert {tuple(r[n] for n in names[:-1]) for r in got.collect()} == {tuple(range(7))} and got.count() == pieces.count()
+
+
 def test_cutting_patterns_cover_demand():
     from captionlake.llm.packing import cutting_patterns
 
@@ -418,6 +452,80 @@ def test_quality_rules(spark):
     assert quality_rules(empty(spark)).count() == 0
 
 
+def brute_mcd(x, rng):
+    """Squared distances to the reweighted estimate of least determinant, by many starts that all run to their end."""
+    from captionlake.llm import quality_rules as q
+
+    floor = np.diag(np.square(list(q.FLOOR.values())))
+    keep, d = int(np.ceil(q.CORE * len(x))), x.shape[1]
+    away = lambda m, c: np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)
+    fit = lambda part, k: (part.mean(axis=0), k * np.cov(part.T, bias=True) + floor)
+    best = (np.inf, None)
+    for _ in range(60):
+        part, before = x[rng.permutation(len(x))[: d + 1]], None
+        for _ in range(100):
+            mean, cov = fit(part, q.consistency(q.CORE, d))
+            size = np.linalg.slogdet(cov)[1]
+            if before is not None and abs(size - before) < 1e-12:
+                break
+            before, part = size, x[np.argsort(away(mean, cov), kind="stable")[:keep]]
+        best = min(best, (size, (mean, cov)), key=lambda t: t[0])
+    mean, cov = fit(x[away(*best[1]) <= q.chi_square_quantile(q.REWEIGHTED, d)], q.consistency(q.REWEIGHTED, d))
+    return away(mean, cov)
+
+
+def test_minimum_covariance_determinant(spark):
+    """Three groups, one with a cluster of outliers that would mask itself, and a small one that its language judges."""
+    from captionlake.llm import quality_rules as q
+
+    rng = np.random.default_rng(5)
+    rows = []
+
+    def add(lang, source, n, length, symbols, odd=0):
+        for i in range(n):
+            words = int(np.exp(rng.normal(length, 0.5))) + 50
+            chars = int(words * np.exp(rng.normal(1.6, 0.05)))
+            many = int(chars * rng.uniform(0.2, 0.3)) if i < odd else int(rng.poisson(chars * symbols))
+            rows.append((len(rows), lang, source, words, chars, many, int(rng.poisson(0.3)), int(rng.poisson(words * 0.02)), False))
+
+    add("en", "web", 400, 5.5, 0.002, 90)
+    add("en", "books", 300, 7.0, 0.0)
+    add("de", "web", 200, 5.0, 0.01)
+    add("en", "tiny", 30, 5.5, 0.002, 8)
+    add("xx", "tiny", 20, 5.5, 0.002)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean")
+    got = {r.doc_id: r for r in q.robust_outliers(table).collect()}
+    assert len(got) == len(rows)
+    x = np.array([[np.log1p(w), np.log(c / w), np.sqrt(s / c), np.sqrt(u / w), np.sqrt(p / w)] for _, _, _, w, c, s, u, p, _ in rows])
+    cut = q.chi_square_quantile(1 - q.REJECTED, 5)
+    lang, source = (np.array([r[i] for r in rows]) for i in (1, 2))
+    judged = {("en", "web"): (source == "web") & (lang == "en"), ("en", "books"): source == "books", ("de", "web"): lang == "de", ("en", "tiny"): lang == "en", ("xx", "tiny"): lang != "none"}
+    for (l, s), of in judged.items():
+        away = dict(zip(np.flatnonzero(of), brute_mcd(x[of], rng), strict=True))
+        for i in np.flatnonzero((lang == l) & (source == s)):
+            assert got[i].distance == pytest.approx(away[i], rel=0.1, abs=0.3)
+            if abs(away[i] / cut - 1) > 0.1:
+                assert got[i].kept_by_fit == (away[i] <= cut)
+    assert not any(got[i].kept_by_fit for i in range(90)) and not any(got[900 + i].kept_by_fit for i in range(8))
+    assert sum(r.kept_by_fit for r in got.values()) >= len(rows) - 98 - 2
+
+
+def test_chi_square():
+    from captionlake.llm.quality_rules import chi_square, chi_square_quantile
+
+    for part, d, value in [(0.95, 5, 11.0705), (0.975, 5, 12.8325), (0.5, 1, 0.454936), (0.999, 7, 24.3219)]:
+        assert chi_square_quantile(part, d) == pytest.approx(value, abs=1e-3) and chi_square(value, d) == pytest.approx(part, abs=1e-5)
+
+
+def test_few_rows_have_no_outliers(spark):
+    from captionlake.llm.quality_rules import quality_rules
+
+    text = " ".join(f"word{i}" for i in range(60))
+    got = quality_rules(docs(spark, [(i, text if i else text.replace("w", "#"), "en", "s", 0, 0, "", "", "", 0) for i in range(5)])).collect()
+    assert [(r.kept, r.distance) for r in got] == [(True, None)] * 5
+
+
 # --- 9 -------------------------------------------------------------------------------------------------------------
 
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -432,6 +540,8 @@ def brute_secrets(t):
 
 
 def test_secret_scans(spark):
+    from pyspark.sql import functions as F
+
     from captionlake.llm import secrets
 
     rng = random.Random(5)
@@ -439,6 +549,7 @@ def test_secret_scans(spark):
     planted = [mixed(40) for _ in range(5)]
     data = rows() + [
         (7000, "é api_key: 'abc.def-ghi=' and PASSWORD = short token=secret=abcdefgh1234 token: secret: abcdefghij", None, None, 0, 0, "", "", "", 0),
+        (7002, "é token=abcdefgh1 " * 700, None, None, 0, 0, "", "", "", 0),
         (7001, "deadbeef" * 4 + "z" + "deadbeef" * 5 + " AKIAAKIAAKIA12 AKIAABCDEFGHIJKL", None, None, 0, 0, "", "", "", 0),
         *[(7100 + i, f"my key {p} is here, thisisanordinarylongidentifier_name stays", None, None, 0, 0, "", "", "", 0) for i, p in enumerate(planted)],
         *[(7200 + i, f"token={mixed(30)} the identifier_of_something and another_ordinary_identifier remain", None, None, 0, 0, "", "", "", 0) for i in range(20)],
@@ -452,8 +563,11 @@ def test_secret_scans(spark):
         assert [s for s in found[r[0]].found if s.rank != 3] == found[r[0]].base_found
         assert all(s.end <= w[0] or w[2] <= s.start for s in extra for w in want)
     for i, p in enumerate(planted):
-        text = data[len(rows()) + 2 + i][1]
+        text = data[len(rows()) + 3 + i][1]
         assert [(text[s.start : s.end]) for s in found[7100 + i].found] == [p]
+    clash = docs(spark, data).select("doc_id", "text", *[F.lit(i).alias(n) for i, n in enumerate(("found", "n_hex", "_t", "_tokens", "BASE_FOUND", "_hex"))])
+    kept = secrets.redact_secrets(clash)
+    assert kept.columns == clash.columns and {tuple(r)[2:] for r in kept.collect()} == {tuple(range(6))}
     clean = {r.doc_id: r.text for r in secrets.redact_secrets(docs(spark, data)).collect()}
     assert clean[7100] == "my key [SECRET] is here, thisisanordinarylongidentifier_name stays"
     assert clean[7001].startswith("[SECRET]z[SECRET] AKIAAKIAAKIA12 [SECRET]")
@@ -461,6 +575,18 @@ def test_secret_scans(spark):
     assert secrets.scan_secrets(empty(spark)).count() == 0
 
 
+def test_secret_rates_on_held_out_tokens(spark):
+    """Values of base spans are found, ordinary tokens with digits or without are not, in documents that trained nothing."""
+    from captionlake.llm.secrets import held_out_rates
+
+    rng = random.Random(7)
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    words = ["river", "stone", "house", "market", "winter", "garden", "letter", "people", "number", "system", "window", "summer"]
+    data = [(i, f"token = {mixed(32)} and the {rng.choice(words)}_{rng.choice(words)}_{rng.choice(words)}_{rng.choice(words)} of {rng.choice(words)}{i} at {rng.choice(words)}", None, None, 0, 0, "", "", "", 0) for i in range(300)]
+    got = {r.random: (r.tokens, r.found) for r in held_out_rates(docs(spark, data)).collect()}
+    assert got[1][0] > 40 and got[1][1] >= 0.95 * got[1][0] and got[0][0] > 30 and got[0][1] <= 0.05 * got[0][0]
+
+
 # --- 10 ------------------------------------------------------------------------------------------------------------
 
 
@@ -542,6 +668,7 @@ def test_jaccard_join_passages(spark, monkeypatch, replicas, percent, seed):
 
     monkeypatch.setattr(jaccard, "FIRST_PIVOTS", 3)
     monkeypatch.setattr(jaccard, "MOST_PIVOTS", 9)
+    monkeypatch.setattr(jaccard, "CELL_PIVOTS", 2)
     monkeypatch.setattr(jaccard, "REPLICAS", replicas)
     rng = random.Random(seed)
     sets = {}

@@ -61,3 +61,39 @@ def test_run(spark, tmp_path):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     want = sorted(tuple(r) for r in docs.select(names).collect())
     assert sorted(tuple(r) for r in p.run(spark, path).select(names).collect()) == want and len(want) > 170
+
+
+CLASH = ["found", "n_hex", "score", "_score", "cuts", "later_id", "n_lines", "component_id", "place", "fold", "node"]
+
+
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in every column, and columns of any name: each stage gives its columns and loses no clean row."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as p
+
+    path, _ = corpus(tmp_path, spark)
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({n: F.lit(i) for i, n in enumerate(CLASH)})
+    odd = docs.unionByName(docs.limit(2).select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes]))
+    total = odd.count()
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), path).count() == 0
+        got = stage(spark, odd, path)
+        if name == "packing":
+            assert got.select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
+            continue
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert total - 80 <= len(rows) <= total and {tuple(r[n] for n in CLASH) for r in rows if r.doc_id is not None} == {tuple(range(len(CLASH)))}
+        assert sum(r.doc_id is None for r in rows) == 2
+
+
+def test_repeated_rows_in_stages(spark, tmp_path):
+    """Equal rows stay or go together; documents that are copies under other ids leave one."""
+    import corpus_pipeline as p
+
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, "en", "s", 0), (1, text, "en", "s", 0), (2, text, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    ids = lambda stage: sorted(r.doc_id for r in stage(spark, docs, str(tmp_path)).collect())
+    assert ids(p.ngram_jaccard_join) == [1, 1] and ids(p.line_dedup) == [1, 1] and ids(p.secret_scans) == [1, 1, 2] and ids(p.packing) == [1, 1, 2]
