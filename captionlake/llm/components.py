@@ -16,7 +16,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = pairs.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.where("u > v").distinct()
+    # a large star makes at most one edge of each, so its repeats are left to the small star that follows
+    return moved.where("u > v") if large else moved.where("u > v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
