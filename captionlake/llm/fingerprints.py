@@ -20,8 +20,9 @@ from captionlake.llm.tables import materialize
 BITS = 128
 #: Fingerprints are near when they differ in at most so many bits.
 RADIUS = 7
-#: Equal blocks that key a table: 2 of 9 blocks make 36 tables with keys of 28 bits.
-AGREE = 2
+#: Equal blocks that key a table. 1 of 8 blocks: 8 tables with keys of 16 bits. What is found is the same with 2 of 9 blocks: 36 tables with keys of
+#: 28 bits, 36 rows a fingerprint instead of 8, but few others under a key beyond some 10^8 fingerprints.
+AGREE = 1
 #: Queries of the search: documents whose id is divisible by this.
 EVERY = 100
 SHINGLE = 2
@@ -30,6 +31,8 @@ PART = 32_768
 #: Documents of one range of ids, between which the next document is looked up; ranges are even between so many sampled quantiles.
 RANGE = 2048
 QUANTILES = 1024
+#: Up to so many ranges (a row of 16 bytes each) their first ids are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_RANGES = 1 << 20
 _LANES = 0x0001000100010001
 
 
@@ -89,14 +92,14 @@ def block_keys(fp1: str, fp2: str, radius: int = RADIUS, agree: int = AGREE) ->
     return F.array(*[F.xxhash64(F.lit(t), *[piece[i] for i in which]) for t, which in enumerate(combinations(range(blocks), agree))])
 
 
-def near_fingerprints(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_fingerprints(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, agree: int = AGREE) -> DataFrame:
     """(q1, q2, fp1, fp2, distance): every different fingerprint of prints within ``radius`` bits of one of queries (both: fp1, fp2).
 
     Equal fingerprints are one point on both sides, so copies are never expanded. All rows are in the tables; only tables'
     rows whose key a query has are compared with it. A pair may meet in several tables and is given once.
     """
-    asked = queries.select("fp1", "fp2").distinct().select(F.col("fp1").alias("q1"), F.col("fp2").alias("q2"), F.explode(block_keys("fp1", "fp2", radius)).alias("key"))
-    table = prints.select("fp1", "fp2").distinct().select("fp1", "fp2", F.explode(block_keys("fp1", "fp2", radius)).alias("key"))
+    asked = queries.select("fp1", "fp2").distinct().select(F.col("fp1").alias("q1"), F.col("fp2").alias("q2"), F.explode(block_keys("fp1", "fp2", radius, agree)).alias("key"))
+    table = prints.select("fp1", "fp2").distinct().select("fp1", "fp2", F.explode(block_keys("fp1", "fp2", radius, agree)).alias("key"))
     away = F.bit_count(F.expr("q1 ^ fp1")) + F.bit_count(F.expr("q2 ^ fp2"))
     near = asked.join(table, (asked["key"] == table["key"]) & (away <= radius) & (away > 0)).select("q1", "q2", "fp1", "fp2", away.alias("distance"))
     return near.distinct()
@@ -115,8 +118,8 @@ def near_queries(own: DataFrame, radius: int = RADIUS, every: int = EVERY) -> Da
     return named.groupBy("fp1", "fp2").agg(F.sum("n").alias("near_queries"), F.min("least").alias("near_query"))
 
 
-def _id_ranges(docs: DataFrame) -> Column | None:
-    """A number for the range of a doc_id, growing with it: a cell between sampled quantiles of the ids, cut evenly into ranges of about RANGE rows.
+def _id_ranges(docs: DataFrame) -> tuple[Column, int] | None:
+    """A number for the range of a doc_id, growing with it, and how many there are: a cell between sampled quantiles of the ids, cut evenly into ranges of about RANGE rows.
 
     Quantiles follow the rows, so ids may lie anywhere in 64 bits. None for an empty table.
     """
@@ -136,7 +139,7 @@ def _id_ranges(docs: DataFrame) -> Column | None:
     # as decimals: differences of 64-bit ids may need 65 bits
     wide = lambda c: c.cast("decimal(20,0)")
     inside = (wide(F.col("doc_id")) - wide(F.get(low, cell))) * each / (wide(F.get(high, cell)) - wide(F.get(low, cell)) + 1)
-    return cell.cast("long") * each + F.least(F.floor(inside), F.lit(each - 1)).cast("long")
+    return cell.cast("long") * each + F.least(F.floor(inside), F.lit(each - 1)).cast("long"), each * len(edges)
 
 
 def _with_next(docs: DataFrame) -> DataFrame:
@@ -145,15 +148,16 @@ def _with_next(docs: DataFrame) -> DataFrame:
     Rows are grouped by ranges of ids. The rows of the first id of each range are also put, as guards, at the end of
     the range before it, so that one window over bounded ranges finds every follower.
     """
-    place = _id_ranges(docs)
-    if place is None:
+    found = _id_ranges(docs)
+    if found is None:
         return docs.withColumns({"next_id": F.lit(None).cast("long"), "next_tie": F.lit(None).cast("long"), "next_copy": F.lit(None).cast("int"), "next_text": F.lit(None).cast("string")})
+    place, ranges = found
     rows = docs.withColumn("_range", place)
     heads = rows.groupBy("_range").agg(F.min("doc_id").alias("doc_id"))
     w = Window.partitionBy(F.lit(0)).orderBy("_range")  # a row for each range
     last = F.max("_range").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select("doc_id", F.coalesce(F.lag("_range").over(w), last).alias("_guards"))
-    guards = docs.join(heads, "doc_id").select(*docs.columns, F.col("_guards").alias("_range"), F.lit(1).alias("_guard"))
+    guards = docs.join(F.broadcast(heads) if ranges <= BROADCAST_RANGES else heads, "doc_id").select(*docs.columns, F.col("_guards").alias("_range"), F.lit(1).alias("_guard"))
     both = rows.withColumn("_guard", F.lit(0)).unionByName(guards)
     w = Window.partitionBy("_range").orderBy("_guard", "doc_id", "_tie", "_copy")
     follow = {"next_id": "doc_id", "next_tie": "_tie", "next_copy": "_copy", "next_text": "text"}

@@ -225,7 +225,8 @@ def test_fingerprint_votes(spark):
     assert [got.fp1 & (2**64 - 1), got.fp2 & (2**64 - 1)] == want
 
 
-def test_near_fingerprints(spark):
+@pytest.mark.parametrize("agree", [1, 2])
+def test_near_fingerprints(spark, agree):
     """The tables find every fingerprint within the radius of a query, whichever bits differ."""
     from captionlake.llm.fingerprints import near_fingerprints
 
@@ -239,7 +240,7 @@ def test_near_fingerprints(spark):
             values.append(x)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     table = spark.createDataFrame([(signed(v >> 64), signed(v & (2**64 - 1))) for v in values], "fp1 long, fp2 long")
-    near = near_fingerprints(table.limit(40), table, 7).collect()
+    near = near_fingerprints(table.limit(40), table, 7, agree).collect()
     full = lambda a, b: ((a % 2**64) << 64) | b % 2**64
     got = {(full(r.q1, r.q2), full(r.fp1, r.fp2)): r.distance for r in near}
     want = {(a, b): bin(a ^ b).count("1") for a in values[:40] for b in values if 0 < bin(a ^ b).count("1") <= 7}
