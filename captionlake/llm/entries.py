@@ -6,6 +6,7 @@ from captionlake.llm.fingerprints import op3_document_fingerprints
 from captionlake.llm.infilling import op12_fill_in_middle
 from captionlake.llm.jaccard import op10_jaccard_join
 from captionlake.llm.lines import op4_line_dedup
+from captionlake.llm.minhash import op11_minhash_dedup
 from captionlake.llm.packing import op2_packing
 from captionlake.llm.quality_rules import op8_quality_rules
 from captionlake.llm.secrets import op9_secret_scans
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scans": op9_secret_scans,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_minhash_dedup": op11_minhash_dedup,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_vector_codes": op13_vector_codes,
 }
