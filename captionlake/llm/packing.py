@@ -2,7 +2,8 @@
 
 Documents are tokenised and cut into full pieces of CAPACITY ids and one remainder. The histogram of piece lengths, in
 classes of GRAIN ids (a fixed number of classes, whatever the corpus), is the demand of a cutting-stock problem: a linear
-program over patterns (how many pieces of each class fill one sequence) whose columns are priced by an unbounded knapsack.
+program over patterns (how many pieces of each class fill one sequence) whose columns are priced by an unbounded knapsack
+until its value is proven to be within GAP of the least.
 The fractional solution is rounded down, what is left is filled greedily, and the pieces, ranked inside their class, are
 dealt to the patterns' places. Only the histogram and the patterns pass through the driver.
 """
@@ -15,6 +16,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ GRAIN = 8
 END_ID = 1
 #: The program stops when its value is proven to be within this part of the least.
 GAP = 5e-4
+#: Weight of the best dual values so far, against the program's own, in the prices of a round.
+SMOOTHING = 0.8
 #: Pieces of one class that one task ranks.
 ROWS_PER_CELL = 50_000
 #: Words whose ids a worker keeps.
@@ -190,44 +194,122 @@ def knapsack(values: np.ndarray, units: int) -> np.ndarray:
     return counts
 
 
-def cutting_patterns(demand: np.ndarray, units: int, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
-    """Patterns (pieces of each class) and how many sequences each fills, covering the demand of every class exactly or over.
+@dataclass
+class Cutting:
+    """patterns (pieces of each class, how many sequences they fill), the linear program's value and a proven lower bound of it."""
+
+    patterns: list[tuple[np.ndarray, int]]
+    value: float = 0.0
+    bound: float = 0.0
+
+    @property
+    def gap(self) -> float:
+        """How far the value can be above the least, as a part of the least."""
+        return self.value / self.bound - 1 if self.bound else 0.0
+
+
+def _inverse(basis: np.ndarray) -> np.ndarray:
+    """Inverse by Gauss-Jordan steps with row pivots, in plain array arithmetic: no threaded library runs beside the session."""
+    n = len(basis)
+    work = np.hstack([basis, np.eye(n)])
+    for i in range(n):
+        top = i + int(np.abs(work[i:, i]).argmax())
+        if top != i:
+            work[[i, top]] = work[[top, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0.0
+        work -= factor[:, None] * work[i]
+    return work[:, n:]
+
+
+def _greedy(left: np.ndarray, sizes: np.ndarray, units: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Patterns that fill sequences with the longest pieces that still fit, and how often each is used, until nothing is left."""
+    left = left.copy()
+    while left.any():
+        room, counts = units, np.zeros(len(sizes), np.int64)
+        for i in range(len(sizes) - 1, -1, -1):
+            take = min(int(left[i]), room // int(sizes[i]))
+            counts[i] += take
+            room -= take * int(sizes[i])
+        used = counts > 0
+        times = max(1, int((left[used] // counts[used]).min()))
+        left = np.maximum(left - counts * times, 0)
+        yield counts, times
+
+
+class _Program:
+    """Least number of sequences such that patterns hold the demand: the revised simplex, one column at a time."""
+
+    def __init__(self, sizes: np.ndarray, need: np.ndarray, units: int):
+        fill = units // sizes
+        self.need, self.columns = need, np.diag(fill)
+        self.inverse, self.amount, self.turns = np.diag(1.0 / fill), need / fill, 0
+
+    def duals(self) -> np.ndarray:
+        return self.inverse.sum(axis=0)
+
+    def enter(self, new: np.ndarray) -> None:
+        """Swap a column in for the one that runs out first."""
+        step = (self.inverse * new).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(step > 1e-9, self.amount / step, np.inf)
+        out = int(np.argmin(ratio))
+        self.columns[:, out] = new
+        self.turns += 1
+        if self.turns % 200 == 0:  # rounding errors of the updates don't pile up
+            self.inverse = _inverse(self.columns.astype(float))
+            self.amount = np.maximum((self.inverse * self.need).sum(axis=1), 0.0)
+        else:
+            move = ratio[out]
+            self.amount = np.maximum(self.amount - move * step, 0.0)
+            self.amount[out] = move
+            row = self.inverse[out] / step[out]
+            self.inverse -= step[:, None] * row
+            self.inverse[out] = row
 
-    Revised simplex on: least number of sequences such that the patterns hold the demand. Starts from patterns of one class;
-    each round prices a new column by the knapsack over the dual values and swaps it in.
+
+def cutting_plan(demand: np.ndarray, units: int, gap: float = GAP) -> Cutting:
+    """Patterns that cover the demand of every class (class c takes c units), by column generation.
+
+    Columns are priced by the knapsack over smoothed dual values: mostly those of the best bound so far, to which the pieces' own lengths
+    are the start (they are feasible duals, and the total length is their bound). Any prices divided by the value of their best pattern
+    are feasible duals, so each round proves a bound. The program ends when its value is within ``gap`` of the best bound, or
+    when no pattern is worth more than a sequence at its own duals, which proves the optimum.
     """
     active = np.flatnonzero(demand)
     if not len(active):
-        return []
+        return Cutting([])
     sizes = active + 1
     need = demand[active].astype(float)
-    fill = units // sizes
-    columns = [np.where(np.arange(len(active)) == i, fill[i], 0) for i in range(len(active))]
-    basis = np.diag(fill.astype(float))
-    inverse = np.diag(1.0 / fill)
-    amount = need / fill
-    for turn in range(rounds):
-        duals = inverse.sum(axis=0)
+    program = _Program(sizes, need, units)
+    best = sizes / units
+    bound = float((best * need).sum())
+
+    def worth(counts: np.ndarray, prices: np.ndarray) -> float:
+        return float((counts * prices).sum())
+
+    def price(prices: np.ndarray) -> np.ndarray:
+        """The pattern worth most; the prices become the best ones where they prove more."""
+        nonlocal best, bound
         values = np.zeros(units)
-        values[active] = np.maximum(duals, 0.0)
-        new = knapsack(values, units)[active]
-        if new @ np.maximum(duals, 0.0) <= 1 + GAP:
-            break
-        step = inverse @ new
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(step > 1e-9, amount / step, np.inf)
-        out = int(np.argmin(ratio))
-        move = ratio[out]
-        amount = np.maximum(amount - move * step, 0.0)
-        amount[out] = move
-        columns[out], basis[:, out] = new, new
-        if turn % 200 == 199:  # rounding errors of the updates don't pile up
-            inverse = np.linalg.inv(basis)
-            amount = np.maximum(inverse @ need, 0.0)
-        else:
-            row = inverse[out] / step[out]
-            inverse -= np.outer(step, row)
-            inverse[out] = row
+        values[active] = prices
+        counts = knapsack(values, units)[active]
+        if (top := worth(counts, prices)) > 0 and (proven := worth(need, prices) / top) > bound:
+            best, bound = prices / top, proven
+        return counts
+
+    for counts, _ in _greedy(demand[active], sizes, units):
+        if worth(counts, program.duals()) > 1 + 1e-9:
+            program.enter(counts)
+    while program.amount.sum() > bound * (1 + gap):
+        duals = program.duals()
+        new = price(SMOOTHING * best + (1 - SMOOTHING) * np.maximum(duals, 0.0))
+        if worth(new, duals) <= 1 + 1e-9:
+            new = price(np.maximum(duals, 0.0))
+            if worth(new, duals) <= 1 + 1e-9:
+                break
+        program.enter(new)
     left = demand[active].copy()
     found: list[tuple[np.ndarray, int]] = []
 
@@ -238,22 +320,21 @@ def cutting_patterns(demand: np.ndarray, units: int, rounds: int = 4000) -> list
         found.append((wide, times))
         left = np.maximum(left - counts * times, 0)
 
-    for counts, x in zip(columns, amount, strict=True):
+    for counts, x in zip(program.columns.T, program.amount, strict=True):
         if (times := int(x + 1e-6)) > 0:
             # never more places than pieces: a pattern is used as often as it is filled
             used = counts > 0
             times = min(times, int((left[used] // counts[used]).min()))
             if times > 0:
                 use(counts, times)
-    while left.any():  # best fit decreasing over the few pieces that rounding left
-        room, counts = units, np.zeros(len(active), np.int64)
-        for i in range(len(active) - 1, -1, -1):
-            take = min(int(left[i]), room // int(sizes[i]))
-            counts[i] += take
-            room -= take * int(sizes[i])
-        used = counts > 0
-        use(counts, max(1, int((left[used] // counts[used]).min())))
-    return found
+    for counts, times in list(_greedy(left, sizes, units)):  # the few pieces that rounding left
+        use(counts, times)
+    return Cutting(found, float(program.amount.sum()), min(bound, float(program.amount.sum())))
+
+
+def cutting_patterns(demand: np.ndarray, units: int) -> list[tuple[np.ndarray, int]]:
+    """The patterns of cutting_plan()."""
+    return cutting_plan(demand, units).patterns
 
 
 def _ranked(rows: DataFrame, total: int) -> DataFrame:

@@ -169,6 +169,44 @@ def test_cutting_patterns_cover_demand():
         assert sum(n for _, n in found) <= 1.05 * least + 20
 
 
+def test_cutting_plan_proves_its_gap_beside_a_session(spark):
+    """All 256 classes, over 200 columns (the inverse is made anew), and demands that no greedy filling solves, with a session alive."""
+    from captionlake.llm.packing import GAP, _inverse, cutting_plan
+
+    assert spark.range(3).count() == 3
+    rng = np.random.default_rng(5)
+    for lo, hi, top in ((1, 257, 60), (60, 140, 10**6), (40, 90, 10**4)):
+        demand = np.zeros(256, np.int64)
+        demand[lo - 1 : hi - 1] = rng.integers(1, top, hi - lo)
+        plan = cutting_plan(demand, 256)
+        assert (sum((c * n for c, n in plan.patterns), np.zeros(256, int)) >= demand).all()
+        assert all((c * np.arange(1, 257)).sum() <= 256 for c, _ in plan.patterns)
+        assert 0 <= plan.gap <= GAP + 1e-9
+        assert sum(n for _, n in plan.patterns) <= plan.value + np.count_nonzero(demand)
+    m = rng.normal(size=(256, 256))
+    assert np.abs(_inverse(m) @ m - np.eye(256)).max() < 1e-6
+
+
+def test_cutting_plan_bound_against_all_patterns():
+    """The least number of sequences by full search on tiny demands lies between the proven bound and the plan."""
+    import itertools
+
+    from captionlake.llm.packing import cutting_plan
+
+    rng = np.random.default_rng(6)
+    units = 7
+    patterns = [p for p in itertools.product(*(range(units // c + 1) for c in range(1, units + 1))) if 0 < sum(n * c for n, c in zip(p, range(1, units + 1))) <= units]
+    for _ in range(6):
+        demand = rng.integers(0, 3, units)
+        plan = cutting_plan(demand, units)
+        least, now = 0, {tuple(demand)}
+        while not any(not any(d) for d in now):
+            now = {tuple(np.maximum(np.array(d) - p, 0)) for d in now for p in patterns}
+            least += 1
+        assert plan.bound <= least + 1e-9
+        assert least <= sum(n for _, n in plan.patterns)
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------------
 
 
