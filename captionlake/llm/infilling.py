@@ -29,6 +29,8 @@ RATE = 50
 SPM_RATE = 80
 #: Units of one piece.
 PIECE_UNITS = 2048
+#: Bytes of text that one task sorts: they stay in the memory of its worker.
+TASK_BYTES = 64 << 20
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 #: The parts in the order of each form; a plain text has one part without a mark.
 _ORDER = {"psm": (PREFIX, SUFFIX, MIDDLE), "spm": (SUFFIX, PREFIX, MIDDLE)}
@@ -168,16 +170,16 @@ def fill_in_middle_digests(
 ) -> DataFrame:
     """doc_id, n, form, prefix_chars, middle_chars, output_sha256 and restored_sha256 of every document.
 
-    rate and spm_rate: per cent of documents that are transformed, and of these in the form spm. Cases: a null text is an empty one, which is
+    rate and spm_rate: per cent of documents that are transformed, and of these in the form spm; partitions: by default as many as leave
+    each task TASK_BYTES of text, by a sum over the table before. Cases: a null text is an empty one, which is
     plain; a text with a mark in it is plain; rows that repeat an id, or id and text, are all returned; an id of null draws from the seed alone; a
     very long text is many pieces, of which a task holds one at a time beside the row it reads; an empty table gives no rows; other
     columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = slim.rdd
-    many = partitions or max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pieces = rows.mapPartitions(_emit_job(("doc_id", "text"), seed, rate, spm_rate, piece_units))
+    many = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TASK_BYTES))
+    pieces = slim.rdd.mapPartitions(_emit_job(("doc_id", "text"), seed, rate, spm_rate, piece_units))
     written = pieces.repartitionAndSortWithinPartitions(many, _key_hash).mapPartitions(_assemble_job, preservesPartitioning=True)
     restored = written.repartitionAndSortWithinPartitions(written.getNumPartitions(), _key_hash).mapPartitions(_restore_job)
     schema = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string"
