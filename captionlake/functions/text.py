@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from captionlake.functions.udf import columnar
+
 # Marks that cling to the word before them, and Thai signs that can't begin a word.
 ATTACHED = "^[ๆฯ,.!?…]"
 THAI_RISK = "^[\\u0E30-\\u0E3A\\u0E47-\\u0E4E]|^ๆ+$"
@@ -32,29 +35,50 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
 
-def word_segments(text: Column, language: str = "th") -> Column:
-    """array<struct<text, space_before>>: words by the JVM's dictionary segmentation, marks joined to the word before.
+@columnar("array<struct<text:string,is_word:boolean,space_before:boolean>>")
+def placed_words(texts: pa.Array, words: pa.Array) -> pa.Array:
+    """Each text as its words, in order, with the marks (without white space) that follow each; marks before the first word are an item of their own.
 
-    sentences() gives the words without marks; each is found again in the collapsed text from where the last one ended, and
-    what lies between two words, without spaces, belongs to the first.
+    A word is looked for from the end of the one before, so a text is passed over once, whatever its length.
     """
-    clean = collapse_spaces(text)
-    words = F.flatten(F.sentences(clean, F.lit(locale_of(language)), F.lit("")))
-    empty = F.array().cast("array<struct<text:string,space_before:boolean>>")
-    start = F.struct(clean.alias("rest"), F.lit(True).alias("first"), empty.alias("out"))
-    glue = lambda out, marks: F.when(
-        (F.size(out) > 0) & (marks != ""),
-        F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.concat(F.element_at(out, -1)["text"], marks).alias("text"), F.element_at(out, -1)["space_before"].alias("space_before")))),
-    ).otherwise(out)
-
-    def step(acc: Column, word: Column) -> Column:
-        at = F.position(word, acc["rest"])
-        gap = F.substring(acc["rest"], F.lit(1), at - 1)
-        out = glue(acc["out"], F.regexp_replace(gap, r"\s+", ""))
-        found = F.struct(word.alias("text"), (~acc["first"] & gap.rlike(r"\s$")).alias("space_before"))
-        return F.struct(F.substring(acc["rest"], at + F.length(word), F.length(acc["rest"])).alias("rest"), F.lit(False).alias("first"), F.concat(out, F.array(found)).alias("out"))
-
-    return F.aggregate(words, start, step, lambda acc: glue(acc["out"], F.regexp_replace(acc["rest"], r"\s+", "")))
+    out, is_word, spaced, edges = [], [], [], [0]
+    for text, found in zip(texts.to_pylist(), words.to_pylist(), strict=True):
+        end, first = 0, True
+        for word in found or []:
+            at = text.index(word, end)
+            gap = text[end:at]
+            if marks := "".join(gap.split()):
+                if first:
+                    out.append(marks)
+                    is_word.append(False)
+                    spaced.append(False)
+                else:
+                    out[-1] += marks
+            out.append(word)
+            is_word.append(True)
+            spaced.append(not first and gap[-1:].isspace())
+            end, first = at + len(word), False
+        if marks := "".join((text or "")[end:].split()):
+            if first:
+                out.append(marks)
+                is_word.append(False)
+                spaced.append(False)
+            else:
+                out[-1] += marks
+        edges.append(len(out))
+    items = pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(is_word, pa.bool_()), pa.array(spaced, pa.bool_())], names=["text", "is_word", "space_before"])
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), items)
+
+
+def segmented(text: Column, language: str) -> Column:
+    """placed_words() by the JVM's dictionary segmentation: sentences() gives the words without marks."""
+    return placed_words(text, F.flatten(F.sentences(text, F.lit(locale_of(language)), F.lit(""))))
+
+
+def word_segments(text: Column, language: str = "th") -> Column:
+    """array<struct<text, space_before>>: the words of the text, marks joined to the word before; marks before the first word are left out."""
+    words = F.filter(segmented(collapse_spaces(text), language), lambda w: w["is_word"])
+    return F.transform(words, lambda w: F.struct(w["text"].alias("text"), w["space_before"].alias("space_before")))
 
 
 def srt_time(seconds: Column) -> Column:

@@ -401,36 +401,6 @@ def reflow_words(words: DataFrame, target: int = 5, language: str = "th", soft_p
     return words.join(placed.drop("phrase_idx"), ["project_id", "word_idx"]).withColumn("caption_idx", F.struct("phrase_idx", "part"))
 
 
-# --- scores -----------------------------------------------------------------------------------------------------------
-
-
-def edit_distance(left: list, right: list) -> int:
-    """Least insertions, deletions and changes; equal ends are cut off, and a row is one vector step."""
-    lo = 0
-    while lo < min(len(left), len(right)) and left[lo] == right[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(left), len(right)) - lo and left[-1 - hi] == right[-1 - hi]:
-        hi += 1
-    left, right = left[lo : len(left) - hi], right[lo : len(right) - hi]
-    codes = {k: i for i, k in enumerate(dict.fromkeys([*left, *right]))}
-    b = np.array([codes[x] for x in right], np.int64)
-    place = np.arange(len(b) + 1)
-    row = place.copy()
-    for i, x in enumerate(left, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        np.minimum(row[1:] + 1, row[:-1] + (b != codes[x]), out=new[1:])
-        row = np.minimum.accumulate(new - place) + place
-    return int(row[-1])
-
-
-@vectorised("double")
-def token_error_rate(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """Edit distance of token arrays over the reference's length; of an empty reference 1 where the hypothesis has tokens."""
-    return pd.Series([edit_distance(list(a), list(b)) / len(a) if len(a) else float(len(b) > 0) for a, b in zip(reference, hypothesis, strict=True)])
-
-
 # --- edited captions ---------------------------------------------------------------------------------------------------
 
 _TIMED = "array<struct<text:string,space_before:boolean,start:double,end:double,old_idx:int,review_status:string>>"

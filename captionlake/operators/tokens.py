@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from captionlake.functions.text import locale_of, thai_risk
+from captionlake.functions.text import locale_of, segmented, thai_risk
 from captionlake.operators.intervals import interval_join
 from captionlake.operators.sequences import enforce_monotonic
 
@@ -13,25 +13,6 @@ PHRASE_GAP = 0.18
 REVIEW_BELOW = 0.65
 
 
-def _chunk_items(text: Column, locale: str) -> Column:
-    """array<struct<text, is_word>> of a text without white space: marks before the first word alone, later ones with their word."""
-    words = F.flatten(F.sentences(text, F.lit(locale), F.lit("")))
-    empty = F.array().cast("array<struct<text:string,is_word:boolean>>")
-    item = lambda t, w: F.array(F.struct(t.alias("text"), F.lit(w).alias("is_word")))
-
-    def marks(out: Column, gap: Column) -> Column:
-        last = F.element_at(out, -1)
-        grown = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.concat(last["text"], gap).alias("text"), last["is_word"].alias("is_word"))))
-        return F.when(gap == "", out).when(F.size(out) == 0, item(gap, False)).otherwise(grown)
-
-    def step(acc: Column, word: Column) -> Column:
-        at = F.position(word, acc["rest"])
-        out = F.concat(marks(acc["out"], F.substring(acc["rest"], F.lit(1), at - 1)), item(word, True))
-        return F.struct(F.substring(acc["rest"], at + F.length(word), F.length(acc["rest"])).alias("rest"), out.alias("out"))
-
-    return F.aggregate(words, F.struct(text.alias("rest"), empty.alias("out")), step, lambda acc: marks(acc["out"], acc["rest"]))
-
-
 def token_spans(tokens: DataFrame, thai: bool) -> DataFrame:
     """Valid tokens with from_char and to_char in the project's running text, and gap: seconds since the token before.
 
@@ -63,7 +44,7 @@ def tokens_to_words(tokens: DataFrame, language: str = "th") -> DataFrame:
     w = Window.partitionBy("project_id").orderBy("a")
     pieces = pieces.withColumn("chunk", F.sum(F.coalesce((F.lag("b").over(w) != F.col("a")).cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     chunks = pieces.groupBy("project_id", "chunk").agg(F.min("a").alias("a"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", "piece"))), lambda x: x["piece"]), "").alias("text"))
-    items = chunks.select("project_id", "chunk", "a", F.posexplode(_chunk_items(F.col("text"), locale)).alias("p", "i"))
+    items = chunks.select("project_id", "chunk", "a", F.posexplode(segmented(F.col("text"), language)).alias("p", "i"))
     w = Window.partitionBy("project_id", "chunk").orderBy("p")
     items = items.withColumn("from_char", F.col("a") + F.coalesce(F.sum(F.length("i.text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     w = Window.partitionBy("project_id").orderBy("from_char")

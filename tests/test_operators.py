@@ -176,7 +176,8 @@ def test_passes(spark):
 def test_lcs_and_edit_distance_against_brute_force():
     import random
 
-    from captionlake.operators.alignment import common_pairs, edit_distance
+    from captionlake.functions.distance import edit_distance
+    from captionlake.operators.alignment import common_pairs
 
     rng = random.Random(6)
     for _ in range(60):
