@@ -111,7 +111,7 @@ def _emit_job(names: tuple[str, str], seed: int, rate: int, spm_rate: int, size:
     return job
 
 
-def _documents(rows: Iterable) -> Iterator[tuple[tuple, int, Iterator[tuple[bytes, object]]]]:
+def _documents(rows: Iterable) -> Iterator[tuple[tuple, Iterator[tuple[bytes, tuple | None, int]]]]:
     """Sorted pieces by document: (key, stream); the stream gives each place's piece once, with how many equal rows have it."""
     rows = iter(rows)
     ahead = next(rows, None)

@@ -10,7 +10,8 @@
 4. No bucket is turned into pairs. Its most central set (that of the largest buckets) is compared with the others first: nearly all near
    copies are in one component then, and a bucket whose sets are all in one is settled. In the others, sets outside of the central set's
    component become pivots, some for each bucket, and are compared by their sketches with all of it; pivots have met all others of their
-   bucket and leave it. This goes on, with more pivots, until each bucket is settled. Only pairs that pass the sketches are ever emitted.
+   bucket and leave it. This goes on, with more pivots, until each bucket is settled. Only pairs that pass the sketches are emitted, each
+   in the first of its common bands.
 
 In step 4 the sets of a bucket stream past its pivots (a sort by bucket, pivots first), so a task holds the pivots of one bucket at a
 time, and a large bucket is dealt over several tasks.
@@ -36,11 +37,11 @@ PERCENT = 85
 BANDS = 25
 BAND_ROWS = 5
 #: Hash classes of a sketch (a power of two), and its parities.
-SAMPLES = 1024
-SKETCH_BITS = 1024
-#: Pivots of a bucket in the first round; four times as many each later round, up to MOST_PIVOTS (what a task holds of one bucket).
-FIRST_PIVOTS = 32
-MOST_PIVOTS = 512
+SAMPLES = 4096
+SKETCH_BITS = 2048
+#: Pivots of a bucket in the first round, and in later ones (what a task holds of one bucket, some 0.5 MB).
+FIRST_PIVOTS = 256
+MOST_PIVOTS = 1000
 #: Rows of a bucket that one task compares with its pivots.
 BUCKET_ROWS = 20_000
 #: Standard deviations that an estimate may lie beyond the threshold.
@@ -81,19 +82,21 @@ def odd_sketches(edges: np.ndarray, h: np.ndarray, samples: int = SAMPLES, bits:
 def most_differing(n: np.ndarray, m: np.ndarray, percent: int = PERCENT, samples: int = SAMPLES, bits: int = SKETCH_BITS, deviations: float = DEVIATIONS) -> np.ndarray:
     """The most set bits that the XOR of the sketches of two linked sets of n and m shingles has.
 
-    The union's minima are a sample, without replacement, of its shingles; those of shingles in one set only are one or two samples that
-    differ. Mean and variance are taken at the threshold (sets above it differ less), and again for the parities they set.
+    The union's minima are a sample, without replacement, of its shingles; one in a single set makes one sample that differs, or two where
+    the other set has a minimum of its own in the class. Their number at the threshold (sets above it differ less), plus the deviations, gives
+    the mean and the variance of the odd counts; there are never more odd counts than samples that differ.
     """
     s = percent / 100
     union = (n + m) / (1 + s)
-    used = samples * -np.expm1(-union / samples)
+    used = -samples * np.expm1(union * np.log1p(-1 / samples))
     mean = used * (1 - s)
-    spread = used * s * (1 - s) * np.maximum(0.0, union - used) / np.maximum(union, 1.0)
-    both = -np.expm1(-np.maximum(n, m) / samples)  # the other set has a minimum of its own in the class
-    differ = mean * (1 + both) + deviations * np.sqrt(spread * (1 + both) ** 2 + mean * both * (1 - both) + 1.0)
-    differ = np.minimum(differ, n + m)
-    load = -np.expm1(-2 * differ / bits) / 2
-    return bits * load + deviations * np.sqrt(bits * load * (1 - load) / 2 + 1.0)
+    spread = used * s * (1 - s) * np.maximum(0.0, union - used) / np.maximum(union - 1, 1.0)
+    both = -np.expm1(np.maximum(n, m) * np.log1p(-1 / samples))
+    differ = mean * (1 + both) + deviations * np.sqrt(spread * (1 + both) ** 2 + mean * both * (1 - both))
+    one, two = np.exp(differ * np.log1p(-2 / bits)), np.exp(differ * np.log1p(-4 / bits))
+    odd = bits * (1 - one) / 2
+    spread = np.maximum(0.0, bits * (1 - two) / 4 + bits * bits * (two - one * one) / 4)
+    return np.minimum(np.ceil(differ), odd + deviations * np.sqrt(spread))
 
 
 def _maybe(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -131,6 +134,11 @@ def _bytes_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
+def _lists_of(column: pa.Array) -> np.ndarray:
+    """A matrix of the numbers of a list column of one length."""
+    return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, BANDS), np.int64)
+
+
 def _filter_job(percent: int):
     """Pairs (u, v, nu, nv, su, sv) whose sketches allow a link, as (u, v)."""
 
@@ -144,7 +152,10 @@ def _filter_job(percent: int):
 
 
 def _pivot_job(percent: int):
-    """Rows in order of (key, salt, later): pivots first, then the sets that are compared with them; gives (u, v) of all that can link."""
+    """Rows in order of (key, salt, later): pivots first, then the sets that are compared with them; gives (u, v) of all that can link.
+
+    A pair is left to the bucket of the first band in which both keys are the same.
+    """
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the bucket that goes on in the next batch, with its pivots so far
@@ -153,18 +164,18 @@ def _pivot_job(percent: int):
                 continue
             key, salt, node, comp, n = (batch.column(x).to_numpy() for x in ("key", "salt", "node", "comp", "n"))
             pivot = batch.column("later").to_numpy() == 0
-            sketch = _bytes_of(batch.column("sketch"))
+            sketch, keys = _bytes_of(batch.column("sketch")), _lists_of(batch.column("keys"))
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
             edges = np.append(np.flatnonzero(new), len(key))
             us, vs = [], []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 mid = lo + int(pivot[lo:hi].sum())
-                own = (node[lo:mid], comp[lo:mid], n[lo:mid], sketch[lo:mid])
+                own = (node[lo:mid], comp[lo:mid], n[lo:mid], sketch[lo:mid], keys[lo:mid])
                 if held is not None and held[0] == (key[lo], salt[lo]):
                     own = tuple(np.concatenate([a, b]) for a, b in zip(held[1], own, strict=True))
                 held = ((key[lo], salt[lo]), own)
-                nodes, comps, sizes, sketches = own
+                nodes, comps, sizes, sketches, bands = own
                 if not len(nodes):
                     continue
                 step = max(1, (1 << 18) // len(nodes))
@@ -174,6 +185,9 @@ def _pivot_job(percent: int):
                     i, j = np.nonzero(apart & (100 * np.minimum(n[s, None], sizes) >= percent * np.maximum(n[s, None], sizes)))
                     if len(i):
                         ok = _maybe(n[s][i], sizes[j], sketch[s][i], sketches[j], percent)
+                        i, j = i[ok], j[ok]
+                        mine, yours = keys[s][i], bands[j]
+                        ok = mine[np.arange(len(i)), (mine == yours).argmax(axis=1)] == key[lo]
                         us.append(np.maximum(node[s][i[ok]], nodes[j[ok]]))
                         vs.append(np.minimum(node[s][i[ok]], nodes[j[ok]]))
             if us:
@@ -183,31 +197,23 @@ def _pivot_job(percent: int):
 
 
 class _Texts:
-    """Confirms pairs on full sets, which are made anew from the texts for the nodes of each round's pairs; a pair is confirmed once."""
+    """Confirms pairs on full sets, which are made anew from the texts."""
 
     def __init__(self, slim: DataFrame, points: DataFrame, k: int, percent: int):
         self.slim, self.points, self.k, self.percent = slim, points, k, percent
-        self.met: list[DataFrame] = []
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (u, v) not met before that link, by the sizes of the intersection and the union of their full sets."""
-        for before in self.met:
-            pairs = pairs.join(before, ["u", "v"], "left_anti")
-        pairs = materialize(pairs)
-        self.met.append(pairs)
-        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, set) of the given nodes."""
         wanted = self.points.join(nodes, "node").select("node", F.col("sid").alias("doc_id"), "k1", "k2")
         sets = self.slim.join(wanted, "doc_id").mapInArrow(_set_job(self.k), "node long, n long, set array<long>")
-        sets = materialize(sets.groupBy("node").agg(F.first("set").alias("set")))  # rows that repeat an id give a set more than once
+        return materialize(sets.groupBy("node").agg(F.first("set").alias("set")))  # rows that repeat an id give a set more than once
+
+    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (u, v) that link, by the sizes of the intersection and the union of their full sets."""
         a, b = (sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}")) for x in ("u", "v"))
         both = F.size(F.array_intersect("su", "sv"))
         links = pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("both"), (F.size("su") + F.size("sv") - both).alias("either"))
-        out = materialize(links.where(f"100 * both >= {self.percent} * either").select("u", "v"))
-        discard(sets)
-        return out
-
-    def close(self) -> None:
-        discard(*self.met)
+        return materialize(links.where(f"100 * both >= {self.percent} * either").select("u", "v"))
 
 
 def _joined(links: DataFrame, comps: DataFrame | None) -> DataFrame | None:
@@ -241,31 +247,36 @@ def near_components(points: DataFrame, texts: _Texts, percent: int) -> DataFrame
     pairs = ranked.join(heads, "key").where("node <> head.node").select(F.greatest("node", "head.node").alias("u"), F.least("node", "head.node").alias("v")).distinct()
     pairs = pairs.join(prints.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su")), "u")
     pairs = pairs.join(prints.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv")), "v")
-    links = texts.links(pairs.mapInArrow(_filter_job(percent), "u long, v long"))
-    comps, most = _joined(links, None), FIRST_PIVOTS
+    maybe = materialize(pairs.mapInArrow(_filter_job(percent), "u long, v long"))
+    sets = texts.sets_of(maybe.select("u").unionByName(maybe.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "node"))
+    links = texts.links(maybe, sets)
+    comps = _joined(links, None)
     rows = materialize(ranked.join(heads, "key").where("node <> head.node").drop("head"))  # heads have met all others
-    discard(links, ranked)
+    discard(links, maybe, sets, ranked)
+    most, sets = FIRST_PIVOTS, None
     while True:
         live = materialize(_live(rows, comps))
         discard(rows)
         if live.isEmpty():
-            discard(live)
-            texts.close()
+            discard(live, *([sets] if sets is not None else []))
             return comps
+        if sets is None:  # later rounds' sets are among these
+            sets = texts.sets_of(live.select("node").distinct())
         order = Window.partitionBy("key").orderBy(F.col("rank").desc())
         pivots = materialize(live.where("active").withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("key", "node", "comp", "members"))
         deal = F.ceil(F.col("members") / BUCKET_ROWS).cast("int")
         first = pivots.select("key", F.explode(F.sequence(F.lit(0), deal - 1)).alias("salt"), F.lit(0).alias("later"), "node", "comp")
         # pivots are among the sets that they are compared with: a pair of two pivots is met twice, and made distinct below
         rest = live.select("key", F.pmod(F.xxhash64("node"), deal).cast("int").alias("salt"), F.lit(1).alias("later"), "node", "comp")
-        both = first.unionByName(rest.join(pivots.select("key").distinct(), "key", "left_semi")).join(prints, "node")
+        both = first.unionByName(rest).join(points.select("node", "n", "sketch", "keys"), "node")
         met = both.repartition("key", "salt").sortWithinPartitions("key", "salt", "later").mapInArrow(_pivot_job(percent), "u long, v long")
-        links = texts.links(met.distinct())
-        comps = _joined(links, comps)
-        discard(links)
+        links = texts.links(met.distinct(), sets)
+        before, comps = comps, _joined(links, comps)
+        if before is not None and comps is not before:
+            discard(before)
         rows = materialize(live.select("key", "node", "rank").join(pivots.select("key", "node"), ["key", "node"], "left_anti"))
-        discard(live, pivots)
-        most = min(4 * most, MOST_PIVOTS)
+        discard(links, live, pivots)
+        most = MOST_PIVOTS
 
 
 def minhash_dedup(
