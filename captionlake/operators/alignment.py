@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from captionlake.functions.text import attaches_to_previous, grapheme_count, hypothesis_key, thai_risk
 from captionlake.functions.udf import vectorised
 from captionlake.operators.intervals import as_right, interval_join
-from captionlake.operators.lineage import cut
+from captionlake.operators.sequences import by_project
 
 TEXT_GAIN, SMALL_TEXT_GAIN, EDGE_GAIN, SMALL_EDGE_GAIN, SCORE_DROP = 3, 2, 0.3, 0.12, 0.18
 
@@ -190,32 +190,121 @@ def replace_region_words(words: DataFrame, candidates: DataFrame, regions: DataF
     return _decided(words, candidates, region_sides(words, candidates, regions).withColumn("wins", F.lit(True)), "").drop("score")
 
 
-def region_layers(regions: DataFrame) -> DataFrame:
-    """regions with layer: the place of a region among those that overlap it in a row (in order of start), so one layer's regions are disjoint."""
+_DECIDED = "array<struct<word_idx:long,text:string,start:double,end:double,needs_review:boolean,review_status:string,review_reason:string,origin:string>>"
+
+
+def _letters(text: str) -> str:
+    """Lower-case letters and digits of the compatibility form."""
+    return "".join(c for c in unicodedata.normalize("NFKC", text).lower() if unicodedata.category(c)[0] in "LN")
+
+
+class _Pass:
+    """Words in order of start that come into reach of regions in order of start, and leave it for good."""
+
+    def __init__(self, words: list[dict]):
+        self.waiting, self.at, self.near, self.gone = words, 0, [], []
+
+    def inside(self, start: float, end: float) -> list[dict]:
+        while self.at < len(self.waiting) and self.waiting[self.at]["start"] < end:
+            self.near.append(self.waiting[self.at])
+            self.at += 1
+        left = [w for w in self.near if w["end"] <= start]
+        if left:  # later regions start no earlier
+            self.gone += left
+            self.near = [w for w in self.near if w["end"] > start]
+        return sorted((w for w in self.near if w["start"] < end), key=lambda w: w["order"])
+
+    def replace(self, old: list[dict], new: list[dict]) -> None:
+        out = {id(w) for w in old}
+        self.near = [w for w in self.near if id(w) not in out] + new
+
+    def all(self) -> list[dict]:
+        return self.gone + self.near + self.waiting[self.at :]
+
+
+def _side(words: list[dict], start: float, end: float) -> tuple[float, str, float | None]:
+    """Uncovered edges, text and mean score of a region's words."""
+    if not words:
+        return (end - start) * 2, "", None
+    lo, hi = min(w["start"] for w in words), max(w["end"] for w in words)
+    scores = [w["score"] for w in words if w["score"] is not None and w["score"] == w["score"]]
+    edges = max(0.0, max(start, lo) - start) + max(0.0, end - min(end, hi))
+    return edges, _letters("".join(w["text"] for w in words)), sum(scores) / len(scores) if scores else None
+
+
+def _takes(before: tuple, after: tuple, had_words: bool) -> bool:
+    """The candidate is better covered or longer (letters and digits have no marks, so each is one grapheme), and its score has not dropped much."""
+    edge, gain = before[0] - after[0], len(after[1]) - len(before[1])
+    same = before[1] != "" and before[1] == after[1]
+    better = not had_words or (same and edge >= EDGE_GAIN) or gain >= TEXT_GAIN or (gain >= SMALL_TEXT_GAIN and edge >= SMALL_EDGE_GAIN) or (gain >= 1 and edge >= EDGE_GAIN)
+    return better and (before[2] is None or after[2] is None or after[2] >= before[2] - SCORE_DROP)
+
+
+def fold_run(regions: list[dict], words: list[dict], candidates: list[dict], reason: str) -> list[dict]:
+    """The words of a run of regions, decided one by one in order of start: each region sees what the ones before have left."""
+    def ordered(rows, origin: str) -> list[dict]:
+        seen = {w["word_idx"]: dict(w, origin=origin, order=(w["start"], w["word_idx"], origin)) for w in rows}
+        return sorted(seen.values(), key=lambda w: w["order"])
+
+    now, other = _Pass(ordered(words, "kept")), _Pass(ordered(candidates, "retry"))
+    for r in sorted(regions, key=lambda r: (r["start"], r["region_idx"])):
+        a, b = now.inside(r["start"], r["end"]), other.inside(r["start"], r["end"])
+        before, after = _side(a, r["start"], r["end"]), _side(b, r["start"], r["end"])
+        wins = bool(b) and _takes(before, after, bool(a))
+        if not wins and (not before[1] or not after[1] or before[1] == after[1]):
+            continue
+        pairs = common_pairs([w["key"] for w in a], [w["key"] for w in b])
+        if wins:
+            known = {j: a[i] for i, j in pairs}
+            waits = {"needs_review": True, "review_status": "pending", "review_reason": "coverage-retry"}
+            now.replace(a, [dict(w, **{k: known[j][k] for k in waits} if j in known else waits) for j, w in enumerate(b)])
+        else:
+            matched = {i for i, _ in pairs}
+            for i, w in enumerate(a):
+                if i not in matched and w["review_status"] != "edited":
+                    w.update(needs_review=True, review_status="pending", review_reason=reason)
+    return now.all()
+
+
+def region_runs(sides: DataFrame) -> DataFrame:
+    """sides (project_id, region_idx, start, end, reach) with run: regions that can see each other's decisions, by themselves or by words in both."""
     w = Window.partitionBy("project_id").orderBy("start", "region_idx")
-    new = F.col("start") >= F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = regions.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int"))
-    runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.withColumn("layer", F.row_number().over(Window.partitionBy("project_id", "_run").orderBy("start", "region_idx"))).drop("_new", "_run")
+    new = F.col("start") >= F.max("reach").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return sides.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
 def merge_passes(words: DataFrame, candidates: DataFrame, regions: DataFrame, reason: str = "pass-disagreement") -> DataFrame:
     """One decision for each retried region, in order of start: take the candidate, mark the disagreement, or leave the words.
 
-    Where regions overlap, a later one sees what the earlier one has left: regions are decided in layers of disjoint ones. Each layer
-    joins either pass with its regions once and is written down. word_idx is that of the pass a word comes from (origin: kept or retry).
+    Where regions overlap, or share a word, a later one sees what the earlier one has left. Such regions make a run: each pass is joined with
+    its regions once, and a run with its words is folded in one task, so the number of shuffles doesn't depend on how long a chain of
+    overlaps is. word_idx is that of the pass a word comes from (origin: kept or retry).
     """
-    layered = region_layers(regions)
-    layers = layered.agg(F.max("layer")).first()[0] or 0
-    if layers <= 1:
-        sides = region_sides(words, candidates, regions).withColumn("wins", _wins())
-        return _decided(words, candidates, sides.where(F.col("wins") | _differ()), reason).drop("score")
-    # numbers that stay apart when words of both passes are in one table
-    now, other = (rows.withColumn("word_idx", F.col("word_idx") * 2 + odd) for rows, odd in ((words, 0), (candidates, 1)))
-    for layer in range(1, layers + 1):
-        sides = region_sides(now, other, layered.where(F.col("layer") == layer).drop("layer")).withColumn("wins", _wins())
-        now = cut(_decided(now, other, sides.where(F.col("wins") | _differ()), reason))
-    return now.withColumn("word_idx", F.floor(F.col("word_idx") / 2)).drop("score")
+    spans = regions.select("project_id", "region_idx", "start", "end")
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def side(rows: DataFrame, tag: str, review: bool) -> DataFrame:
+        state = ["needs_review", "review_status", _reason(rows).alias("review_reason")] if review else [none("boolean").alias("needs_review"), none("string").alias("review_status"), none("string").alias("review_reason")]
+        slim = rows.select("project_id", "word_idx", "text", "start", "end", word_key(F.col("text")).alias("key"), _score(rows).cast("double").alias("score"), *state)
+        word = F.struct("word_idx", "text", "start", "end", "key", "score", "needs_review", "review_status", "review_reason")
+        found = interval_join(slim, as_right(spans), ["project_id"]).groupBy("project_id", "region_idx")
+        return found.agg(F.max("end").alias(f"hi_{tag}"), F.collect_list(word).alias(f"words_{tag}"))
+
+    a, b = side(words, "a", True), side(candidates, "b", False)
+    sides = spans.join(a, ["project_id", "region_idx"], "left").join(b, ["project_id", "region_idx"], "left")
+    sides = region_runs(sides.withColumn("reach", F.greatest("end", "hi_a", "hi_b")))
+    runs = sides.groupBy("project_id", "run").agg(
+        F.collect_list(F.struct("region_idx", "start", "end")).alias("regions"), F.flatten(F.collect_list("words_a")).alias("words"), F.flatten(F.collect_list("words_b")).alias("candidates")
+    )
+
+    @F.pandas_udf(_DECIDED)
+    def decided(spans: pd.Series, olds: pd.Series, news: pd.Series) -> pd.Series:
+        return pd.Series([fold_run(list(r), list(o), list(n), reason) for r, o, n in zip(spans, olds, news, strict=True)])
+
+    folded = runs.select("project_id", F.explode(decided("regions", "words", "candidates")).alias("w")).select("project_id", "w.*")
+    met = a.select("project_id", F.explode("words_a").alias("w")).select("project_id", "w.word_idx").distinct()
+    rest = words.join(met, ["project_id", "word_idx"], "left_anti").select(*_WORD, "needs_review", "review_status", _reason(words).alias("review_reason"), F.lit("kept").alias("origin"))
+    return rest.unionByName(folded)
 
 
 # --- scans over a project's words -------------------------------------------------------------------------------------
@@ -244,9 +333,14 @@ def _clamped(rows: pd.Series) -> pd.Series:
 def align_words_to_regions(words: DataFrame, best: DataFrame, regions: DataFrame) -> DataFrame:
     """Words inside their best region, after the kept word before; changed or short words wait for review with a lower score.
 
-    best: best_region_per_word(words, regions). Projects without regions keep their words as they are.
+    best: best_region_per_word(words, regions). Projects without regions keep their words as they are. A kept word ends in its region, so
+    a word that starts (in its own region) after the ends of all regions before doesn't depend on any word before: there the
+    project is cut, and only pieces of speech whose regions overlap are scanned as one.
     """
-    lists = _collected(best, ["word_idx"], ["start", "end", "region_start", "region_end"])
+    w = by_project().orderBy("word_idx")
+    apart = F.greatest("start", "region_start", F.lit(0.0)) >= F.max("region_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = best.withColumn("_cut", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("piece", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    lists = _collected(pieces, ["word_idx"], ["start", "end", "region_start", "region_end"], by=("project_id", "piece"))
     times = lists.select("project_id", F.explode(_clamped("rows")).alias("t")).select("project_id", "t.word_idx", F.col("t.start").alias("new_start"), F.col("t.end").alias("new_end"))
     joined = words.join(times, ["project_id", "word_idx"]).join(best.select("project_id", "word_idx", "region_idx"), ["project_id", "word_idx"])
     moved = (F.abs(F.col("new_start") - F.col("start")) > 0.02) | (F.abs(F.col("new_end") - F.col("end")) > 0.02)
@@ -267,30 +361,43 @@ def align_words_to_regions(words: DataFrame, best: DataFrame, regions: DataFrame
     return out.unionByName(rest.select(*out.columns))
 
 
-@vectorised("array<struct<first:int,count:int,term:string>>")
-def _greedy_terms(keys: pd.Series, terms: pd.Series) -> pd.Series:
+MOST_WORDS = 10
+
+
+@vectorised("array<int>")
+def _from_the_left(firsts: pd.Series, counts: pd.Series) -> pd.Series:
+    """Of runs that overlap in a row, in order of their first words: the indexes of those taken, each behind the one taken before."""
     out = []
-    for words, known in zip(keys, terms, strict=True):
-        table = {t["key"]: t["term"] for t in reversed(list(known))} if known is not None else {}
-        longest = max(map(len, table), default=0)
-        found, i = [], 0
-        while i < len(words):
-            hit, key = None, ""
-            for j in range(i, min(len(words), i + 10)):
-                key += words[j]
-                if len(key) > longest:
-                    break
-                if key in table:
-                    hit = (j + 1 - i, table[key])
-            count, term = hit or (1, None)
-            found.append({"first": i, "count": count, "term": term})
-            i += count
-        out.append(found)
+    for first, count in zip(firsts, counts, strict=True):
+        taken, free = [], 0
+        for i, (a, n) in enumerate(zip(first.tolist(), count.tolist(), strict=True)):
+            if not taken or a >= free:
+                taken.append(i)
+                free = a + n
+        out.append(taken)
     return pd.Series(out)
 
 
-def _field(name: str):
-    return lambda x: x[name]
+def term_runs(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(project_id, place, count, term): the runs of up to MOST_WORDS words that spell a term, longest first, from the left.
+
+    words: (project_id, place, key), places without gaps. Each word's runs, up to the length of the project's longest term, are looked up among
+    the terms by a join on project and spelling. Only runs that overlap in a row are scanned together, so no project is one list.
+    """
+    squeeze = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+    known = terms.groupBy("project_id", squeeze(F.col("term")).alias("spelt")).agg(F.min_by("term", "term_idx").alias("term"))
+    longest = known.groupBy("project_id").agg(F.max(F.length("spelt")).alias("longest"))
+    w = Window.partitionBy("project_id").orderBy("place")
+    ahead = words.select("project_id", "place", F.collect_list("key").over(w.rowsBetween(0, MOST_WORDS - 1)).alias("keys")).join(longest, "project_id")
+    spelt = F.transform("keys", lambda x, i: F.array_join(F.slice("keys", F.lit(1), i + 1), ""))
+    spelt = ahead.select("project_id", "place", F.posexplode(F.filter(F.transform(spelt, lambda x: F.when(F.length(x) <= F.col("longest"), x)), lambda x: x.isNotNull())).alias("more", "spelt"))
+    hits = spelt.join(known, ["project_id", "spelt"]).groupBy("project_id", "place").agg(F.max(F.struct((F.col("more") + 1).alias("count"), "term")).alias("hit"))
+    hits = hits.select("project_id", "place", "hit.count", "hit.term")
+    apart = F.col("place") >= F.max(F.col("place") + F.col("count")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    chains = hits.withColumn("_cut", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("chain", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    lists = chains.groupBy("project_id", "chain").agg(F.sort_array(F.collect_list(F.struct("place", "count", "term"))).alias("r"))
+    taken = F.transform(_from_the_left(F.transform("r", lambda x: x["place"]), F.transform("r", lambda x: x["count"])), lambda i: F.get("r", i))
+    return lists.select("project_id", F.explode(taken).alias("t")).select("project_id", "t.*")
 
 
 def apply_glossary(words: DataFrame, terms: DataFrame) -> DataFrame:
@@ -299,31 +406,30 @@ def apply_glossary(words: DataFrame, terms: DataFrame) -> DataFrame:
     terms: (project_id, term_idx, term), at most 200 a project. A merged word has all fields of its first word, but the last one's end, the
     means of each score, and waits for review where one of them does. Other words stay as they are.
     """
-    squeeze = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
-    known = terms.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("term_idx", squeeze(F.col("term")).alias("key"), "term"))).alias("terms"))
     fields = [c for c in words.columns if c != "project_id"]
-    lists = words.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", squeeze(F.col("text")).alias("key"), F.struct(*fields).alias("w")))).alias("rows"))
-    empty = F.array().cast("array<struct<key:string,term:string>>")
-    slim = F.coalesce(F.transform("terms", lambda t: F.struct(t["key"].alias("key"), t["term"].alias("term"))), empty)
-    hits = lists.join(known, "project_id", "left").select("project_id", "rows", F.explode(_greedy_terms(F.transform("rows", lambda r: r["key"]), slim)).alias("h"))
-    part = hits.select("project_id", "h.term", F.transform(F.slice("rows", F.col("h.first") + 1, F.col("h.count")), lambda r: r["w"]).alias("m"))
-    first, last = F.element_at("m", 1), F.element_at("m", -1)
-    merged = F.col("term").isNotNull()
-
-    def mean(value) -> Column:
-        some = F.filter(F.transform("m", value), lambda s: s.isNotNull() & ~F.isnan(s))
-        return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda a, s: a + s) / F.size(some))
-
-    new = {"text": F.col("term"), "end": last["end"]}
+    placed = words.withColumn("_place", F.row_number().over(by_project().orderBy("word_idx")))
+    key = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", ""))
+    runs = term_runs(placed.select("project_id", F.col("_place").alias("place"), key.alias("key")), terms)
+    members = runs.select("project_id", "place", "count", "term", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("count") - 1)).alias("_place"))
+    joined = placed.join(members, ["project_id", "_place"], "left")
+    rest = joined.where("term IS NULL").select("project_id", *fields, F.lit(1).alias("n_merged"))
+
+    def mean(value: Column) -> Column:
+        return F.avg(F.nanvl(value.cast("double"), F.lit(None)))
+
+    new = {"end": F.max_by("end", "_place")}
     for name in ("score", "review_score", "confidence"):
         if name in fields:
-            new[name] = mean(_field(name))
+            new[name] = mean(F.col(name))
     if "raw_confidence" in fields:
-        new["raw_confidence"] = mean(lambda x: F.coalesce(x["raw_confidence"], x["confidence"]) if "confidence" in fields else x["raw_confidence"])
+        new["raw_confidence"] = mean(F.coalesce("raw_confidence", "confidence") if "confidence" in fields else F.col("raw_confidence"))
     if "needs_review" in fields:
-        new["needs_review"] = F.exists("m", lambda x: x["needs_review"])
-    columns = [F.when(merged, new[f]).otherwise(first[f]).alias(f) if f in new else first[f].alias(f) for f in fields]
-    return part.select("project_id", *columns, F.size("m").alias("n_merged"))
+        new["needs_review"] = F.bool_or(F.coalesce("needs_review", F.lit(False)))
+    merged = joined.where("term IS NOT NULL").groupBy("project_id", "place", "term").agg(
+        F.min_by(F.struct(*fields), "_place").alias("_first"), F.count("*").cast("int").alias("n_merged"), *[c.alias(f"_{name}") for name, c in new.items()]
+    )
+    columns = [F.col("term").alias("text") if f == "text" else F.col(f"_{f}").alias(f) if f in new else F.col(f"_first.{f}").alias(f) for f in fields]
+    return rest.unionByName(merged.select("project_id", *columns, "n_merged"))
 
 
 def balanced_cuts(size, start, end, space, unsafe, target: int, soft_pause: float, max_duration: float, max_chars: int) -> list[int]:
