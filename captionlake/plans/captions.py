@@ -314,6 +314,45 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
     return r6(rows.select("project_id", "style_keys", "place", "c.start", "c.end", "c.text"), "start", "end")
 
 
+def _project_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Projects as they are stored: every part a JSON text, each of them missing in some."""
+    words, regions = table(spark, d, "words"), table(spark, d, "regions")
+    listed = lambda c: F.sort_array(F.collect_list(c))
+    parts = words.groupBy("project_id").agg(listed(F.struct("word_idx", "text", "score")).alias("w"))
+    spans = regions.groupBy("project_id").agg(listed(F.struct("start", "end", F.col("region_idx").cast("string").alias("id"))).alias("r"))
+    rules = F.transform(F.filter("w", lambda x: x["word_idx"] < 3), lambda x: F.struct(x["text"].alias("from"), F.reverse(x["text"]).alias("to")))
+    unless = lambda n, c: F.when(F.col("project_id") % n != 0, F.to_json(c))
+    style = F.struct(F.concat(F.lit("Font "), F.col("project_id").cast("string")).alias("font"), (F.col("project_id") % 9 + 2).cast("string").alias("fontSizePct"))
+    return parts.join(spans, "project_id", "left").select(
+        "project_id", unless(4, style).alias("style_json"), unless(5, F.transform("w", lambda x: x["score"])).alias("waveform_json"), unless(3, F.coalesce("r", F.expr("filter(array(named_struct('start', 0D, 'end', 0D, 'id', '')), x -> false)"))).alias("speech_regions_json"),
+        unless(7, rules).alias("dub_pronunciations_json"),
+    )
+
+
+@query(
+    "s10_load_project_columns",
+    duck("regions", """, w AS (SELECT project_id, count(*) AS n, sum(score) AS total, arg_min(text, word_idx) AS first, count_if(word_idx < 3) AS rules FROM words GROUP BY project_id),
+r AS (SELECT project_id, count(*) AS n, min(start) AS a, max("end") AS b FROM regions GROUP BY project_id)
+SELECT w.project_id, CASE WHEN w.project_id % 4 <> 0 THEN 'Font ' || w.project_id END AS font, CASE WHEN w.project_id % 4 <> 0 THEN CAST(w.project_id % 9 + 2 AS VARCHAR) END AS size, CASE WHEN w.project_id % 5 <> 0 THEN w.n ELSE 0 END AS peaks,
+ CASE WHEN w.project_id % 5 <> 0 THEN round(total, 6) END AS peak_sum, CASE WHEN w.project_id % 3 <> 0 THEN coalesce(r.n, 0) ELSE 0 END AS n_regions, CASE WHEN w.project_id % 3 <> 0 THEN round(a, 6) END AS first_start,
+ CASE WHEN w.project_id % 3 <> 0 THEN round(b, 6) END AS last_end, CASE WHEN w.project_id % 7 <> 0 THEN rules ELSE 0 END AS rules, CASE WHEN w.project_id % 7 <> 0 THEN first END AS said, CASE WHEN w.project_id % 7 <> 0 THEN reverse(first) END AS spoken
+ FROM w LEFT JOIN r USING (project_id)"""),
+)
+def s10_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Style, waveform, regions and pronunciations of stored projects, parsed again."""
+    rows = files.load_projects(_project_rows(spark, d))
+    size = lambda c: F.size(c).cast("long")
+    total = F.when(F.size("waveform") > 0, F.aggregate("waveform", F.lit(0.0), lambda a, x: a + x))
+    return r6(
+        rows.select(
+            "project_id", F.col("style")["font"].alias("font"), F.col("style")["fontSizePct"].alias("size"), size("waveform").alias("peaks"), total.alias("peak_sum"), size("speech_regions").alias("n_regions"),
+            F.array_min(F.transform("speech_regions", lambda x: x["start"])).alias("first_start"), F.array_max(F.transform("speech_regions", lambda x: x["end"])).alias("last_end"), size("pronunciations").alias("rules"),
+            F.get("pronunciations", F.lit(0))["from"].alias("said"), F.get("pronunciations", F.lit(0))["to"].alias("spoken"),
+        ),
+        "peak_sum", "first_start", "last_end",
+    )
+
+
 @query("s11_ground_truth")
 def s11(spark: SparkSession, d: str) -> DataFrame:
     """Both passes of each project stored as the JSON of a ground truth fixture, parsed again: the reference's words."""
@@ -380,6 +419,21 @@ def a4(spark: SparkSession, d: str) -> DataFrame:
     return r6(out, "baseline_wer", "candidate_wer", "baseline_cer", "candidate_cer", "median_boundary_error")
 
 
+def _own_regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Regions of every second project, and the candidate pass's for all: every third of them half as long."""
+    regions = table(spark, d, "regions")
+    half = F.when(F.col("region_idx") % 3 == 0, (F.col("start") + F.col("end")) / 2).otherwise(F.col("end"))
+    return regions.where("project_id % 2 = 0"), regions.withColumn("end", half)
+
+
+@query("a4_evaluate_without_regions")
+def a4_without(spark: SparkSession, d: str) -> DataFrame:
+    """Fixtures of which half have no regions of their own."""
+    words, (own, second) = table(spark, d, "words"), _own_regions(spark, d)
+    out = quality.evaluate_fixtures(words, _baseline(words), table(spark, d, "candidate_words"), own, "english", second)
+    return r6(out, "baseline_wer", "candidate_wer", "baseline_cer", "candidate_cer", "median_boundary_error")
+
+
 @query("a5_quality_report")
 def a5(spark: SparkSession, d: str) -> DataFrame:
     return r6(quality.quality_report(a4(spark, d)), "baseline_wer", "candidate_wer", "wer_improvement", "median_boundary_error")
@@ -486,6 +540,24 @@ def c11(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("project_id", "caption_idx", media.apply_pronunciations(F.col("text"), F.coalesce("rules", F.expr("filter(array(named_struct('source', '', 'target', '')), r -> false)"))).alias("spoken"))
 
 
+_MOOD_WORDS = "|".join(words for _, words in media.MOODS).split("|")
+_MOOD_CASE = " ".join(f"WHEN regexp_matches(lower(said), '{words}') THEN '{name}'" for name, words in media.MOODS)
+
+
+@query(
+    "c15_emotion_of_captions",
+    duck("words", f""", {_FIVE}, k AS (SELECT {_MOOD_WORDS} AS k),
+s AS (SELECT project_id, caption_idx, text || CASE WHEN caption_idx % 3 = 0 THEN k[caption_idx % len(k) + 1] ELSE '' END || CASE WHEN caption_idx % 6 = 0 THEN ' ' || k[(caption_idx * 7 + project_id) % len(k) + 1] ELSE '' END AS said FROM cap, k)
+SELECT project_id, caption_idx, CASE {_MOOD_CASE} ELSE 'normal' END AS mood FROM s"""),
+)
+def c15_captions(spark: SparkSession, d: str) -> DataFrame:
+    """Whole captions: most without a mood's word, some with one of all of them, some with two."""
+    pick = lambda i: F.get(F.array(*map(F.lit, _MOOD_WORDS)), (i % len(_MOOD_WORDS)).cast("int"))
+    i = F.col("caption_idx")
+    said = F.concat("text", F.when(i % 3 == 0, pick(i)).otherwise(""), F.when(i % 6 == 0, F.concat(F.lit(" "), pick(i * 7 + F.col("project_id")))).otherwise(""))
+    return five_captions(table(spark, d, "words")).select("project_id", "caption_idx", media.emotion_category(said).alias("mood"))
+
+
 @query("c15_emotion_category")
 def c15(spark: SparkSession, d: str) -> DataFrame:
     """Every word with a mood's name before or after it."""

@@ -229,12 +229,13 @@ def lcs(a, b):
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """The plain table, a row at a time: a running minimum stands for the steps to the right."""
+    codes = {k: i for i, k in enumerate({*a, *b})}
+    right, place = np.array([codes[x] for x in b], int), np.arange(len(b) + 1)
+    row = place
     for i, x in enumerate(a, 1):
-        row, before = [i], row
-        for j, y in enumerate(b, 1):
-            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
-    return row[-1]
+        row = np.minimum.accumulate(np.append(i, np.minimum(row[1:] + 1, row[:-1] + (right != codes[x]))) - place) + place
+    return int(row[-1])
 
 
 @pytest.fixture(scope="module")
@@ -325,6 +326,48 @@ def test_a1_on_whole_tables(spark, speech):
     assert {r.project_id: r.wer for r in registry.QUERIES["a1_word_error_rate"](spark, SMALL).collect()} == pytest.approx(want)
 
 
+@tables
+def test_a4_and_a5_on_whole_tables(spark, speech):
+    """All scores of both fixture queries by plain Python, the regions' fallback included, and the report's row from them."""
+    from captionlake.plans import captions, registry
+
+    clean = lambda t: re.sub(r"[\W_]+", "", t.lower())
+    by = {}
+    for name in ("words", "candidate_words"):
+        for w in speech[name].sort_values(["project_id", "word_idx"]).itertuples():
+            by.setdefault(w.project_id, {}).setdefault(name, []).append(w)
+    own, second = (t.toPandas() for t in captions._own_regions(spark, SMALL))
+    full = speech["regions"]
+    spans_of = lambda table, p: [(r.start, r.end) for r in table[table.project_id == p].itertuples()]
+    for query, regions_of in (("a4_evaluate_fixtures", lambda p: spans_of(full, p)), ("a4_evaluate_without_regions", lambda p: spans_of(own, p) or spans_of(second, p))):
+        got = {r.project_id: r for r in registry.QUERIES[query](spark, SMALL).collect()}
+        assert {*got} == {p for p in by if "words" in by[p]}
+        for p, sides in by.items():
+            a, b = sides["words"], sides.get("candidate_words", [])
+            base = [w for w in a if w.word_idx % 5]
+            tokens = lambda ws: [t for t in (clean(w.text) for w in ws) if t]
+            wer = lambda ws, a=a: distance(tokens(a), tokens(ws)) / len(tokens(a))
+            cer = lambda ws, a=a: distance("".join(tokens(a)), "".join(tokens(ws))) / len("".join(tokens(a)))
+            assert (got[p].baseline_wer, got[p].candidate_wer) == pytest.approx((wer(base), wer(b)), abs=1e-6)
+            assert (got[p].baseline_cer, got[p].candidate_cer) == pytest.approx((cer(base), cer(b)), abs=1e-6)
+            used, off = {}, []
+            for w in b:
+                used.setdefault(clean(w.text), []).append(w)
+            for w in a:
+                if used.get(clean(w.text)):
+                    v = used[clean(w.text)].pop(0)
+                    off += [abs(v.start - w.start), abs(v.end - w.end)]
+            assert got[p].median_boundary_error == pytest.approx(float(np.median(off)), abs=1e-6)
+            silent = sum(max([0.0, *(min(w.end, e) - max(w.start, s) for s, e in regions_of(p))]) / max(0.001, w.end - w.start) < 0.45 for w in b)
+            assert got[p].silent_word_count == silent
+        if query == "a4_evaluate_fixtures":
+            report = registry.QUERIES["a5_quality_report"](spark, SMALL).first()
+            mean = lambda name, got=got: float(np.mean([r[name] for r in got.values()]))
+            assert (report.baseline_wer, report.candidate_wer) == pytest.approx((mean("baseline_wer"), mean("candidate_wer")), abs=1e-5)
+            assert report.median_boundary_error == sorted(r.median_boundary_error for r in got.values())[len(got) // 2]
+            assert report.silent_word_count == sum(r.silent_word_count for r in got.values())
+
+
 @tables
 def test_w5_on_whole_tables(spark):
     """Each phrase has the least cost that any way of grouping it has, and all words are in captions."""
