@@ -9,7 +9,8 @@ The places that share a block of n lines are a longest-common-prefix interval of
 the first of them are later copies. The interval of any depth is named by the names of the block's first and last 2^k lines
 (2^k <= n < 2^(k+1)). A maximal repeated run of MIN_WORDS words or more is the union of its shortest blocks with so many words: those
 that start at one of its lines and those that end at one. They have at most MIN_WORDS lines, so intervals of greater depth
-need not be formed. Later copies of these blocks are joined into runs in each document, and all lines of the runs go.
+need not be formed. Later copies of these blocks are joined into runs in each document, and all lines of the runs go, but
+for those inside the first copy itself: where a line repeats itself, the copies of a block overlap, and the first one stays whole.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def _named(rows: DataFrame) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line, lines): blocks of lines with enough words that an earlier place also has."""
+    """(doc_id, line, lines): blocks of lines with enough words that an earlier place also has, without lines of that first copy."""
     rows = text_lines(docs, min_words)
     twice = rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
     again = materialize(rows.join(twice, ["k1", "k2"]))
@@ -107,7 +108,9 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         part = part.withColumn("at", F.col("place") + F.col("lines") - step).join(last, "at")
         # the depth goes into the second key: intervals of other depths may share both names
         part = part.select("place", "doc_id", "line", "lines", F.col("first").alias("k1"), F.struct("last", "lines").alias("k2"))
-        part = _named(part).where("name < place").select("doc_id", "line", "lines")
+        # a copy that overlaps the first one loses what lies behind it only
+        over = F.greatest(F.lit(0), F.col("name") + F.col("lines") - F.col("place")).cast("int")
+        part = _named(part).where("name < place").select("doc_id", (F.col("line") + over).alias("line"), (F.col("lines") - over).alias("lines"))
         found = part if found is None else found.unionByName(part)
         if 2 * step > min_words or now.isEmpty():
             discard(blocks, *held)

@@ -6,6 +6,10 @@ over all rows of the group: distances, the cut that holds the nearest CORE of th
 those rows by grouped sums. The estimate of least determinant stays, is reweighted by the rows within a chi-square quantile of it, and
 documents beyond a far chi-square quantile of the result are rejected. Only small linear algebra on a row per group runs in Python.
 
+One rule holds for groups of any size: the estimate of n rows is mixed with that of its language, n less 5 to PRIOR_ROWS, that of a language with
+that of all rows, and that of all rows with a wide one. So a source of a few documents is judged mostly by its language,
+and one of thousands by itself.
+
 All variances are raised by that of counting itself (FLOOR, as in regularised MCD), as most statistics of clean texts hardly vary.
 """
 
@@ -34,8 +38,10 @@ STARTS = 4
 SAMPLE, SUBSETS = 500, 50
 #: Part of a normal group that takes part in the reweighting (the usual one), and part that the final cut rejects: one in a million.
 REWEIGHTED, REJECTED = 0.975, 1e-6
-#: Smaller groups have fewer than 20 rows for each dimension; their rows are judged by the estimate of all rows of their language.
-MIN_GROUP = 100
+#: How many rows, beyond one for each statistic, an estimate must have to weigh as much as the wider one that it is drawn towards: five for each statistic.
+PRIOR_ROWS = 25
+#: Standard deviation of each transformed statistic where nothing is known: what the estimate of all rows is drawn towards.
+WIDE = 1.0
 #: Standard deviation of each transformed statistic by counting alone, in the shortest text that passes the base rule: a root of counts over n
 #: has the variance 1 / 4n (three words at a time for repeats), a logarithm of n counts 1 / n; words have about 5 characters, and their length varies by half.
 FLOOR = {
@@ -245,30 +251,53 @@ def robust_fit(rows: DataFrame) -> DataFrame:
     return out
 
 
+def _drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Estimates (grp, n, mean, inverse) mixed with wider ones (wide_mean, wide_inverse; null: around the own mean, WIDE in each statistic).
+
+    Mean and covariance are those of a mixture of both: the covariances' mean, and what the two means differ by.
+    """
+    d = len(DIMS)
+    for pdf in batches:
+        means, inverses = [], []
+        for r in pdf.itertuples():
+            free = max(0.0, r.n - d)  # so few rows as statistics say nothing by themselves
+            mean, cov, part = np.array(r.mean), np.linalg.inv(np.array(r.inverse).reshape(d, d)), free / (free + PRIOR_ROWS)
+            wide = (mean, np.eye(d) * WIDE**2) if r.wide_mean is None else (np.array(r.wide_mean), np.linalg.inv(np.array(r.wide_inverse).reshape(d, d)))
+            apart = mean - wide[0]
+            means.append((part * mean + (1 - part) * wide[0]).round(9))
+            inverses.append(np.linalg.inv(part * cov + (1 - part) * wide[1] + part * (1 - part) * np.outer(apart, apart)).reshape(-1).round(9))
+        yield pd.DataFrame({"grp": pdf["grp"], "mean": means, "inverse": inverses})
+
+
+def _mixed(fit: DataFrame, sizes: DataFrame, wider: DataFrame | None) -> DataFrame:
+    """fit (grp, mean, inverse) of the groups in sizes (grp, n, parent), drawn towards the estimates of their parents."""
+    rows = fit.select("grp", "mean", "inverse").join(sizes, "grp")
+    if wider is None:
+        none = F.lit(None).cast("array<double>")
+        rows = rows.withColumns({"wide_mean": none, "wide_inverse": none})
+    else:
+        rows = rows.join(wider.select(F.col("grp").alias("parent"), F.col("mean").alias("wide_mean"), F.col("inverse").alias("wide_inverse")), "parent")
+    shape = "grp string, mean array<double>, inverse array<double>"
+    return materialize(rows.select("grp", F.col("n").cast("double").alias("n"), "mean", "inverse", "wide_mean", "wide_inverse").mapInPandas(_drawn, shape))
+
+
 def robust_outliers(stats: DataFrame) -> DataFrame:
     """Add distance (squared) and kept_by_fit: false where the row lies far outside the robust centre of its language and source.
 
-    Rows of groups under MIN_GROUP rows are judged by all rows of their language, and where these are too few, by all rows; a
-    table with fewer rows than that has no outliers (distance null).
+    Estimates are made for each language and source, each language, and all rows, and mixed from the widest to the narrowest.
     """
-    own = F.concat_ws("\x01", "lang", "source")
+    own, of_lang, every = F.concat_ws("\x01", F.lit("s"), "lang", "source"), F.concat_ws("\x01", F.lit("l"), "lang"), F.lit("a")
     rows = _transformed(stats).withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
+    rows = materialize(rows.withColumn("own", own))
     sizes = materialize(rows.groupBy("lang", "source").agg(F.count("*").alias("n")))  # a row for each language and source
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    enough = lambda n: n >= MIN_GROUP
-    of_lang = F.sum("n").over(Window.partitionBy("lang"))
-    judge = F.when(enough(F.col("n")), own).when(enough(of_lang), F.concat(F.lit("\x02"), "lang")).when(F.lit(enough(total)), F.lit("\x03"))
-    groups = materialize(sizes.select("lang", "source", judge.alias("judge")))
-    needed = groups.groupBy("judge").count().select(F.col("judge").alias("grp"))
-    spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = materialize(rows.join(spread, ["lang", "source", "salt"]))
-    # a row takes part in the estimate of its own group, and in wider ones where some small group needs them
-    wide = rows.select(F.explode(F.array(own, F.concat(F.lit("\x02"), "lang"), F.lit("\x03"))).alias("grp"), "salt", *DIMS)
-    fit = robust_fit(materialize(_join_group(wide, needed)))
-    judged = _distances(rows.where("judge IS NOT NULL").withColumn("grp", F.col("judge")), fit).withColumn("distance", F.col("d2"))
-    judged = judged.withColumn("kept_by_fit", F.col("distance") <= chi_square_quantile(1 - REJECTED, len(DIMS)))
-    alone = rows.where("judge IS NULL").withColumns({"distance": F.lit(None).cast("double"), "kept_by_fit": F.lit(True)})
-    return judged.select(*alone.columns).unionByName(alone)
+    in_groups = materialize(rows.select(F.explode(F.array("own", of_lang, every)).alias("grp"), "salt", *DIMS))
+    fit = robust_fit(in_groups)
+    everything = _mixed(fit, sizes.agg(F.sum("n").alias("n")).select(every.alias("grp"), "n", F.lit("").alias("parent")), None)
+    langs = _mixed(fit, sizes.groupBy("lang").agg(F.sum("n").alias("n")).select(of_lang.alias("grp"), "n", every.alias("parent")), everything)
+    owns = _mixed(fit, sizes.select(own.alias("grp"), "n", of_lang.alias("parent")), langs)
+    discard(in_groups, fit, everything, langs, sizes)
+    judged = _distances(rows.withColumn("grp", F.col("own")), owns.withColumn("start", F.lit(0))).withColumn("distance", F.col("d2"))
+    return judged.withColumn("kept_by_fit", F.col("distance") <= chi_square_quantile(1 - REJECTED, len(DIMS)))
 
 
 def quality_rules(docs: DataFrame, **columns: str) -> DataFrame:
@@ -277,7 +306,7 @@ def quality_rules(docs: DataFrame, **columns: str) -> DataFrame:
     Cases: null and empty texts have no words, so the base rule rejects them; null lang or source count as an own
     (empty) name; equal rows get equal verdicts; repeated ids give one row each; a very long text is counted whole in one
     task; an empty table gives no rows; other columns are ignored, whatever their names. Only rows that pass the base rule enter
-    the fit, so junk doesn't shape the estimates. distance is squared, and null where the base rule or nothing judged the row.
+    the fit, so junk doesn't shape the estimates. distance is squared, and null where the base rule has judged the row.
     """
     stats = materialize(
         text_statistics(docs, **columns).withColumn(

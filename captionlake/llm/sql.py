@@ -18,7 +18,7 @@ b AS (SELECT doc_id, l, n, i, unnest(range(1, least(20, len(l) - i + 1) + 1)) AS
 s AS (SELECT doc_id, i, k, md5(array_to_string(l[i:i + k - 1], chr(10))) || ':' || k AS h FROM b
  WHERE list_sum(n[i:i + k - 1]) >= 20 AND (list_sum(n[i:i + k - 1]) - n[i] < 20 OR list_sum(n[i:i + k - 1]) - n[i + k - 1] < 20)),
 f AS (SELECT h, min({{'d': doc_id, 'i': i}}) AS first FROM s GROUP BY h),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS line FROM s JOIN f USING (h) WHERE first < {{'d': doc_id, 'i': i}}),
+gone AS (SELECT DISTINCT doc_id, unnest(range(greatest(i, CASE WHEN first.d = doc_id THEN first.i + k ELSE 0 END), i + k)) AS line FROM s JOIN f USING (h) WHERE first < {{'d': doc_id, 'i': i}}),
 x AS (SELECT doc_id, unnest(every) AS body, generate_subscripts(every, 1) AS place FROM a),
 y AS (SELECT *, regexp_matches(body, '{_WORD}') AS solid, sum(CASE WHEN regexp_matches(body, '{_WORD}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) AS line FROM x),
 z AS (SELECT y.*, g.line IS NOT NULL AND solid AS cut FROM y LEFT JOIN gone g ON g.doc_id = y.doc_id AND g.line = y.line)
