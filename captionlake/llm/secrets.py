@@ -3,7 +3,9 @@
 Base kinds come from fixed patterns. The method adds spans of kind ``markov``: tokens whose characters follow a Markov model of
 random strings rather than one of ordinary identifiers, by the log-likelihood ratio of the two. Both models are trained
 from a bounded sample of labelled tokens of the corpus itself: values that a base pattern found are random strings, tokens
-outside of all base matches are ordinary, with digits or without; only long ones with digits have no label, as they may be secrets.
+outside of base matches are ordinary, of any length and with digits or without; only those with digits that are long enough to be
+judged and occur once have no label, as they may be secrets.
+A token is added when the ratio over all its characters beats the odds against a secret, so a short token has to be odder than a long one.
 
 Spans are found by marking: a pattern's matches are wrapped in a control character, the text is split at it, and the running
 length of the pieces gives each match's place in code points.
@@ -25,14 +27,14 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_VALUE, ACCESS_CHARS, HEX_CHARS = 8, 16, 32
 
-#: Tokens that the models judge.
+#: Tokens that the models judge: shorter ones could not beat the odds.
 TOKEN = r"[A-Za-z0-9+/_=-]+"
-TOKEN_CHARS = 20
+TOKEN_CHARS = 16
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Documents (in expectation) whose tokens train the models.
 TRAINING_DOCS = 20_000
-#: A token is taken for random when its log-likelihood ratio for each character is over this.
-THRESHOLD = 1.0
+#: A token is taken for random when its log-likelihood ratio is over this: the logarithm of the odds against a secret, a million to one.
+THRESHOLD = math.log(1e6)
 #: Weight, in counts, of single characters in a transition's probability.
 BACKING = 8.0
 _MARK, _OTHER = "\x01", "\x02"
@@ -80,7 +82,7 @@ def _base(text: Column) -> dict[str, Column]:
 def labelled_tokens(docs: DataFrame) -> DataFrame:
     """(token, random, n): distinct tokens of doc texts with their numbers; random is 1 for values of base spans, 0 for tokens outside of all base matches.
 
-    Long tokens with digits outside of base matches are left out: these are what the models are to judge.
+    Tokens of TOKEN_CHARS or more with a digit that occur once outside of base matches are left out.
     """
     text = F.col("text")
     base = _base(text)
@@ -89,8 +91,8 @@ def labelled_tokens(docs: DataFrame) -> DataFrame:
     )).alias("token"), F.lit(1).alias("random"))
     plain = reduce(lambda t, p: F.regexp_replace(t, p, " "), (ASSIGN, ACCESS, f"[0-9a-f]{{{HEX_CHARS},}}"), text)
     plain = docs.select(F.explode(F.regexp_extract_all(plain, F.lit(f"({TOKEN})"))).alias("token"), F.lit(0).alias("random"))
-    plain = plain.where((F.length("token") < TOKEN_CHARS) | ~F.col("token").rlike("[0-9]"))
-    return secrets.unionByName(plain).where(F.length("token") >= 2).groupBy("token", "random").agg(F.count("*").alias("n"))
+    tokens = secrets.unionByName(plain).where(F.length("token") >= 2).groupBy("token", "random").agg(F.count("*").alias("n"))
+    return tokens.where((F.col("random") == 1) | (F.col("n") > 1) | (F.length("token") < TOKEN_CHARS) | ~F.col("token").rlike("[0-9]"))
 
 
 def train(docs: DataFrame, bound: int = TRAINING_DOCS) -> list[float]:
@@ -112,13 +114,34 @@ def train(docs: DataFrame, bound: int = TRAINING_DOCS) -> list[float]:
     return [round(math.log(r) - math.log(o), 6) for o, r in zip(*models, strict=True)]
 
 
+def rates(tokens: DataFrame, ratios: list[float]) -> DataFrame:
+    """(random, tokens, found) of labelled tokens (token, random): how many are taken for random."""
+    return tokens.groupBy("random").agg(F.count("*").alias("tokens"), F.count_if(_ratio(F.col("token"), ratios) > THRESHOLD).alias("found"))
+
+
 def held_out_rates(docs: DataFrame) -> DataFrame:
-    """(random, tokens, found): for models trained on four fifths of the documents, how many distinct long tokens of the others are found."""
+    """rates() of the distinct tokens of a fifth of the documents, of TOKEN_CHARS or more, by models trained on the others."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     other = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)) == 0
     ratios = train(docs.where(~other))
-    tokens = labelled_tokens(docs.where(other)).where(F.length("token") >= TOKEN_CHARS)
-    return tokens.groupBy("random").agg(F.count("*").alias("tokens"), F.count_if(_ratio(F.col("token"), ratios) > THRESHOLD).alias("found"))
+    return rates(labelled_tokens(docs.where(other)).where(F.length("token") >= TOKEN_CHARS), ratios)
+
+
+def planted_tokens(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """(token, random, length): for each document and length a random string of letters and digits (1), and ordinary tokens made of its words (0).
+
+    Ordinary ones are two words joined by an underscore, with a capital or by a number, cut to the length; documents with fewer words give
+    none. Random strings are base64 digests of the id, none of which a base pattern finds.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z]{4,})")))
+    rows = docs.select("doc_id", words.alias("w"), F.explode(F.array(*map(F.lit, lengths))).alias("length"))
+    digest = F.translate(F.base64(F.unhex(F.sha2(F.concat_ws(":", "doc_id", "length").cast("binary"), 512))), "+/=", "")
+    at = F.pmod(F.xxhash64("doc_id", "length"), F.greatest(F.size("w") - 1, F.lit(1))).cast("int")
+    a, b = F.get("w", at), F.get("w", at + 1)
+    made = F.array(F.concat_ws("_", a, b), F.concat(F.lower(a), F.initcap(b)), F.concat(F.lower(a), F.pmod(F.hash("doc_id"), F.lit(1000)).cast("string"), F.lower(b)), F.concat(F.lower(a), F.lit("2024"), F.lower(b)))
+    plain = rows.where(F.size("w") >= 2).select(F.explode(made).alias("token"), "length").where(F.length("token") >= F.col("length"))
+    plain = plain.select(F.substring("token", F.lit(1), F.col("length")).alias("token"), F.lit(0).alias("random"), "length")
+    return rows.select(F.substring(digest, F.lit(1), F.col("length")).alias("token"), F.lit(1).alias("random"), "length").unionByName(plain).distinct()
 
 
 def _transitions(counts: list[float], size: int) -> list[float]:
@@ -133,16 +156,15 @@ def _transitions(counts: list[float], size: int) -> list[float]:
 
 
 def _ratio(token: Column, ratios: list[float]) -> Column:
-    """Mean log-likelihood ratio of a token's neighbouring characters."""
+    """Log-likelihood ratio of a token: the sum over its neighbouring characters."""
     size = len(ALPHABET)
     table = F.lit(ratios)
     places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    total = F.aggregate(
+    return F.aggregate(
         places, F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("sum")),
         lambda acc, p: F.struct(p.alias("before"), (acc["sum"] + F.when(acc["before"] >= 0, F.get(table, (acc["before"] * size + p).cast("int"))).otherwise(0.0)).alias("sum")),
         lambda acc: acc["sum"],
     )
-    return total / F.greatest(F.length(token) - 1, F.lit(1))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratios: list[float] | None = None, names: tuple[str, ...] = RESULTS) -> DataFrame:

@@ -665,6 +665,69 @@ def test_secret_rates_on_held_out_tokens(spark):
     assert got[1][0] > 40 and got[1][1] >= 0.95 * got[1][0] and got[0][0] > 30 and got[0][1] <= 0.05 * got[0][0]
 
 
+def brute_ratios(texts):
+    """Log-likelihood ratios of pairs of characters, from the definition: pairs of labelled tokens, backed by single characters."""
+    from captionlake.llm import secrets as s
+
+    size, place = len(s.ALPHABET), {c: i for i, c in enumerate(s.ALPHABET)}
+    counts, labelled = np.zeros((2, size, size)), Counter()
+    assign = re.compile(s.ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", "(?:%s)" % "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))))
+    for text in texts:
+        tokens = [(1, m[1]) for m in assign.finditer(text) if len(m[1]) >= 8] + [(1, m[0]) for m in re.finditer(s.ACCESS, text) if len(m[0]) >= 16] + [(1, m) for m in re.findall("[0-9a-f]{32,}", text)]
+        rest = re.sub("[0-9a-f]{32,}", " ", re.sub(s.ACCESS, " ", assign.sub(" ", text)))
+        labelled.update(tokens + [(0, t) for t in re.findall(s.TOKEN, rest)])
+    for (kind, token), n in labelled.items():
+        if kind or n > 1 or len(token) < s.TOKEN_CHARS or not re.search("[0-9]", token):
+            for a, b in zip(token, token[1:], strict=False):
+                if a in place and b in place:
+                    counts[kind, place[a], place[b]] += n
+    models = []
+    for c in counts:
+        single = 1 + c.sum(axis=0)
+        models.append((c + s.BACKING * single / single.sum()) / (c.sum(axis=1, keepdims=True) + s.BACKING))
+    return np.log(models[1]) - np.log(models[0])
+
+
+def test_markov_spans_against_brute_force(spark):
+    from captionlake.llm import secrets
+
+    rng = random.Random(11)
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    words = ["river", "stone", "house", "Market", "winter", "garden", "letter", "people", "number12", "system"]
+    name = lambda: rng.choice(["_", "", "-"]).join(rng.choice(words) for _ in range(rng.randint(1, 4)))
+    texts = [f"{name()} {name()} token={mixed(rng.randint(8, 40))}, {name()} {mixed(rng.randint(6, 40))} é {name()}={mixed(12)} /{name()}/" for _ in range(200)]
+    data = [(i, t, None, None, 0, 0, "", "", "", 0) for i, t in enumerate(texts)]
+    want = brute_ratios(texts)
+    got = np.array(secrets.train(docs(spark, data).select("doc_id", "text"))).reshape(want.shape)
+    assert np.abs(got - want).max() < 1e-5
+    place = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    found = {r.doc_id: [(m.start, m.end) for m in r.found if m.rank == 3] for r in secrets.scan_secrets(docs(spark, data)).collect()}
+    added = 0
+    for i, text in enumerate(texts):
+        base = [(a, b) for a, _, b, *_ in brute_secrets(text)]
+        score = lambda t: sum(want[place[a], place[b]] for a, b in zip(t, t[1:], strict=False))
+        spans = [m.span() for m in re.finditer(secrets.TOKEN, text) if len(m[0]) >= secrets.TOKEN_CHARS and score(m[0]) > secrets.THRESHOLD and all(m.end() <= a or b <= m.start() for a, b in base)]
+        assert found[i] == spans
+        added += len(spans)
+    assert added > 100
+
+
+def test_planted_secrets_by_length(spark):
+    """Strings that no base pattern finds, and ordinary tokens of the same lengths with underscores, capitals and numbers."""
+    from captionlake.llm import secrets
+
+    rng = random.Random(12)
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    syllables = ["ri", "ver", "sto", "ne", "hou", "se", "mar", "ket", "win", "ter", "gar", "den", "let", "peo", "ple", "num", "ber", "sys", "tem", "sum"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+    data = [(i, " ".join(word() for _ in range(60)) + f" v{i} token = {mixed(32)} {word()}{i}", None, None, 0, 0, "", "", "", 0) for i in range(300)]
+    table = docs(spark, data).select("doc_id", "text")
+    ratios = secrets.train(table)
+    got = {(n, r.random): (r.tokens, r.found) for n in (16, 20) for r in secrets.rates(secrets.planted_tokens(table, [n]), ratios).collect()}
+    assert got[16, 1][1] >= 0.95 * got[16, 1][0] and got[20, 1][1] >= 0.97 * got[20, 1][0] and got[16, 1][0] == 300
+    assert got[16, 0][1] <= 0.05 * got[16, 0][0] and got[20, 0][1] <= 0.05 * got[20, 0][0] and got[16, 0][0] > 300  # of 300 texts of 60 words
+
+
 # --- 10 ------------------------------------------------------------------------------------------------------------
 
 
