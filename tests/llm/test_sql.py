@@ -14,8 +14,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables
 @pytest.mark.parametrize("name", ORACLES)
 def test_sql(spark, name):
     c = duckdb.connect()
-    path = f"{SMALL}/documents.parquet"
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}{'/*' if os.path.isdir(path) else ''}')")
+    for table in ("documents", "embeddings"):
+        path = f"{SMALL}/{table}.parquet"
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}{'/*' if os.path.isdir(path) else ''}')")
     found = c.execute(ORACLES[name])
     names = [d[0] for d in found.description]
     df = QUERIES[name](spark, SMALL)
