@@ -27,65 +27,62 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
-def _even(x: Column) -> Column:
-    return F.greatest(F.lit(2.0), half_up(x / 2).cast("double") * 2)
+def _pairs(x: Column) -> Column:
+    """The nearest even number of pixels, halves upwards, but two at least."""
+    return F.greatest(F.lit(2.0), half_up(x / 2) * 2.0)
 
 
-def _even_place(x: Column, most: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(most.cast("double"), F.floor(x / 2).cast("double") * 2))
-
-
-def _clamp(x: Column, low: float, high: float, default: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.coalesce(x.cast("double"), F.lit(float(default)))))
+def _within(value: Column, low: float, high: float, missing: float) -> Column:
+    number = F.coalesce(value.cast("double"), F.lit(float(missing)))
+    return F.when(number < low, float(low)).when(number > high, float(high)).otherwise(number)
 
 
 def normalize_crop(style: Column) -> Column:
     """A crop style struct with every field inside its limits; opposite edges together take 90 percent at most."""
-    aspect = F.when(style["aspect"].isin("original", "free", *ASPECTS), style["aspect"]).otherwise("original")
+    fields = [F.when(style["aspect"].isin("original", "free", *ASPECTS), style["aspect"]).otherwise("original").alias("aspect")]
+    fields += [_within(style[place], 0, 100, 50).alias(place) for place in ("x", "y")]
+    for sides in (("left", "right"), ("top", "bottom")):
+        edges = [_within(style[side], 0, 90, 0) for side in sides]
+        share = 90 / F.greatest(F.lit(90.0), edges[0] + edges[1])
+        fields += [(edge * share).alias(side) for edge, side in zip(edges, sides, strict=True)]
+    return F.struct(*fields)
 
-    def pair(a: str, b: str) -> list[Column]:
-        x, y = _clamp(style[a], 0, 90, 0), _clamp(style[b], 0, 90, 0)
-        scale = F.when(x + y > 90, 90 / (x + y)).otherwise(1.0)
-        return [(x * scale).alias(a), (y * scale).alias(b)]
 
-    return F.struct(aspect.alias("aspect"), _clamp(style["x"], 0, 100, 50).alias("x"), _clamp(style["y"], 0, 100, 50).alias("y"), *pair("left", "right"), *pair("top", "bottom"))
+def _axis(size: Column, fitting: Column, aspect: Column, place: Column, before: Column, after: Column) -> tuple[Column, Column]:
+    """Length and start of what is left along one axis.
+
+    Whole for ``original``; between two edges (percent of the size) for ``free``; else ``fitting``, the length that the aspect leaves, at
+    ``place`` percent of the room beside it. Starts and edges fall on even pixels.
+    """
+    down = lambda x, most: F.greatest(F.lit(0.0), F.least(most, F.floor(x / 2) * 2.0))
+    start = down(size * before / 100, size - 2)
+    end = F.greatest(start + 2, down(size * (100 - after) / 100, size))
+    length = F.least(_pairs(size), fitting)
+    room = F.greatest(F.lit(0.0), size - length)
+    by = lambda whole, free, cut: F.when(aspect == "original", whole).when(aspect == "free", free).otherwise(cut)
+    return by(size, end - start, length), by(F.lit(0.0), start, down(room * place / 100, room))
 
 
 def crop_geometry(width: Column, height: Column, style: Column) -> Column:
     """struct<active, width, height, x, y> of the picture that a crop style leaves, with even sizes and places.
 
-    style: a column that normalize_crop() has made, so that its limits are worked out once.
+    style: a column that normalize_crop() has made, so that its limits are worked out once. An aspect leaves, along each axis, the whole
+    of it or what the other axis allows, whichever is less.
     """
-    s = style
-    w, h = F.greatest(F.lit(2.0), half_up(width).cast("double")), F.greatest(F.lit(2.0), half_up(height).cast("double"))
-    ratio = F.lit(None).cast("double")
-    for name, value in ASPECTS.items():
-        ratio = F.when(s["aspect"] == name, F.lit(value)).otherwise(ratio)
-    wide = w / h > ratio
-    cut_h = F.when(wide, _even(h)).otherwise(_even(_even(w) / ratio))
-    cut_w = F.when(wide, _even(_even(h) * ratio)).otherwise(_even(w))
-    cut_w, cut_h = F.least(_even(w), cut_w), F.least(_even(h), cut_h)
-    spare_x, spare_y = F.greatest(F.lit(0.0), w - cut_w), F.greatest(F.lit(0.0), h - cut_h)
-    x, y = _even_place(spare_x * s["x"] / 100, spare_x), _even_place(spare_y * s["y"] / 100, spare_y)
-    free_x, free_y = _even_place(w * s["left"] / 100, w - 2), _even_place(h * s["top"] / 100, h - 2)
-    free_w = F.greatest(F.lit(2.0), F.greatest(free_x + 2, _even_place(w * (100 - s["right"]) / 100, w)) - free_x)
-    free_h = F.greatest(F.lit(2.0), F.greatest(free_y + 2, _even_place(h * (100 - s["bottom"]) / 100, h)) - free_y)
-    free, none = s["aspect"] == "free", s["aspect"] == "original"
-
-    def pick(a: Column, b: Column, c: Column) -> Column:
-        return F.when(none, a).when(free, b).otherwise(c)
-
-    out_w, out_h = pick(w, free_w, cut_w), pick(h, free_h, cut_h)
-    out_x, out_y = pick(F.lit(0.0), free_x, x), pick(F.lit(0.0), free_y, y)
-    active = ~none & ((out_w != w) | (out_h != h) | (free & ((out_x > 0) | (out_y > 0))))
-    return F.struct(active.alias("active"), *[c.cast("long").alias(n) for n, c in (("width", out_w), ("height", out_h), ("x", out_x), ("y", out_y))])
+    w, h = (F.greatest(F.lit(2.0), half_up(side) * 1.0) for side in (width, height))
+    ratio = F.try_element_at(F.create_map(*[F.lit(v) for pair in ASPECTS.items() for v in pair]), style["aspect"])
+    across = _axis(w, _pairs(_pairs(h) * ratio), style["aspect"], style["x"], style["left"], style["right"])
+    down = _axis(h, _pairs(_pairs(w) / ratio), style["aspect"], style["y"], style["top"], style["bottom"])
+    changed = (across[0] != w) | (down[0] != h) | (across[1] > 0) | (down[1] > 0)
+    active = (style["aspect"] != "original") & changed
+    return F.struct(active.alias("active"), *[c.cast("long").alias(n) for n, c in (("width", across[0]), ("height", down[0]), ("x", across[1]), ("y", down[1]))])
 
 
 def full_hd_geometry(width: Column, height: Column) -> Column:
     """struct<width, height>: the size scaled into full HD, upright or not, with even sides."""
     w, h = F.greatest(F.lit(2.0), width.cast("double")), F.greatest(F.lit(2.0), height.cast("double"))
     scale = F.when(h > w, F.least(1080 / w, 1920 / h)).otherwise(F.least(1920 / w, 1080 / h))
-    return F.struct(_even(w * scale).cast("long").alias("width"), _even(h * scale).cast("long").alias("height"))
+    return F.struct(_pairs(w * scale).cast("long").alias("width"), _pairs(h * scale).cast("long").alias("height"))
 
 
 def duration_fit(actual: Column, slot: Column, most: float = 1.18, tolerance: float = 0.04) -> Column:
