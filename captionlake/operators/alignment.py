@@ -302,7 +302,8 @@ def merge_passes(words: DataFrame, candidates: DataFrame, regions: DataFrame, re
         return pd.Series([fold_run(list(r), list(o), list(n), reason) for r, o, n in zip(spans, olds, news, strict=True)])
 
     folded = runs.select("project_id", F.explode(decided("regions", "words", "candidates")).alias("w")).select("project_id", "w.*")
-    met = a.select("project_id", F.explode("words_a").alias("w")).select("project_id", "w.word_idx").distinct()
+    # by places only: the words' keys and lists above aren't made twice
+    met = interval_join(words.select("project_id", "word_idx", "start", "end"), as_right(spans.drop("region_idx")), ["project_id"]).select("project_id", "word_idx").distinct()
     rest = words.join(met, ["project_id", "word_idx"], "left_anti").select(*_WORD, "needs_review", "review_status", _reason(words).alias("review_reason"), F.lit("kept").alias("origin"))
     return rest.unionByName(folded)
 
