@@ -1,4 +1,7 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components by alternating large-star and small-star steps.
+
+Each step is a table of its own: the driver plans many rounds, and a plan that holds both steps repeats the first one for each use of it.
+"""
 
 from __future__ import annotations
 
@@ -8,16 +11,21 @@ from pyspark.sql import functions as F
 from captionlake.llm.tables import discard, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v) with u > v. large: each node hands its larger neighbours to its least; small: its smaller ones."""
-    pairs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    if large:
-        moved = pairs.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        moved = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    # a large star makes at most one edge of each, so its repeats are left to the small star that follows
-    return moved.where("u > v") if large else moved.where("u > v").distinct()
+def _large_star(edges: DataFrame) -> DataFrame:
+    """edges (u, v) with u > v: each node hands its larger neighbours to the least of itself and its neighbours.
+
+    A node has smaller neighbours where it stands as u; a node that doesn't is the least itself. Repeats are left to the small star.
+    """
+    least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+    return edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """edges (u, v) with u > v: each node hands its smaller neighbours and itself to the least of them."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    # the edge to the least neighbour stays, as the one that hands the node itself over
+    moved = edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return moved.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,9 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     mark = None
     while True:
-        after = materialize(_star(_star(now, True), False))
+        handed = materialize(_large_star(now))
         discard(now)
-        now = after
+        now = materialize(_small_star(handed))
+        discard(handed)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break

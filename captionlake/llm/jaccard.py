@@ -47,6 +47,8 @@ MOST_PIVOTS = 512
 CELL_PIVOTS = 8
 #: A region is cut into cells where these hold at most so many times its rows.
 REPLICAS = 2
+#: Of the regions before this one in a set's order, the last so many go with its row: a pair that has one of them in common has met there.
+BEFORE = 8
 #: Levels of cells that have a bit; the copies of later levels have none, so their pairs may be met twice.
 LEVELS = 62
 #: Two sets of n and m can link, if the shingle of this region is the first in order that both have: they share no more than what is left from
@@ -149,8 +151,8 @@ def shingle_regions(sets: DataFrame, percent: int) -> DataFrame:
     """(node, n, set, rank, keys): each set once, its place in the order of centrality, and the regions of its first shingles.
 
     Shingles are ordered by how many sets hold them, then by which sets these are. Of shingles that the same sets hold only the
-    first makes a region, as the others would hold the same pairs; left counts a set's shingles from that one on, prev is the set's
-    region before. The rank is least for sets of widespread shingles.
+    first makes a region, as the others would hold the same pairs; left counts a set's shingles from that one on, before holds the
+    set's last regions before it. The rank is least for sets of widespread shingles.
     """
     rows = sets.select("node", F.explode("set").alias("g"))
     held = materialize(rows.groupBy("g").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("node")).alias("who")))
@@ -160,10 +162,12 @@ def shingle_regions(sets: DataFrame, percent: int) -> DataFrame:
     other = lambda x, i: (i == 0) | (x["who"] != F.get("o", i - 1)["who"]) | (x["df"] != F.get("o", i - 1)["df"])
     keys = F.transform(first, lambda x, i: F.struct(F.xxhash64(x["df"], x["who"]).alias("key"), (F.col("n") - i).alias("left"), ((x["df"] > 1) & other(x, i)).alias("new")))
     keys = F.filter(keys, lambda x: x["new"])
-    keys = F.transform(keys, lambda x, i: F.struct(x["key"].alias("key"), x["left"].alias("left"), F.get(keys, i - 1)["key"].alias("prev")))
+    before = lambda i: F.slice(F.col("keys.key"), F.greatest(i - (BEFORE - 1), F.lit(1)), F.least(i, F.lit(BEFORE)))
+    told = F.transform("keys", lambda x, i: F.struct(x["key"].alias("key"), x["left"].alias("left"), before(i).alias("before")))
     central = (F.lit(1 << 31) - F.least(F.col("spread") * 256, F.lit(1 << 30))).cast("long") * (1 << 31)
     rank = central + F.pmod(F.xxhash64("node"), F.lit(1 << 31))
-    out = materialize(full.select("node", "n", F.col("o.g").alias("set"), rank.alias("rank"), keys.alias("keys")))
+    full = full.select("node", "n", F.col("o.g").alias("set"), rank.alias("rank"), keys.alias("keys"))
+    out = materialize(full.withColumn("keys", told))
     discard(held)
     return out
 
@@ -221,11 +225,11 @@ def _cells(rows: DataFrame, near: DataFrame, level: int, radius: float) -> DataF
     put = materialize(put)
     much = put.groupBy("key").agg(F.count("*").alias("copies"), F.countDistinct("node").alias("rest")).withColumn("whole", F.col("copies") > REPLICAS * F.col("rest"))
     mark = F.lit(1 << level if level < LEVELS else 0).cast("long")
-    kept = rows.select("key", "node", "n", "left", "prev", "rank", "edges").join(much.select("key", "whole"), "key")
+    kept = rows.select("key", "node", "n", "left", "before", "rank", "edges").join(much.select("key", "whole"), "key")
     whole = kept.where("whole").join(put.select("key", "node").distinct(), ["key", "node"]).drop("whole")
     split = kept.where("NOT whole").drop("whole").join(put, ["key", "node"])
     split = split.select(
-        F.xxhash64("key", "pivot").alias("key"), "node", "n", "left", "prev", "rank", F.when(F.col("border"), F.col("edges").bitwiseOR(mark)).otherwise(F.col("edges")).alias("edges")
+        F.xxhash64("key", "pivot").alias("key"), "node", "n", "left", "before", "rank", F.when(F.col("border"), F.col("edges").bitwiseOR(mark)).otherwise(F.col("edges")).alias("edges")
     )
     out = materialize(whole.unionByName(split))
     discard(put)
@@ -236,7 +240,7 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame | None
     """(node, component) for all sets (node, n, set) that link with another; None if none does."""
     radius = 1 - percent / 100
     sets = shingle_regions(sets, percent)
-    rows = sets.select("node", "n", "rank", F.lit(0).cast("long").alias("edges"), F.explode("keys").alias("k")).select("node", "n", "rank", "edges", "k.key", "k.left", "k.prev")
+    rows = sets.select("node", "n", "rank", F.lit(0).cast("long").alias("edges"), F.explode("keys").alias("k")).select("node", "n", "rank", "edges", "k.key", "k.left", "k.before")
     # a set that is too small from the region's shingle on, even for the region's smallest set, has no link here
     least = rows.groupBy("key").agg(F.min("n").alias("m"), F.count("*").alias("members")).where("members > 1").select("key", "m")
     rows = materialize(rows.join(least, "key").where(f"left * {100 + percent} >= {percent} * (n + m)").drop("m"))
@@ -256,23 +260,24 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame | None
         order = Window.partitionBy("key").orderBy("rank", "node")
         pivots = live.where("active").withColumn("r", F.row_number().over(order)).where(F.col("r") <= most + 1)
         full = pivots.groupBy("key").agg((F.max("r") > most).alias("more"))
-        pivots = pivots.where(F.col("r") <= most).select("key", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("left").alias("pivot_left"), F.col("prev").alias("pivot_prev"), F.col("comp").alias("pivot_comp"), F.col("edges").alias("pivot_edges"), (F.col("r") <= CELL_PIVOTS).alias("center"))
+        pivots = pivots.where(F.col("r") <= most).select("key", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("left").alias("pivot_left"), F.col("before").alias("pivot_before"), F.col("comp").alias("pivot_comp"), F.col("edges").alias("pivot_edges"), (F.col("r") <= CELL_PIVOTS).alias("center"))
         pivots = materialize(pivots.join(full, "key").withColumn("center", F.col("center") & F.col("more")))
-        # only pairs that can still join two components count, and two sets whose region before this one is the same have met in that one;
+        more = pivots.where("more").select("key").distinct()
+        # only pairs that can still join two components count, and two sets that have a region before this one in common have met in that one;
         # where active sets are left over, all distances to some pivots make the cells
-        needed = f"comp <> pivot_comp AND (edges & pivot_edges) = 0 AND coalesce(prev <> pivot_prev, true) AND {_ENOUGH.format(percent)}"
+        needed = f"comp <> pivot_comp AND (edges & pivot_edges) = 0 AND NOT arrays_overlap(before, pivot_before) AND {_ENOUGH.format(percent)}"
         needed = f"node <> pivot AND (center OR ({needed}))"
-        pairs = materialize(live.select("key", "node", "n", "left", "prev", "comp", "edges").join(pivots, "key").where(needed).select("key", "node", "pivot", "center"))
+        pairs = materialize(live.select("key", "node", "n", "left", "before", "comp", "edges").join(pivots, "key").where(needed).select("key", "node", "pivot", "center"))
         u, v = F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")
         known = materialize(_distances(pairs.select(u, v).distinct(), sets))
         comps = _linked(known, comps, percent)
-        if full.where("more").isEmpty():
+        if more.isEmpty():
             for table in (live, pivots, pairs, known, sets):
                 discard(table)
             return comps
         near = pairs.where("center").join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").withColumns({"u": u, "v": v}).join(known, ["u", "v"])
         near = near.select("key", "node", "pivot", (1 - F.col("both") / F.col("either")).alias("away"))
-        rows = _cells(live.join(full.where("more"), "key", "left_semi"), near, level, radius)
+        rows = _cells(live.join(more, "key", "left_semi"), near, level, radius)
         for table in (live, pivots, pairs, known):
             discard(table)
         most, level = min(4 * most, MOST_PIVOTS), level + 1

@@ -839,3 +839,48 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (103, 110), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100, 110: 100}
+
+
+def test_components_by_small_plans(spark, monkeypatch):
+    """Random graphs, a long path and a hub, in any order of nodes; no plan reads its input more than twice, as the driver holds many."""
+    from captionlake.llm import components as c
+
+    reads = []
+
+    def kept(df):
+        reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return materialize(df)
+
+    materialize = c.materialize
+    monkeypatch.setattr(c, "materialize", kept)
+    rng = random.Random(8)
+    names = rng.sample(range(-500, 500), 400)
+    edges = [(rng.choice(names[:150]), rng.choice(names[:150])) for _ in range(90)] + [(names[200], n) for n in names[201:280]] + [*zip(names[280:-1], names[281:], strict=True)]
+    top = {n: n for e in edges if e[0] != e[1] for n in e}
+    for u, v in edges:
+        if u != v and top[u] != top[v]:
+            lo, hi = sorted((top[u], top[v]))
+            top = {d: lo if t == hi else t for d, t in top.items()}
+    got = [(r.node, r.component) for r in c.components(spark.createDataFrame(edges, "u long, v long")).collect()]
+    assert sorted(got) == sorted(top.items()) and len({*top.values()}) > 5
+    assert len(reads) > 4 and max(reads) <= 2
+
+
+def test_jaccard_join_pairs_meet_in_few_regions(spark, monkeypatch):
+    """Mutually distant near copies share many regions; two sets are not compared in each of these."""
+    from captionlake.llm import jaccard
+
+    compared = []
+
+    def kept(df):
+        out = materialize(df)
+        if {"pivot", "center"} <= {*df.columns} and "m" not in df.columns:
+            compared.append(out.count())
+        return out
+
+    materialize = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", kept)
+    rng = random.Random(4)
+    sets = {d: {c for c in range(240) if rng.random() < 0.75} for d in range(24)}
+    assert linked(spark, sets, 75) == brute_set_components(sets, 75)
+    assert sum(compared) <= 3 * 24 * 23 / 2
