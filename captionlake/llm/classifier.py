@@ -192,6 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col:
                 lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x, t)) for x, t in ((feature, pa.int32()), (value, pa.float32()))]
                 fixed = [pa.array(ids[lo : lo + n]), pa.array(label[lo : lo + n]), batch.column("fold").slice(lo, n)]
                 yield pa.RecordBatch.from_arrays([*fixed, *lists], names=["doc_id", "label", "fold", "feature", "value"])
+        pa.default_memory_pool().release_unused()
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     sample = texts.mapInArrow(job, f"doc_id {kind}, label double, fold long, feature array<int>, value array<float>").toArrow()
@@ -214,6 +215,7 @@ def _score_job(shared, text_col: str, score_col: str):
             scores = [machine.score(n, row, feature, value) for _, n, row, feature, value in features(batch.column(text_col))]
             score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score.round(9))], names=[*batch.schema.names, score_col])
+        pa.default_memory_pool().release_unused()  # the worker stays for later jobs; its free memory should not
 
     return job
 

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +35,10 @@ GAP = 5e-4
 SMOOTHING = 0.8
 #: Pieces of one class that one task ranks.
 ROWS_PER_CELL = 50_000
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 600_000
+#: Words whose ids a worker keeps: a cache of some 50 MB, which stays beside the executor's heap until the worker ends. Frequent words are soon back after it is emptied.
+KEPT_WORDS = 100_000
+#: Characters of the texts that are encoded together (a longer text is taken whole).
+PORTION = 1 << 18
 #: Letters, digits and marks that both libraries split alike: Latin ones and line feeds.
 _PLAIN = re.compile("[\\n\\x20-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*")
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
@@ -135,10 +138,10 @@ def _pieces_job(path: str, ranks: str | None, capacity: int, with_ids: bool):
         encoder = _encoder(path, ranks)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            sizes = batch.column("text").cast(pa.large_string()).to_pandas().str.len().fillna(0).to_numpy()
+            sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
             lo = 0
             while lo < batch.num_rows:
-                hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), 1 << 20)))
+                hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:], dtype=np.int64), PORTION)))
                 texts = [t or "" for t in batch.column("text").slice(lo, hi - lo).to_pylist()]
                 row, start, length, crc, total, ids = [], [], [], [], [], []
                 for i, data in enumerate(encoder.encode(texts)):
@@ -156,6 +159,7 @@ def _pieces_job(path: str, ranks: str | None, capacity: int, with_ids: bool):
                 columns = [batch.column("doc_id").take(pa.array(row))] + [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=names)
                 lo = hi
+        pa.default_memory_pool().release_unused()  # the worker stays for later jobs; its free memory should not
 
     return job
 
@@ -372,7 +376,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Dat
                 upto[c] += counts[c] * times
                 slot += int(counts[c])
         sequence += times
-    table = spark.createDataFrame(places, "cls long, lo long, hi long, each long, base long, slot long")
+    # as an Arrow table, which needs no Python workers of its own on the executors
+    columns = np.array(places, np.int64).reshape(-1, 6).T
+    table = spark.createDataFrame(pa.table([pa.array(c) for c in columns], names=["cls", "lo", "hi", "each", "base", "slot"]))
     # the places table has one row for each class of each pattern: its size depends on the number of classes only
     ranked = _ranked(rows, int(demand.sum())).alias("p")
     dealt = ranked.join(F.broadcast(table).alias("t"), F.expr("p.cls = t.cls AND p.rank >= t.lo AND p.rank < t.hi"))
