@@ -7,11 +7,17 @@ in order; it is called for a batch of groups at a time.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from captionlake.functions.text import attaches_to_previous, grapheme_count, hypothesis_key, thai_risk
 from captionlake.functions.udf import vectorised
@@ -365,72 +371,115 @@ def align_words_to_regions(words: DataFrame, best: DataFrame, regions: DataFrame
 MOST_WORDS = 10
 
 
-@vectorised("array<int>")
-def _from_the_left(firsts: pd.Series, counts: pd.Series) -> pd.Series:
-    """Of runs that overlap in a row, in order of their first words: the indexes of those taken, each behind the one taken before."""
-    out = []
-    for first, count in zip(firsts, counts, strict=True):
-        taken, free = [], 0
-        for i, (a, n) in enumerate(zip(first.tolist(), count.tolist(), strict=True)):
-            if not taken or a >= free:
-                taken.append(i)
-                free = a + n
-        out.append(taken)
-    return pd.Series(out)
-
-
-def term_runs(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """(project_id, place, count, term): the runs of up to MOST_WORDS words that spell a term, longest first, from the left.
-
-    words: (project_id, place, key), places without gaps. Each word's runs, up to the length of the project's longest term, are looked up among
-    the terms by a join on project and spelling. Only runs that overlap in a row are scanned together, so no project is one list.
-    """
-    squeeze = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
-    known = terms.groupBy("project_id", squeeze(F.col("term")).alias("spelt")).agg(F.min_by("term", "term_idx").alias("term"))
-    longest = known.groupBy("project_id").agg(F.max(F.length("spelt")).alias("longest"))
-    w = Window.partitionBy("project_id").orderBy("place")
-    ahead = words.select("project_id", "place", F.collect_list("key").over(w.rowsBetween(0, MOST_WORDS - 1)).alias("keys")).join(longest, "project_id")
-    spelt = F.transform("keys", lambda x, i: F.array_join(F.slice("keys", F.lit(1), i + 1), ""))
-    spelt = ahead.select("project_id", "place", F.posexplode(F.filter(F.transform(spelt, lambda x: F.when(F.length(x) <= F.col("longest"), x)), lambda x: x.isNotNull())).alias("more", "spelt"))
-    hits = spelt.join(known, ["project_id", "spelt"]).groupBy("project_id", "place").agg(F.max(F.struct((F.col("more") + 1).alias("count"), "term")).alias("hit"))
-    hits = hits.select("project_id", "place", "hit.count", "hit.term")
-    apart = F.col("place") >= F.max(F.col("place") + F.col("count")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    chains = hits.withColumn("_cut", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("chain", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    lists = chains.groupBy("project_id", "chain").agg(F.sort_array(F.collect_list(F.struct("place", "count", "term"))).alias("r"))
-    taken = F.transform(_from_the_left(F.transform("r", lambda x: x["place"]), F.transform("r", lambda x: x["count"])), lambda i: F.get("r", i))
-    return lists.select("project_id", F.explode(taken).alias("t")).select("project_id", "t.*")
+class _Terms:
+    """A project's terms by spelling. The spellings are in order, so those that begin with a text lie behind each other."""
+
+    def __init__(self, spelt: list[str] = (), terms: list[str] = ()):
+        self.known = dict(zip(spelt[::-1], terms[::-1], strict=True))  # of equal spellings the first term
+        self.spelt = sorted(self.known)
+
+    def runs(self, keys: list[str], first: int, stop: int, closed: bool) -> tuple[list[tuple[int, int, str]], int]:
+        """(place, count, term) of the runs of words first to stop that spell a term, longest first, from the left; the word behind the last decided one.
+
+        Unless closed, words may follow: a run that they could lengthen is left open.
+        """
+        found, i, spelt = [], first, self.spelt
+        while spelt and i < stop:
+            text, hit, n = "", None, 0
+            while n < MOST_WORDS and i + n < stop:
+                text += keys[i + n]
+                at = bisect_left(spelt, text)
+                if at == len(spelt) or not spelt[at].startswith(text):
+                    break
+                n += 1
+                if spelt[at] == text:
+                    hit = (i, n, self.known[text])
+            else:
+                if n < MOST_WORDS and not closed:
+                    return found, i
+            if hit:
+                found.append(hit)
+            i += hit[1] if hit else 1
+        return found, stop
+
+
+def _mean_of(values: pa.Array, members: np.ndarray, inside: np.ndarray) -> pa.Array:
+    """Mean of each row of members (places in values; only those inside count) without missing values; null where all are missing."""
+    at = values.to_numpy(zero_copy_only=False)[members]
+    there = inside & ~np.isnan(at)
+    n = there.sum(axis=1)
+    return pa.array(np.cumsum(np.where(there, at, 0.0), axis=1)[:, -1] / np.maximum(n, 1), mask=n == 0)
+
+
+def _with_runs(rows: pa.RecordBatch, runs: list[tuple[int, int, str]], keep: np.ndarray, fields: list[str]) -> pa.RecordBatch:
+    """The rows to keep with each run as one word (see apply_glossary), and n_merged."""
+    columns, merged = {f: rows.column(f) for f in ("project_id", *fields)}, np.ones(rows.num_rows, np.int32)
+    if runs:
+        first, count = np.array([r[0] for r in runs]), np.array([r[1] for r in runs])
+        inside = np.arange(MOST_WORDS) < count[:, None]
+        members = np.where(inside, first[:, None] + np.arange(MOST_WORDS), first[:, None])
+        merged[first] = count
+        keep = keep.copy()
+        keep[members[inside & (np.arange(MOST_WORDS) > 0)]] = False
+        new = {name: _mean_of(columns[name], members, inside) for name in ("score", "review_score", "confidence") if name in columns}
+        if "raw_confidence" in columns:
+            raw = columns["raw_confidence"]
+            new["raw_confidence"] = _mean_of(pc.coalesce(raw, columns["confidence"]) if "confidence" in columns else raw, members, inside)
+        if "needs_review" in columns:
+            flags = pc.fill_null(columns["needs_review"], False).to_numpy(zero_copy_only=False)
+            new["needs_review"] = pa.array((flags[members] & inside).any(axis=1))
+        new |= {"text": pa.array([r[2] for r in runs], columns["text"].type), "end": columns["end"].take(pa.array(first + count - 1))}
+        hit = np.zeros(rows.num_rows, bool)
+        hit[first] = True
+        columns |= {name: pc.replace_with_mask(columns[name], pa.array(hit), values) for name, values in new.items()}
+    return pa.RecordBatch.from_pydict(columns | {"n_merged": pa.array(merged)}).filter(pa.array(keep))
+
+
+def _merge_job(fields: list[str]):
+    """Rows in order of project and word, a project's terms (the row with _terms) before its words: only one project's terms and its undecided words are held."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_words, project, terms = None, None, _Terms()
+        for batch in chain(batches, [None]):
+            parts = [p for p in (open_words, batch) if p is not None and p.num_rows]
+            if not parts:
+                continue
+            rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if len(parts) > 1 else parts[0]
+            ids, lists, keys = rows.column("project_id"), rows.column("_terms"), rows.column("_key").to_pylist()
+            cuts = np.flatnonzero(np.diff(ids.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False))) + 1
+            runs, decided = [], 0
+            for a, b in pairwise([0, *cuts.tolist(), rows.num_rows]):
+                if (now := ids[a].as_py()) != project:
+                    project, terms = now, _Terms()
+                if lists[a].is_valid:
+                    own = lists[a].values
+                    terms, a = _Terms(own.field("spelt").to_pylist(), own.field("term").to_pylist()), a + 1
+                found, decided = terms.runs(keys, a, b, batch is None or b < rows.num_rows)
+                runs += found
+            open_words = rows.slice(decided)
+            done = rows.slice(0, decided)
+            yield _with_runs(done, runs, done.column("_terms").is_null().to_numpy(zero_copy_only=False), fields)
+
+    return job
 
 
 def apply_glossary(words: DataFrame, terms: DataFrame) -> DataFrame:
     """Runs of up to ten words that spell a term (longest first, from the left) become one word; adds n_merged.
 
     terms: (project_id, term_idx, term), at most 200 a project. A merged word has all fields of its first word, but the last one's end, the
-    means of each score, and waits for review where one of them does. Other words stay as they are.
+    means of each score, and waits for review where one of them does. Other words stay as they are. Words and lists of terms are
+    dealt out by project and sorted once, and read in one pass: no joins, no list of a project's words, no row for each run that could be a term.
     """
     fields = [c for c in words.columns if c != "project_id"]
-    placed = words.withColumn("_place", F.row_number().over(by_project().orderBy("word_idx")))
-    key = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", ""))
-    runs = term_runs(placed.select("project_id", F.col("_place").alias("place"), key.alias("key")), terms)
-    members = runs.select("project_id", "place", "count", "term", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("count") - 1)).alias("_place"))
-    joined = placed.join(members, ["project_id", "_place"], "left")
-    rest = joined.where("term IS NULL").select("project_id", *fields, F.lit(1).alias("n_merged"))
-
-    def mean(value: Column) -> Column:
-        return F.avg(F.nanvl(value.cast("double"), F.lit(None)))
-
-    new = {"end": F.max_by("end", "_place")}
-    for name in ("score", "review_score", "confidence"):
-        if name in fields:
-            new[name] = mean(F.col(name))
-    if "raw_confidence" in fields:
-        new["raw_confidence"] = mean(F.coalesce("raw_confidence", "confidence") if "confidence" in fields else F.col("raw_confidence"))
-    if "needs_review" in fields:
-        new["needs_review"] = F.bool_or(F.coalesce("needs_review", F.lit(False)))
-    merged = joined.where("term IS NOT NULL").groupBy("project_id", "place", "term").agg(
-        F.min_by(F.struct(*fields), "_place").alias("_first"), F.count("*").cast("int").alias("n_merged"), *[c.alias(f"_{name}") for name, c in new.items()]
-    )
-    columns = [F.col("term").alias("text") if f == "text" else F.col(f"_{f}").alias(f) if f in new else F.col(f"_first.{f}").alias(f) for f in fields]
-    return rest.unionByName(merged.select("project_id", *columns, "n_merged"))
+    squeeze = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+    term = F.struct("term_idx", squeeze(F.col("term")).alias("spelt"), "term")
+    lists = terms.where("project_id IS NOT NULL AND term IS NOT NULL").groupBy("project_id").agg(F.sort_array(F.collect_list(term)).alias("_terms"))
+    scores = {c: F.col(c).cast("double") for c in ("score", "review_score", "confidence", "raw_confidence") if c in fields}
+    given = words.withColumns(scores).select("project_id", *fields)
+    both = given.unionByName(lists, allowMissingColumns=True)
+    order = both.repartition("project_id").sortWithinPartitions("project_id", F.col("_terms").isNull(), "word_idx")
+    schema = StructType([*(StructField(f.name, f.dataType) for f in both.drop("_terms").schema), StructField("n_merged", IntegerType())])
+    return order.withColumn("_key", squeeze(F.coalesce("text", F.lit("")))).mapInArrow(_merge_job(fields), schema)
 
 
 def balanced_cuts(size, start, end, space, unsafe, target: int, soft_pause: float, max_duration: float, max_chars: int) -> list[int]:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_caption_rules import key_of, lcs, spans, word, words
+from tests.test_caption_rules import SMALL, key_of, lcs, spans, tables, word, words
 
 
 def common(a, b):
@@ -149,3 +149,50 @@ def test_terms_that_share_words(spark, seed):
     table = spark.createDataFrame(terms, "project_id long, term_idx long, term string")
     got = apply_glossary(spark.createDataFrame(rows, kind), table).collect()
     assert sorted((r.project_id, r.word_idx, r.text, r.end, r.n_merged, r.score if r.score is None else round(r.score, 9)) for r in got) == sorted(want)
+
+
+@tables
+def test_terms_are_found_without_joins(spark):
+    """The size of words is unknown before they are read, so a join would send them, or their runs, to the driver where the table looks small."""
+    from captionlake.plans import registry
+
+    plan = registry.QUERIES["w8_apply_glossary"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    assert plan.count("Exchange hashpartitioning") <= 4
+
+
+@pytest.mark.parametrize("batch", [1, 2, 7, 64])
+def test_terms_across_batches(spark, batch):
+    """Runs that begin in one Arrow batch and end in a later one; projects with terms after projects without; a null project; missing scores and flags."""
+    from captionlake.operators.alignment import apply_glossary
+
+    rng = random.Random(batch)
+    kind = "word_idx int, note array<string>, text string, project_id string, start double, end double, score float, review_score double, confidence double, raw_confidence double, needs_review boolean"
+    rows, terms, want = [], [], []
+    for p in [None, *"edcba"]:
+        own = {} if p in (None, "c") else {k: k.upper() for k in {"".join(rng.choice("ab") for _ in range(rng.randint(1, 11))) for _ in range(8)}}
+        terms += [(p, i, t) for i, t in enumerate(own.values() if p else ["a", "ab"])] + [(p, 99 + i, t.lower()) for i, t in enumerate(own.values())]
+        pick = lambda *more: rng.choice([None, float("nan"), *more])
+        said = [(i, [f"{p}{i}"], rng.choice(["a", " b", "A b", "", None]), p, float(i), i + 0.5, pick(0.5, 0.25), pick(1.0, 2.0), pick(4.0, 3.0), pick(8.0), rng.choice([None, True, False])) for i in range(40)]
+        rows += said
+        keys, i = [(r[2] or "").replace(" ", "").lower() for r in said], 0
+        while i < len(said):
+            hit = next((j for j in range(min(len(said), i + 10), i, -1) if "".join(keys[i:j]) in own), None)
+            run, first = said[i : hit or i + 1], said[i]
+            if hit:
+                mean = lambda found: sum(found) / len(found) if (found := [x for x in found if x is not None and x == x]) else None
+                raw = mean([r[8] if r[9] is None else r[9] for r in run])
+                first = (*first[:2], own["".join(keys[i:hit])], *first[3:5], run[-1][5], *(mean([r[k] for r in run]) for k in (6, 7, 8)), raw, any(r[10] for r in run))
+            want.append((*first, len(run)))
+            i += len(run)
+    names = [c.split()[0] for c in kind.split(", ")]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = apply_glossary(spark.createDataFrame(rows, kind), spark.createDataFrame(terms, "project_id string, term_idx int, term string"))
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert found.columns == ["project_id", *[n for n in names if n != "project_id"], "n_merged"]
+    assert sorted(repr(tuple(r[n] for n in (*names, "n_merged"))) for r in got) == sorted(map(repr, want))
+    assert any(r.n_merged > 4 for r in got)
